@@ -9,8 +9,7 @@ from ebbtide import settings as S
 def number_or_null(column) -> Column:
     """Cast to double; text that is no number and NaN both become NULL."""
     value = F.col(column) if isinstance(column, str) else column
-    as_double = value.try_cast("double")
-    return F.when(~F.isnan(as_double), as_double)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def outside(value: Column, low, high) -> Column:
@@ -28,6 +27,8 @@ def outside(value: Column, low, high) -> Column:
 def repaired(column, low, high) -> Column:
     """The value as double, or NULL when it lies outside its range."""
     value = number_or_null(column)
+    if low is None and high is None:
+        return value
     return F.when(~outside(value, low, high), value)
 
 

@@ -215,22 +215,29 @@ def _learn_levels(df, categorical, by, key):
 
 
 def prepared_expressions(stats: PrepStatistics) -> dict:
-    """Name to expression for every prepared feature, in vector order."""
+    """Name to expression for every prepared feature, in vector order.
+
+    Each feature is one branch between a constant and one arithmetic step. Several prepared vectors share a
+    generated method when members of an ensemble score a row, so their code must stay small.
+    """
     out = {}
     for n in stats.usable_numbers:
         value = X.number_or_null(n.name)
-        if n.low is not None:
-            value = X.clipped(value, F.lit(n.low), F.lit(n.high))
-        out[n.name] = (F.coalesce(value, F.lit(n.median)) - F.lit(n.mean)) / F.lit(n.scale)
+        kept = value if n.low is None else F.least(F.greatest(value, F.lit(n.low)), F.lit(n.high))
+        scaled = (kept - F.lit(n.mean)) * F.lit(1.0 / n.scale)
+        out[n.name] = F.when(value.isNotNull(), scaled).otherwise(F.lit((n.median - n.mean) / n.scale))
     for n in stats.numbers:
         if n.had_missing:
-            missing = X.number_or_null(n.name).isNull().cast("double")
-            out[INDICATOR + n.name] = (missing - F.lit(n.missing_mean)) / F.lit(n.missing_scale)
+            present = F.lit((0.0 - n.missing_mean) / n.missing_scale)
+            missing = F.lit((1.0 - n.missing_mean) / n.missing_scale)
+            out[INDICATOR + n.name] = F.when(X.number_or_null(n.name).isNull(), missing).otherwise(present)
     for c in stats.levels:
         value = F.col(c.name).cast("string")
-        filled = F.coalesce(value, F.lit(c.fill)) if c.fill is not None else value
         for level in c.levels:
-            out[f"{c.name}_{level}"] = F.coalesce((filled == level).cast("double"), F.lit(0.0))
+            hit = value == level
+            if level == c.fill:
+                hit = value.isNull() | hit
+            out[f"{c.name}_{level}"] = F.when(hit, 1.0).otherwise(0.0)
     return out
 
 

@@ -18,65 +18,65 @@ from ebbtide.operators.ordering import value_edges
 BLOCK = 1024  # cells per weight matrix
 
 
-def _weights(keys, counts, rounds):
-    """One row of Poisson draws per cell, repeatable because the generator is keyed by the cell."""
-    draws = [
-        np.random.Generator(np.random.Philox(key=int(k) & 0xFFFFFFFFFFFFFFFF)).poisson(c, rounds)
-        for k, c in zip(keys, counts)
-    ]
-    return np.asarray(draws, dtype="float64").reshape(len(draws), rounds)
-
-
-class _Piece:
-    """Running sums over one piece of the score axis, fed in score order."""
-
-    def __init__(self, rounds):
-        self.rounds = rounds
-        self.pos, self.neg, self.pairs = np.zeros(rounds), np.zeros(rounds), np.zeros(rounds)
-        self.score, self.tied_pos, self.tied_neg = None, np.zeros(rounds), np.zeros(rounds)
-
-    def add(self, block):
-        weights = _weights(block["cell"].to_numpy(), block["n"].to_numpy(), self.rounds)
-        positive = block["y"].to_numpy()[:, None] == 1
-        scores = block["score"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
-        pos = np.add.reduceat(np.where(positive, weights, 0.0), starts, axis=0)
-        neg = np.add.reduceat(np.where(positive, 0.0, weights), starts, axis=0)
-        if self.score == scores[0]:
-            pos[0] += self.tied_pos
-            neg[0] += self.tied_neg
-        elif self.score is not None:
-            self.close()
-        # the last score may go on in the next block
-        self.score, self.tied_pos, self.tied_neg = scores[-1], pos[-1], neg[-1]
-        pos, neg = pos[:-1], neg[:-1]
-        below = self.neg + np.cumsum(neg, axis=0) - neg
-        self.pairs += (pos * (below + neg / 2.0)).sum(axis=0)
-        self.pos += pos.sum(axis=0)
-        self.neg += neg.sum(axis=0)
-
-    def close(self):
-        self.pairs += self.tied_pos * (self.neg + self.tied_neg / 2.0)
-        self.pos += self.tied_pos
-        self.neg += self.tied_neg
-        self.score, self.tied_pos, self.tied_neg = None, np.zeros(self.rounds), np.zeros(self.rounds)
-
-    def frame(self, which, piece):
-        self.close()
-        return pd.DataFrame(
-            {
-                "which": which,
-                "piece": piece,
-                "round": np.arange(self.rounds),
-                "pos": self.pos,
-                "neg": self.neg,
-                "pairs": self.pairs,
-            }
-        )
+def _piece_sums(rounds, block=BLOCK):
+    """A function over batches of cells sorted by (which, piece, score) that keeps vectors of length ``rounds``.
 
+    Everything it needs is defined inside, so workers can run it without the package being installed there.
+    """
 
-def _piece_sums(rounds):
-    """Reads cells sorted by (which, piece, score) and keeps only vectors of length ``rounds``."""
+    def weights(cells, counts):
+        """One row of Poisson draws per cell, repeatable because the generator is keyed by the cell."""
+        draws = [
+            np.random.Generator(np.random.Philox(key=int(k) & 0xFFFFFFFFFFFFFFFF)).poisson(c, rounds)
+            for k, c in zip(cells, counts)
+        ]
+        return np.asarray(draws, dtype="float64").reshape(len(draws), rounds)
+
+    class Piece:
+        """Running sums over one piece of the score axis, fed in score order."""
+
+        def __init__(self):
+            self.pos, self.neg, self.pairs = np.zeros(rounds), np.zeros(rounds), np.zeros(rounds)
+            self.score, self.tied_pos, self.tied_neg = None, np.zeros(rounds), np.zeros(rounds)
+
+        def add(self, cells):
+            drawn = weights(cells["cell"].to_numpy(), cells["n"].to_numpy())
+            positive = cells["y"].to_numpy()[:, None] == 1
+            scores = cells["score"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+            pos = np.add.reduceat(np.where(positive, drawn, 0.0), starts, axis=0)
+            neg = np.add.reduceat(np.where(positive, 0.0, drawn), starts, axis=0)
+            if self.score == scores[0]:
+                pos[0] += self.tied_pos
+                neg[0] += self.tied_neg
+            elif self.score is not None:
+                self.close()
+            # the last score may go on in the next block
+            self.score, self.tied_pos, self.tied_neg = scores[-1], pos[-1], neg[-1]
+            pos, neg = pos[:-1], neg[:-1]
+            below = self.neg + np.cumsum(neg, axis=0) - neg
+            self.pairs += (pos * (below + neg / 2.0)).sum(axis=0)
+            self.pos += pos.sum(axis=0)
+            self.neg += neg.sum(axis=0)
+
+        def close(self):
+            self.pairs += self.tied_pos * (self.neg + self.tied_neg / 2.0)
+            self.pos += self.tied_pos
+            self.neg += self.tied_neg
+            self.score, self.tied_pos, self.tied_neg = None, np.zeros(rounds), np.zeros(rounds)
+
+        def frame(self, which, piece):
+            self.close()
+            return pd.DataFrame(
+                {
+                    "which": which,
+                    "piece": piece,
+                    "round": np.arange(rounds),
+                    "pos": self.pos,
+                    "neg": self.neg,
+                    "pairs": self.pairs,
+                }
+            )
 
     def run(batches):
         open_key, piece = None, None
@@ -85,9 +85,9 @@ def _piece_sums(rounds):
                 if key != open_key:
                     if piece is not None:
                         yield piece.frame(*open_key)
-                    open_key, piece = key, _Piece(rounds)
-                for start in range(0, len(part), BLOCK):
-                    piece.add(part.iloc[start : start + BLOCK])
+                    open_key, piece = key, Piece()
+                for start in range(0, len(part), block):
+                    piece.add(part.iloc[start : start + block])
         if piece is not None:
             yield piece.frame(*open_key)
 

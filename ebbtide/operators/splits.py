@@ -39,6 +39,11 @@ def fold_starts(sizes: dict, folds) -> dict:
     return starts
 
 
+def stable_order() -> Column:
+    """An order that does not depend on a seed, for unshuffled folds of tables with text ids."""
+    return F.xxhash64(F.col(S.ID).cast("string"))
+
+
 def _place(order: Column, cuts: list) -> Column:
     """How many cut values are at or below the order value."""
     place = F.lit(0)
@@ -49,17 +54,15 @@ def _place(order: Column, cuts: list) -> Column:
 
 
 def _by_class(df, order, label, starts_of, group=None):
-    """Rank cuts per (group, class); group sizes are needed before ranks, so classes are counted together."""
+    """Rank cuts per (group, class); the sizes of all classes are needed before the ranks."""
     by = ([group] if group else []) + [label]
-    sizes = {}
-    for row in df.groupBy(*by).count().collect():
-        sizes.setdefault(row[group] if group else None, {})[row[label]] = row["count"]
-    wanted = {g: starts_of(classes) for g, classes in sizes.items()}
-
-    def starts(key, _size):
-        return wanted[key[0] if group else None][key[-1]]
-
-    return rank_cuts(df, order, by, starts)
+    sizes, classes = {}, {}
+    for row in df.filter(order.isNotNull()).groupBy(*by).count().collect():
+        key = tuple(row[b] for b in by)
+        sizes[key] = row["count"]
+        classes.setdefault(key[:-1], {})[key[-1]] = row["count"]
+    wanted = {g: starts_of(c) for g, c in classes.items()}
+    return rank_cuts(df, order, by, {key: wanted[key[:-1]][key[-1]] for key in sizes}, sizes)
 
 
 def with_holdout(df: DataFrame, share=S.HOLDOUT_SHARE, seed=S.SEED, order=None, label=S.LABEL,
@@ -95,25 +98,29 @@ def fold_expression(cuts: dict, order: Column, label=S.LABEL, group=None) -> Col
     return fold
 
 
+def with_fold_schemes(df: DataFrame, schemes: dict, folds=S.FOLDS, label=S.LABEL) -> DataFrame:
+    """One stratified fold column per scheme (column name -> order expression); all share the same scans."""
+    names = list(schemes)
+    orders = [schemes[n] for n in names]
+    long = df.select(F.col(label), F.posexplode(F.array(*orders)).alias("_scheme", "_order"))
+    cuts = _by_class(long, F.col("_order"), label, lambda sizes: fold_starts(sizes, folds), "_scheme")
+    return df.withColumns({n: fold_expression(cuts, orders[i], label, i) for i, n in enumerate(names)})
+
+
 def with_folds(df: DataFrame, folds=S.FOLDS, seed=S.SEED, order=None, label=S.LABEL, name="fold") -> DataFrame:
     """Stratified folds; shuffled by seed, or in the given numeric order for unshuffled folds."""
-    order = _order(order, seed)
-    cuts = _by_class(df, order, label, lambda sizes: fold_starts(sizes, folds))
-    return df.withColumn(name, fold_expression(cuts, order, label))
+    return with_fold_schemes(df, {name: _order(order, seed)}, folds, label)
+
+
+def repeat_orders(repeats=S.REPEATS, seed=S.SEED, prefix="fold_") -> dict:
+    """A differently shuffled order per repeat."""
+    return {f"{prefix}{r}": shuffled_order(S.ID, seed + 1000 * (r + 1)) for r in range(repeats)}
 
 
 def with_repeated_folds(df: DataFrame, folds=S.FOLDS, repeats=S.REPEATS, seed=S.SEED, label=S.LABEL,
                         prefix="fold_") -> DataFrame:
-    """One fold column per repeat, each with its own shuffle; all repeats share the same two scans."""
-    orders = [shuffled_order(S.ID, seed + 1000 * (r + 1)) for r in range(repeats)]
-    long = df.select(
-        F.col(label),
-        F.posexplode(F.array(*orders)).alias("_repeat", "_order"),
-    )
-    cuts = _by_class(long, F.col("_order"), label, lambda sizes: fold_starts(sizes, folds), "_repeat")
-    return df.withColumns(
-        {f"{prefix}{r}": fold_expression(cuts, orders[r], label, r) for r in range(repeats)}
-    )
+    """One fold column per repeat, each with its own shuffle."""
+    return with_fold_schemes(df, repeat_orders(repeats, seed, prefix), folds, label)
 
 
 def with_inner_folds(df: DataFrame, outer, outer_folds, folds=S.FOLDS, order=None, label=S.LABEL,
@@ -122,7 +129,7 @@ def with_inner_folds(df: DataFrame, outer, outer_folds, folds=S.FOLDS, order=Non
 
     The order must be numeric; text ids use an unseeded hash, because only a stable order is needed.
     """
-    order = F.xxhash64(F.col(S.ID).cast("string")) if order is None else _order(order, 0)
+    order = stable_order() if order is None else _order(order, 0)
     others = F.array_remove(F.sequence(F.lit(0), F.lit(outer_folds - 1)), F.col(outer))
     long = df.select(F.col(label), order.alias("_order"), F.explode(others).alias("_left_out"))
     cuts = _by_class(long, F.col("_order"), label, lambda sizes: fold_starts(sizes, folds), "_left_out")
