@@ -1,6 +1,6 @@
 """Registered queries, grouped by theme, with their check SQL."""
 
-from ebbtide.catalog import quality
+from ebbtide.catalog import drifting, evaluation, quality
 from ebbtide.catalog.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "quality"]
+__all__ = ["CHECKS", "QUERIES", "drifting", "evaluation", "quality"]
