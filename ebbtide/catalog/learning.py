@@ -10,10 +10,10 @@ from ebbtide.catalog import fixtures as X
 from ebbtide.catalog.registry import query, rounded
 from ebbtide.catalog.quality import _rule_sql
 from ebbtide.operators import explain, models, splits
-from ebbtide.operators.models import SCORE, Split, TrainingSettings
+from ebbtide.operators.models import SCORE, TrainingSettings
 from ebbtide.operators.scoring import score_frame
 from ebbtide.plans import drift_job, training
-from ebbtide.session import scratch_path
+from ebbtide.session import materialized, scratch_path
 from ebbtide.sources import runs
 from ebbtide.streaming import incremental
 
@@ -62,8 +62,7 @@ def m3_gradient_boosting(spark, folder):
 
 def _folded(spark, folder, settings):
     """Training rows with the fold columns, kept for the many fits that read them."""
-    train, holdout = training.split_base(_customers(spark, folder), settings)
-    return train.persist(), holdout
+    return training.split_base(_customers(spark, folder), settings)
 
 
 @query("m5_calibrated_scores")
@@ -89,13 +88,12 @@ def m7_bakeoff(spark, folder):
 def m10_holdout_metrics(spark, folder):
     """All candidates refitted on the training rows and measured on the hold-out at 0.5."""
     customers = models.stateless_features(_customers(spark, folder))
-    marked = splits.with_holdout(customers).persist()
-    train, holdout = marked.filter("NOT is_holdout"), marked.filter("is_holdout")
-    whole = models.prepare_splits(train, [Split("all", F.lit(True), F.lit(False))], BUDGET)["all"]
-    wide = holdout
-    for name in BUDGET.models:
-        wide = models.positive_probability(models.fit_on_split(train, whole, name, BUDGET), wide, name)
-    scores = wide.select(S.ID, S.LABEL, *BUDGET.models).persist()
+    marked = materialized(splits.with_holdout(customers), "marked")
+    train, wide = marked.filter("NOT is_holdout"), marked.filter("is_holdout")
+    whole = models.prepare_splits(train, [training.whole_split()], BUDGET)["all"]
+    for name, model in training.fit_candidates(train, whole, BUDGET).items():
+        wide = models.positive_probability(model, wide, name)
+    scores = materialized(wide.select(S.ID, S.LABEL, *BUDGET.models), "holdout-scores")
     return rounded(training.per_model_metrics(scores, BUDGET.models))
 
 

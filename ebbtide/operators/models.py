@@ -42,7 +42,7 @@ class TrainingSettings:
     boosting_rounds: int = 100
     boosting_depth: int = 5
     bootstrap_rounds: int = S.BOOTSTRAP_ROUNDS
-    parallel_fits: int = 4
+    parallel_fits: int = 8
     numeric: tuple = tuple(S.MODEL_NUMERIC)
     categorical: tuple = tuple(S.CATEGORICAL)
     scenarios: dict = field(default_factory=lambda: dict(S.SCENARIOS))
@@ -263,28 +263,34 @@ def _fit_member(base, prepared: PreparedSplit, name, settings, suffix):
     return [prep, model, stage], score, working
 
 
-def fit_calibrated(base: DataFrame, members: list[PreparedSplit], name, settings) -> PipelineModel:
-    """Per split: fit on one part, calibrate on the other; the model's score is the mean over the splits.
-
-    The result is one flat PipelineModel, so it is saved, loaded and applied to streams like any other.
-    """
-    fitted = in_parallel(
+def fit_members(base: DataFrame, members: list[PreparedSplit], name, settings) -> list:
+    """Fitted and calibrated members, one per split, side by side."""
+    return in_parallel(
         base.sparkSession,
-        [
-            lambda i=i, m=m: _fit_member(base, m, name, settings, f"_{i}")
-            for i, m in enumerate(members)
-        ],
+        [lambda i=i, m=m: _fit_member(base, m, name, settings, f"_{i}") for i, m in enumerate(members)],
         settings.parallel_fits,
     )
+
+
+def average_of(members: list) -> PipelineModel:
+    """One flat PipelineModel whose score is the mean of its members' calibrated scores.
+
+    Being flat, it is saved, loaded and applied to streams like any other pipeline.
+    """
     stages = [RangeRepair(), DerivedFeatures()]
     scores, working = [], []
-    for member, score, used in fitted:
+    for member, score, used in members:
         stages += member
         scores.append(score)
         working += used
     return PipelineModel([*stages, MeanScore(inputCols=scores, outputCol=SCORE, working=working)])
 
 
+def fit_calibrated(base: DataFrame, members: list[PreparedSplit], name, settings) -> PipelineModel:
+    """Per split: fit on one part, calibrate on the other; the model's score is the mean over the splits."""
+    return average_of(fit_members(base, members, name, settings))
+
+
 def fold_splits(column, folds, within=None, prefix="") -> list[Split]:
     """Leave-one-fold-out splits of a fold column, optionally inside a subset of the rows."""
     inside = F.lit(True) if within is None else within

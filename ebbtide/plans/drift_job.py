@@ -5,12 +5,13 @@ from pyspark.sql import DataFrame
 from ebbtide import settings as S
 from ebbtide.operators.drift import drift_report
 from ebbtide.operators.models import SCORE
+from ebbtide.session import materialized
 from ebbtide.sources import runs
 
 
 def _scorer(run):
     """Scores of the saved model, kept once because several measures read them."""
-    return lambda df: run.score(df).select(S.ID, SCORE).persist()
+    return lambda df: materialized(run.score(df).select(S.ID, SCORE), "drift-scores")
 
 
 def write_drift_report(reference: DataFrame, current: DataFrame, path, run_path=None, runs_folder=None,

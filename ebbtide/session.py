@@ -43,6 +43,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/ebbtide/{label}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a columnar table in the shared folder and read back.
+
+    Later passes read fixed rows and only the columns they need, survive lost executors, and their plans no
+    longer carry everything that led to the table.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that later passes read fixed rows."""
     shared_folder(df.sparkSession)
