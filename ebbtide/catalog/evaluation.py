@@ -6,6 +6,7 @@ from ebbtide import settings as S
 from ebbtide.catalog import fixtures as X
 from ebbtide.catalog.registry import query, r6, rounded
 from ebbtide.operators import campaign, ranking, resample, splits
+from ebbtide.session import small_table
 from ebbtide.sources import derived
 
 COST, VALUE, UPLIFT = S.SCENARIOS[S.DEFAULT_SCENARIO]
@@ -343,7 +344,7 @@ SELECT {r6('t_star', 't_star')}, {r6('best_ev', 'best_ev')},
 def e9_e10_cut_points(spark, folder):
     cuts = campaign.fit_cut_points(X.scores(spark, folder).persist(), "p_a")
     row = (cuts.t_star, cuts.best_ev, cuts.t_mid, cuts.break_even)
-    return rounded(spark.createDataFrame([row], "t_star double, best_ev double, t_mid double, break_even double"))
+    return rounded(small_table(spark, [row], "t_star double, best_ev double, t_mid double, break_even double"))
 
 
 def _scenario_ev(tp, fp):

@@ -10,6 +10,7 @@ from ebbtide.catalog import fixtures as X
 from ebbtide.catalog.registry import query, rounded
 from ebbtide.catalog.quality import _rule_sql
 from ebbtide.operators import explain, models, splits
+from ebbtide.operators.campaign import fit_cut_points
 from ebbtide.operators.models import SCORE, TrainingSettings
 from ebbtide.operators.scoring import score_frame
 from ebbtide.plans import drift_job, training
@@ -204,8 +205,13 @@ def st1_stream_quarantine(spark, folder):
 
 
 def flagship(spark, folder):
-    """Train, calibrate, choose cut points, and score every customer with tier and reasons."""
+    """Train and calibrate the linear model, fit cut points on out-of-fold scores, score every customer."""
     customers = _customers(spark, folder)
-    result = training.train_and_evaluate(customers, LINEAR)
-    cuts = result.cuts
-    return score_frame(customers, result.calibrated, cuts.t_star, cuts.t_mid, result.base_linear)
+    train, _ = _folded(spark, folder, LINEAR)
+    name = "logistic_regression"
+    prepared = training.prepare_everything(train, LINEAR)
+    oof = materialized(training.out_of_fold_scores(train, name, LINEAR, prepared), "out-of-fold")
+    cuts = fit_cut_points(oof, SCORE)
+    calibrated = training.calibrated_on(train, name, LINEAR, prepared)
+    linear = training.fit_candidates(train, prepared["all"], LINEAR)[name]
+    return score_frame(customers, calibrated, cuts.t_star, cuts.t_mid, linear)

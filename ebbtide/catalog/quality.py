@@ -8,7 +8,7 @@ from ebbtide.catalog.registry import query, r6, rounded
 from ebbtide.functions.columns import risk_tier
 from ebbtide.operators import campaign, contracts, prep, profiling, splits
 from ebbtide.operators.scoring import scored_records
-from ebbtide.session import scratch_path
+from ebbtide.session import scratch_path, small_table
 from ebbtide.sources import derived, tables
 
 T_STAR, T_MID = 0.12, 0.06  # cut points of the tier queries on ``p_a``
@@ -367,7 +367,7 @@ def p1_range_repair(spark, folder):
 def p2_clip_bounds(spark, folder):
     train = X.prepared(spark, folder).filter(X.TRAIN).persist()
     rows = [(c, *b) for c, b in prep.clip_bounds(train, S.CLIPPED).items()]
-    return rounded(spark.createDataFrame(rows, "column string, low double, high double"))
+    return rounded(small_table(spark, rows, "column string, low double, high double"))
 
 
 @query(
@@ -403,7 +403,7 @@ def _statistics(spark, folder):
 def p7_medians(spark, folder):
     _, stats = _statistics(spark, folder)
     rows = [(n.name, n.median) for n in stats.numbers]
-    return rounded(spark.createDataFrame(rows, "column string, median double"))
+    return rounded(small_table(spark, rows, "column string, median double"))
 
 
 def _indicator_sql():
@@ -454,7 +454,7 @@ def p9_standardized(spark, folder):
 def p10_most_frequent_levels(spark, folder):
     train = X.prepared(spark, folder).filter(X.TRAIN)
     stats = prep.learn_statistics(train, numeric=[])[None]
-    return spark.createDataFrame([(v.name, v.fill) for v in stats.levels], "column string, fill string")
+    return small_table(spark, [(v.name, v.fill) for v in stats.levels], "column string, fill string")
 
 
 def _onehot_sql():
@@ -496,7 +496,7 @@ def p12_feature_vector(spark, folder):
 @query("p13_feature_names")
 def p13_feature_names(spark, folder):
     _, stats = _statistics(spark, folder)
-    return spark.createDataFrame(list(enumerate(stats.feature_names())), "position int, feature string")
+    return small_table(spark, list(enumerate(stats.feature_names())), "position int, feature string")
 
 
 @query(

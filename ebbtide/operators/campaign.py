@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ebbtide import settings as S
 from ebbtide.functions.columns import grid_step, risk_tier
 from ebbtide.operators.ordering import order_values
+from ebbtide.session import small_table
 
 STEPS = 101
 
@@ -27,7 +28,7 @@ def break_even(cost, value, uplift) -> Column:
 
 def scenario_table(spark: SparkSession, scenarios=None) -> DataFrame:
     rows = [(n, *map(float, p)) for n, p in (scenarios or S.SCENARIOS).items()]
-    return spark.createDataFrame(rows, "scenario string, cost double, value double, uplift double")
+    return small_table(spark, rows, "scenario string, cost double, value double, uplift double")
 
 
 def grid_counts(df: DataFrame, score, label=S.LABEL, by=()) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import settings as S
 from ebbtide.functions.columns import number_or_null, outside
+from ebbtide.session import small_table
 
 
 class ContractError(ValueError):
@@ -20,9 +21,8 @@ def column_contract(df: DataFrame, require_label=True) -> DataFrame:
     """One row per required column: is it there, and with which type."""
     needed = [S.ID, *S.RAW_FEATURES] + ([S.LABEL] if require_label else [])
     types = dict(df.dtypes)
-    return df.sparkSession.createDataFrame(
-        [(c, c in types, types.get(c)) for c in needed], "column string, present boolean, type string"
-    )
+    rows = [(c, c in types, types.get(c)) for c in needed]
+    return small_table(df.sparkSession, rows, "column string, present boolean, type string")
 
 
 def repeated_keys(df: DataFrame, key=S.ID) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ebbtide import settings as S
 from ebbtide.functions.columns import drift_band, interior_edges_at_or_below, number_or_null
 from ebbtide.operators import ordering
+from ebbtide.session import small_table
 
 EPS = S.PSI_EPSILON
 
@@ -122,7 +123,7 @@ def level_counts(reference: DataFrame, current: DataFrame, numeric=(), categoric
     if not empty_bins:
         return counts
     # Bins that no row falls into still count in the smoothed sum.
-    frame = spark.createDataFrame(empty_bins, "feature string, level string, ref bigint, cur bigint")
+    frame = small_table(spark, empty_bins, "feature string, level string, ref bigint, cur bigint")
     return (
         counts.unionByName(frame)
         .groupBy("feature", "level")
@@ -179,7 +180,7 @@ def numeric_psi(reference: DataFrame, current: DataFrame, column, bins=S.PSI_BIN
     counts = level_counts(reference, current, [column], [], bins).filter(F.col("level").isNotNull())
     psi = psi_from_counts(counts, by=["feature"])
     one_sided = (F.col("ref_rows") == 0) | (F.col("cur_rows") == 0)
-    frame = reference.sparkSession.createDataFrame([(column,)], "feature string")
+    frame = small_table(reference.sparkSession, [(column,)], "feature string")
     value = F.when(one_sided | F.col("psi").isNull(), 0.0).otherwise(F.col("psi"))
     return frame.join(psi, "feature", "left").select("feature", value.alias("psi"))
 
@@ -188,7 +189,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns, edges=None)
     columns = [columns] if isinstance(columns, str) else list(columns)
     numbers = _long(both_sides(reference, current, columns), columns, number_or_null)
     found = _ks(numbers.filter(F.col("value").isNotNull()), edges)
-    frame = reference.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    frame = small_table(reference.sparkSession, [(c,) for c in columns], "feature string")
     return frame.join(found, "feature", "left").select("feature", F.coalesce("ks", F.lit(0.0)).alias("ks"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ebbtide import settings as S
 from ebbtide.functions import columns as X
 from ebbtide.operators.prep import FeaturePrepModel
+from ebbtide.session import small_table
 
 
 class NotLinearError(TypeError):
@@ -35,7 +36,7 @@ def named_coefficients(names, values) -> dict[str, float]:
 
 def coefficient_table(spark: SparkSession, coefficients: dict[str, float]) -> DataFrame:
     rows = [(i, n, float(v)) for i, (n, v) in enumerate(coefficients.items())]
-    return spark.createDataFrame(rows, "position int, feature string, coef double")
+    return small_table(spark, rows, "position int, feature string, coef double")
 
 
 def odds_ratios(coefficients: DataFrame, top=None) -> DataFrame:

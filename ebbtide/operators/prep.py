@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ebbtide import settings as S
 from ebbtide.functions import columns as X
 from ebbtide.operators.ordering import order_values
+from ebbtide.session import small_table
 
 INDICATOR = "missingindicator_"
 
@@ -160,7 +161,7 @@ def _learn_scales(df, numeric, by, key, numbers):
     spark = df.sparkSession
     rows = [(g, n.name, n.low, n.high, n.median) for g, cs in numbers.items() for n in cs.values()]
     kind = df.schema[by[0]].dataType.simpleString() if by else "string"
-    learned = spark.createDataFrame(rows, f"_g {kind}, _c string, low double, high double, median double")
+    learned = small_table(spark, rows, f"_g {kind}, _c string, low double, high double, median double")
     entries = [F.struct(F.lit(c).alias("_n"), X.number_or_null(c).alias("value")) for c in numeric]
     long = df.select(*by, F.inline(F.array(*entries)))
     match = F.col("_n") == F.col("_c")

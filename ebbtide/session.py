@@ -3,7 +3,10 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores="*", partitions=8, app="ebbtide"):
@@ -22,6 +25,23 @@ def local_session(cores="*", partitions=8, app="ebbtide"):
     )
 
 
+def small_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A driver-side list of a few tuples as a local table: no Python worker, and its size is known."""
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def plain(value, kind):
+        if value is None:
+            return None
+        if isinstance(kind, T.StructType):
+            return {f.name: plain(v, f.dataType) for f, v in zip(kind, value)}
+        if isinstance(kind, T.ArrayType):
+            return [plain(v, kind.elementType) for v in value]
+        return value
+
+    table = pa.Table.from_pylist([plain(tuple(r), fields) for r in rows], schema=to_arrow_schema(fields))
+    return spark.createDataFrame(table, fields)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``, or a local one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
