@@ -24,6 +24,7 @@ from ebbtide.operators.ordering import order_values
 from ebbtide.session import small_table
 
 INDICATOR = "missingindicator_"
+MAX_LEVEL_ROWS = 100_000  # one-hot levels become feature columns, so they must fit on the driver
 
 
 @dataclass
@@ -201,8 +202,11 @@ def _learn_levels(df, categorical, by, key):
         .filter(F.col("level").isNotNull())
         .groupBy(*by, "_n", "level")
         .count()
+        .limit(MAX_LEVEL_ROWS + 1)
         .collect()
     )
+    if len(counts) > MAX_LEVEL_ROWS:
+        raise ValueError(f"one-hot columns have more than {MAX_LEVEL_ROWS} levels; map them to fewer levels first")
     seen = defaultdict(lambda: defaultdict(list))
     for row in counts:
         seen[key(row)][row["_n"]].append((-row["count"], row["level"]))

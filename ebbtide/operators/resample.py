@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
-from ebbtide.functions.columns import interior_edges_at_or_below, shuffled_order
-from ebbtide.operators.ordering import value_edges
+from ebbtide.functions.columns import shuffled_order
+from ebbtide.operators.ordering import value_edges, with_piece
 
 BLOCK = 1024  # cells per weight matrix
 
@@ -113,7 +113,7 @@ def bootstrap_aucs(df: DataFrame, scores, label=S.LABEL, rounds=S.BOOTSTRAP_ROUN
     edges = value_edges(
         usable.select(F.explode(F.array(*scores)).alias("score")), "score", single_window_rows=0, pieces=pieces
     )
-    split = long.withColumn("piece", interior_edges_at_or_below(F.col("score"), edges))
+    split = with_piece(long, "score", edges, "piece")
     sums = (
         split.repartition((len(edges) + 1) * len(scores), "which", "piece")
         .sortWithinPartitions("which", "piece", "score")

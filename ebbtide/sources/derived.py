@@ -55,7 +55,7 @@ def customer_table(spark: SparkSession, folder: str, dirty=False, text_id=False)
         )
     )
     nations = table(spark, folder, "nation").join(
-        F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     customers = (
         table(spark, folder, "customer")
