@@ -80,55 +80,56 @@ def _numeric_level(edges: dict[str, list[float]]) -> Column:
     return level
 
 
-def _ks(numbers: DataFrame, edges=None) -> DataFrame:
+def _number_cells(reference, current, columns) -> DataFrame:
+    """Rows of both sides per (feature, value); text that is no number and missing values are dropped."""
+    numbers = _long(both_sides(reference, current, columns), columns, number_or_null)
+    return numbers.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(*_side_counts())
+
+
+def _number_edges(reference, current, columns) -> list[float]:
+    numbers = _long(both_sides(reference, current, columns), columns, number_or_null)
+    return ordering.value_edges(numbers.filter(F.col("value").isNotNull()), "value")
+
+
+def _ks(cells: DataFrame, edges) -> DataFrame:
     """Largest distance of the two cumulative shares per feature; 0 when one side is empty."""
-    cells = numbers.groupBy("feature", "value").agg(*_side_counts())
-    if edges is None:
-        edges = ordering.value_edges(numbers, "value")
     totals = ordering.running_totals(cells, ["feature"], "value", ["ref", "cur"], edges)
-    gap = F.abs(
-        F.try_divide("ref_upto", "ref_total") - F.try_divide("cur_upto", "cur_total")
-    )
+    gap = F.abs(F.try_divide("ref_upto", "ref_total") - F.try_divide("cur_upto", "cur_total"))
     return totals.groupBy("feature").agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 
 def level_counts(reference: DataFrame, current: DataFrame, numeric=(), categorical=(), bins=S.PSI_BINS,
-                 numbers=None) -> DataFrame:
-    """Counts of both sides per (feature, level): bins for numbers, values for categories."""
-    spark = reference.sparkSession
+                 cells=None) -> DataFrame:
+    """Counts of both sides per (feature, level): bins for numbers, values for categories.
+
+    Numbers are grouped by value first; the same cells serve the KS statistic.
+    """
     parts = []
     if categorical:
-        rows = both_sides(reference, current, categorical)
-        parts.append(
-            _long(rows, categorical, lambda c: F.col(c).cast("string")).select(
-                "feature", F.coalesce("value", F.lit(S.MISSING_LEVEL)).alias("level"), "side"
-            )
+        rows = _long(
+            both_sides(reference, current, categorical), categorical, lambda c: F.col(c).cast("string")
         )
-    empty_bins = []
+        level = F.coalesce("value", F.lit(S.MISSING_LEVEL)).alias("level")
+        parts.append(rows.groupBy("feature", level).agg(*_side_counts()))
     if numeric:
-        if numbers is None:
-            numbers = _long(both_sides(reference, current, numeric), numeric, number_or_null)
+        if cells is None:
+            cells = _number_cells(reference, current, numeric)
         edges = decile_edges(reference, numeric, bins)
-        parts.append(
-            numbers.filter(F.col("value").isNotNull()).select(
-                "feature", _numeric_level(edges).alias("level"), "side"
-            )
-        )
-        empty_bins = [
+        # Bins that no row falls into still count in the smoothed sum.
+        empty = [
             (c, str(i), 0, 0) for c, marks in edges.items() if len(marks) >= 3 for i in range(len(marks) - 1)
         ]
-        empty_bins += [(c, None, 0, 0) for c, marks in edges.items() if len(marks) < 3]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    counts = rows.groupBy("feature", "level").agg(*_side_counts())
-    if not empty_bins:
-        return counts
-    # Bins that no row falls into still count in the smoothed sum.
-    frame = small_table(spark, empty_bins, "feature string, level string, ref bigint, cur bigint")
-    return (
-        counts.unionByName(frame)
-        .groupBy("feature", "level")
-        .agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
-    )
+        levels = cells.select("feature", _numeric_level(edges).alias("level"), "ref", "cur")
+        if empty:
+            levels = levels.unionByName(
+                small_table(
+                    reference.sparkSession, empty, "feature string, level string, ref bigint, cur bigint"
+                )
+            )
+        parts.append(
+            levels.groupBy("feature", "level").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+        )
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, numeric=None, categorical=None,
@@ -139,20 +140,17 @@ def feature_drift(reference: DataFrame, current: DataFrame, numeric=None, catego
     """
     numeric = S.NUMERIC if numeric is None else numeric
     categorical = S.CATEGORICAL if categorical is None else categorical
-    numbers = _long(both_sides(reference, current, numeric), numeric, number_or_null) if numeric else None
-    counts = level_counts(reference, current, numeric, categorical, bins, numbers)
-    # the placeholder level of a short numeric feature carries no rows and adds nothing
-    counts = counts.filter(F.col("level").isNotNull())
-    psi = psi_from_counts(counts, by=["feature"])
+    cells = _number_cells(reference, current, numeric) if numeric else None
+    psi = psi_from_counts(
+        level_counts(reference, current, numeric, categorical, bins, cells), by=["feature"]
+    )
+    is_number = F.col("feature").isin(list(numeric))
+    out = _missing_rates(current, [*categorical, *numeric], numeric).join(psi, "feature", "left")
     if numeric:
-        is_number = F.col("feature").isin(list(numeric))
         one_sided = (F.col("ref_rows") == 0) | (F.col("cur_rows") == 0)
-        psi = psi.withColumn("psi", F.when(is_number & one_sided, 0.0).otherwise(F.col("psi")))
-    missing = _missing_rates(current, [*categorical, *numeric], numeric)
-    out = missing.join(psi, "feature", "left")
-    if numeric:
-        out = out.join(_ks(numbers.filter(F.col("value").isNotNull())), "feature", "left")
-        out = out.withColumn("ks", F.when(is_number, F.coalesce("ks", F.lit(0.0))))
+        out = out.withColumn("psi", F.when(is_number & one_sided, 0.0).otherwise(F.col("psi")))
+        ks = _ks(cells, _number_edges(reference, current, numeric))
+        out = out.join(ks, "feature", "left").withColumn("ks", F.when(is_number, F.coalesce("ks", F.lit(0.0))))
     else:
         out = out.withColumn("ks", F.lit(None).cast("double"))
     psi_value = F.coalesce("psi", F.lit(0.0))
@@ -177,8 +175,7 @@ def categorical_psi(reference: DataFrame, current: DataFrame, column) -> DataFra
 
 
 def numeric_psi(reference: DataFrame, current: DataFrame, column, bins=S.PSI_BINS) -> DataFrame:
-    counts = level_counts(reference, current, [column], [], bins).filter(F.col("level").isNotNull())
-    psi = psi_from_counts(counts, by=["feature"])
+    psi = psi_from_counts(level_counts(reference, current, [column], [], bins), by=["feature"])
     one_sided = (F.col("ref_rows") == 0) | (F.col("cur_rows") == 0)
     frame = small_table(reference.sparkSession, [(column,)], "feature string")
     value = F.when(one_sided | F.col("psi").isNull(), 0.0).otherwise(F.col("psi"))
@@ -187,8 +184,9 @@ def numeric_psi(reference: DataFrame, current: DataFrame, column, bins=S.PSI_BIN
 
 def ks_statistic(reference: DataFrame, current: DataFrame, columns, edges=None) -> DataFrame:
     columns = [columns] if isinstance(columns, str) else list(columns)
-    numbers = _long(both_sides(reference, current, columns), columns, number_or_null)
-    found = _ks(numbers.filter(F.col("value").isNotNull()), edges)
+    if edges is None:
+        edges = _number_edges(reference, current, columns)
+    found = _ks(_number_cells(reference, current, columns), edges)
     frame = small_table(reference.sparkSession, [(c,) for c in columns], "feature string")
     return frame.join(found, "feature", "left").select("feature", F.coalesce("ks", F.lit(0.0)).alias("ks"))
 
