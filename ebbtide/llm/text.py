@@ -1,10 +1,11 @@
 """What the corpus operators share: words, row identities and public tokenizers."""
 
 import functools
-import re
-import struct
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at the same places.
@@ -23,83 +24,105 @@ def row_hash(id_column="doc_id", text_column="text"):
     return F.xxhash64(F.col(id_column), F.col(text_column))
 
 
+def whole_text(column="text"):
+    """The whole text; null is empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def text_bytes(column="text"):
     """The whole text as UTF-8 bytes; null is empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+    return whole_text(column).cast("binary")
 
 
 def vocabulary(name):
     return public_tokenizers.path(name)
 
 
-# Letters that every step of the encoder maps one to one, so that places in a joined text stay known.
-_PLAIN = re.compile("[\x21-\x7eÀ-ɏ]+")
-
-
 class WordEncoder:
     """Ids of whole texts, encoded word by word.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its words in
-    order. Each distinct word is encoded by the library once and remembered, up to ``limit`` words.
+    The vocabulary drops white space and never merges across it, so a text's ids are those of its words in order. A
+    group of texts is cut into words and its distinct words are looked up among those the library has encoded before;
+    only new words go to it. ``limit`` bounds how many words are remembered, in flat arrays.
     """
 
-    GROUP = 200
+    #: Words are handed to the library many at a time, with a special token between them.
+    JOINED = 200
 
-    def __init__(self, path, limit=500_000):
+    def __init__(self, path, limit=600_000, separator="<|startoftext|>"):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.known = {}
+        self.separator = separator
+        self.separator_id = self.tokenizer.token_to_id(separator)
+        self._forget()
 
-    @staticmethod
-    def _key(word):
-        # The vocabulary is lower case; special tokens are recognised before that, so their strings stay.
-        return word if b"<|" in word else word.lower()
+    def _forget(self):
+        self.words = pa.array([], pa.string())
+        self.ids = np.empty(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
 
     def _learn(self, words):
-        plain, rest = [], []
-        for word in words:
-            decoded = word.decode("utf-8", "replace")
-            (plain if _PLAIN.fullmatch(decoded) and b"<|" not in word else rest).append((word, decoded))
-        groups = [plain[i : i + self.GROUP] for i in range(0, len(plain), self.GROUP)]
-        joined = [" ".join(d for _, d in group) for group in groups]
-        for group, encoding in zip(groups, self.tokenizer.encode_batch(joined, add_special_tokens=False)):
-            ids = encoding.ids
-            at, end, k = 0, 0, 0
-            starts = [s for s, _ in encoding.offsets]
-            for word, decoded in group:
-                end += len(decoded) + 1
-                while k < len(ids) and starts[k] < end:
-                    k += 1
-                self.known[word] = struct.pack(f"<{k - at}I", *ids[at:k])
-                at = k
-        alone = self.tokenizer.encode_batch_fast([d for _, d in rest], add_special_tokens=False)
-        for (word, _), encoding in zip(rest, alone):
-            self.known[word] = struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
-
-    def encode_all(self, texts, batch_bytes=4_000_000):
-        """Ids of each text; words of several texts are learnt together."""
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= batch_bytes:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts):
-        if not texts:
-            return []
-        parts = [[self._key(w) for w in t.split()] if b"<|" in t else t.lower().split() for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = {w for w in set().union(*parts) if w not in known}
-        if new:
+        """Append the ids of words not known yet."""
+        listed = words.to_pylist()
+        plain = [w for w in listed if "<|" not in w and w]
+        rest = [w for w in listed if "<|" in w or not w]
+        parts, sizes = [], []
+        joined = [self.separator.join(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]
+        for encoding in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(encoding.ids, np.uint32)
+            cut = ids == self.separator_id
+            parts.append(ids[~cut])
+            at = np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])
+            sizes.append(np.diff(at) - 1)
+        for encoding in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            parts.append(np.array(encoding.ids, np.uint32))
+            sizes.append([len(encoding.ids)])
+        self.words = pa.concat_arrays([self.words, pa.array(plain + rest, pa.string())])
+        self.ids = np.concatenate([self.ids, *parts])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _known(self, distinct):
+        """Row of each distinct word among those known."""
+        if len(self.words) > self.limit:
+            self._forget()
+        new = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.words)))
+        if len(new):
             self._learn(new)
-        return [b"".join([known[w] for w in words]) for words in parts]
+        return pc.index_in(distinct, value_set=self.words).to_numpy().astype(np.int64)
+
+    def encode_group(self, texts: pa.Array):
+        """(ids of all texts one after the other, end of each text's ids) for an array of strings without nulls."""
+        # The vocabulary is lower case. Special tokens are recognised before that, so texts with such marks stay.
+        marked = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        row = self._known(coded.dictionary)[coded.indices.to_numpy()]
+        sizes = self.ends[row + 1] - self.ends[row]
+        ends = np.cumsum(sizes)
+        source = np.repeat(self.ends[row] - (ends - sizes), sizes)
+        source += np.arange(len(source))
+        counts = np.asarray(words.value_lengths()).astype(np.int64)
+        last = np.cumsum(counts)
+        return self.ids[source], np.concatenate([[0], ends])[last]
+
+    def encode_all(self, texts: pa.Array, group_chars=4_000_000):
+        """(ids, ends) as ``encode_group``, for groups of texts of bounded size: yields (first text, ids, ends)."""
+        sizes = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        first = 0
+        while first < len(texts):
+            before = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + group_chars, side="right")))
+            yield first, *self.encode_group(texts.slice(first, last - first))
+            first = last
+
+    def encode_each(self, texts: pa.Array):
+        """Ids of each text as an array of unsigned 32-bit numbers."""
+        for _, ids, ends in self.encode_all(texts):
+            yield from np.split(ids, ends[:-1])
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,22 +1,25 @@
 """Exact length histogram: documents by encoded length, with suffix sums for every context limit."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.text import text_bytes, vocabulary, word_encoder
+from ebbtide.llm.text import vocabulary, whole_text, word_encoder
+from ebbtide.session import materialized
 
 #: Lengths whose suffix sums one task adds up; sums of whole blocks come first.
 BLOCK = 1024
 
 
 def token_length(column, path=None):
-    """Number of ids of each whole text (a column of bytes)."""
+    """Number of ids of each whole text (a column without nulls)."""
     path = path or vocabulary("word_bpe_49k.json")
 
-    @F.pandas_udf("long")
-    def lengths(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(ids) // 4 for ids in word_encoder(path).encode_all(texts)], dtype="int64")
+    @F.arrow_udf("long")
+    def lengths(texts: pa.Array) -> pa.Array:
+        counted = [np.diff(ends, prepend=0) for _, _, ends in word_encoder(path).encode_all(texts)]
+        return pa.array(np.concatenate(counted) if counted else [], pa.int64())
 
     return lengths(column)
 
@@ -28,7 +31,7 @@ def length_histogram(docs: DataFrame, path=None) -> DataFrame:
     columns may have any name. An empty table gives an empty histogram.
     """
     return (
-        docs.select(token_length(text_bytes(), path).alias("length"))
+        docs.select(token_length(whole_text(), path).alias("length"))
         .groupBy("length")
         .agg(F.count("*").alias("documents"))
     )
@@ -41,7 +44,7 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     tokens_truncated: all ids left when every text is cut to that length; share_at_most: share of the texts that
     fit whole. Lengths are summed in blocks, and blocks before each other, so no task sees all lengths.
     """
-    counted = histogram.withColumn("block", F.expr(f"length div {BLOCK}"))
+    counted = materialized(histogram, "lengths").withColumn("block", F.expr(f"length div {BLOCK}"))
     tokens = F.col("length") * F.col("documents")
     blocks = counted.groupBy("block").agg(F.sum("documents").alias("d"), F.sum(tokens).alias("t"))
     # One row for each block of lengths: as many as the longest text has blocks.
