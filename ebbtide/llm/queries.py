@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from ebbtide.llm import language, mixing, simhash, token_counts
+from ebbtide.llm import (
+    fertility,
+    language,
+    line_alignment,
+    mixing,
+    packing,
+    sentence_spans,
+    simhash,
+    token_counts,
+    token_files,
+    version_sketch,
+)
 
 QUERIES = {}
 CHECKS = {}
@@ -33,6 +44,12 @@ def op2_simhash_pivots(spark, folder):
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op3_line_alignment")
+def op3_line_alignment(spark, folder):
+    found = line_alignment.without_repeated_lines(documents(spark, folder))
+    return found.select("row.doc_id", "n_lines", "n_gone", F.col("cleaned").alias("text"))
+
+
 @query("op4_language_pieces")
 def op4_language_pieces(spark, folder):
     return language.predicted_languages(documents(spark, folder))
@@ -50,3 +67,31 @@ def op5_source_mix(spark, folder):
         "rate",
         "n_copies",
     )
+
+
+@query("op6_token_fertility")
+def op6_token_fertility(spark, folder):
+    return fertility.quality_verdicts(documents(spark, folder))
+
+
+@query("op7_version_sketch")
+def op7_version_sketch(spark, folder):
+    return version_sketch.fingerprinted(documents(spark, folder))
+
+
+@query("op8_sentence_spans")
+def op8_sentence_spans(spark, folder):
+    found = sentence_spans.without_repeated_spans(documents(spark, folder))
+    return found.select(
+        "row.doc_id", F.size("removed").alias("n_removed"), "removed", F.col("cleaned").alias("text")
+    )
+
+
+@query("op9_token_blocks")
+def op9_token_blocks(spark, folder):
+    return token_files.round_trip(documents(spark, folder))
+
+
+@query("op10_pattern_packing")
+def op10_pattern_packing(spark, folder):
+    return packing.packed(documents(spark, folder))
