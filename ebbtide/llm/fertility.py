@@ -18,8 +18,8 @@ WINDOW = 8
 
 #: A measure's band reaches so many quartile ranges beyond the quartiles of its language and size of text,
 #: and at least so far from them.
-QUARTILE_RANGES = 4.0
-LEAST_MARGIN = {"chars_per_token": 0.5, "byte_share": 0.1, "token_entropy": 1.0}
+QUARTILE_RANGES = 3.0
+LEAST_MARGIN = {"chars_per_token": 0.12, "byte_share": 0.05, "token_entropy": 0.3}
 #: Groups with fewer texts have no band of their own; the band of their language over all sizes holds.
 LEAST_GROUP = 50
 
