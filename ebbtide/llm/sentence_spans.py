@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans: sentences inside a repeated run go, but for its first place."""
 
 import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,8 +13,10 @@ from ebbtide.session import materialized
 #: A span is the shortest run of at least so many sentences that has at least so many words.
 SENTENCES = 2
 WORDS = 12
-#: A sentence ends at . ! ? and the white space behind it, at a line's end, or after so many words.
+#: A sentence ends at . ! ? and the white space behind it or at a line's end. One with more words is cut further,
+#: behind one word in CUT_ONE_IN on average, chosen by the word itself, so that equal stretches are cut alike.
 LONGEST = 25
+CUT_ONE_IN = 6
 
 _END = re.compile(rb"[.!?]+[\x20\t\r\x0b\x0c]+|[\x20\t\r\x0b\x0c]*\n\s*")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -32,9 +35,11 @@ def sentences_of(text: bytes, longest=LONGEST):
             words.append(found)
         else:
             places = [m.start() for m in _WORD.finditer(text, start, end)]
-            for i in range(0, len(found), longest):
-                ends.append(places[i + longest] if i + longest < len(found) else end)
-                words.append(found[i : i + longest])
+            first = 0
+            for i in [k for k, w in enumerate(found, 1) if k == len(found) or zlib.crc32(w) % CUT_ONE_IN == 0]:
+                ends.append(places[i] if i < len(found) else end)
+                words.append(found[first:i])
+                first = i
         start = end
     return ends, words
 
