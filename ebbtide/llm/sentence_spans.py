@@ -104,7 +104,7 @@ def without_repeated_spans(docs: DataFrame, sentences=SENTENCES, least_words=WOR
     both have at the same first place. A text with fewer sentences or words than a span stays as it is, null stays
     null. Other columns may have any name; an empty table gives no rows.
     """
-    found = covered_sentences(docs.select("doc_id", "text").distinct(), sentences, least_words, longest)
+    found = covered_sentences(docs.select("doc_id", "text"), sentences, least_words, longest)
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order_id().alias("id"), row_hash().alias("h")
     )
