@@ -144,7 +144,7 @@ def d4_ks_line_prices(spark, folder):
     from ebbtide.operators.ordering import value_edges
 
     lines = derived.table(spark, folder, "lineitem").select("l_extendedprice", "l_linestatus")
-    edges = value_edges(lines, "l_extendedprice", single_window_rows=0)
+    edges = value_edges(lines, "l_extendedprice")
     is_new = F.col("l_linestatus") == "O"
     return rounded(drift.ks_statistic(lines.filter(~is_new), lines.filter(is_new), "l_extendedprice", edges))
 

@@ -181,7 +181,7 @@ def e3_roc_auc_by_price(spark, folder):
     )
     from ebbtide.operators.ordering import value_edges
 
-    edges = value_edges(rows, "price", single_window_rows=0)
+    edges = value_edges(rows, "price")
     return rounded(ranking.roc_auc(rows, "price", by=["status"], edges=edges))
 
 
@@ -247,7 +247,7 @@ def e16_precision_recall_points(spark, folder):
 @query(
     "e17_reliability",
     f"WITH {X.LINE_SCORES_SQL}, b AS (SELECT score, churned, CAST("
-    + " + ".join(f"(score > CAST({i} AS DOUBLE) / CAST(10 AS DOUBLE))::INTEGER" for i in range(1, 10))
+    + " + ".join(f"(score > CAST({i} AS DOUBLE) * CAST(0.1 AS DOUBLE))::INTEGER" for i in range(1, 10))
     + f" AS INTEGER) AS bin FROM ls) SELECT bin, count(*) AS n, {r6('avg(score)', 'mean_score')}, "
     f"{r6('avg(CAST(churned AS DOUBLE))', 'positive_share')} FROM b GROUP BY bin",
 )
@@ -300,17 +300,13 @@ GROUP BY scenario""",
 )
 def e7_break_even(spark, folder):
     """Break-even score per scenario and how many customers reach it."""
-    rows = [
-        F.struct(F.lit(n).alias("scenario"), campaign.break_even(*map(F.lit, p)).alias("break_even"))
-        for n, p in S.SCENARIOS.items()
-    ]
-    scored = X.scores(spark, folder).select("p_a", F.inline(F.array(*rows)))
-    return rounded(
-        scored.groupBy("scenario").agg(
-            F.first("break_even").alias("break_even"),
-            F.count_if(F.col("p_a") >= F.col("break_even")).alias("customers_above"),
-        )
-    )
+    rows = []
+    for name, economics in S.SCENARIOS.items():
+        even = campaign.break_even(*map(F.lit, economics))
+        above = F.count_if(F.col("p_a") >= even)
+        rows.append(F.struct(F.lit(name).alias("scenario"), even.alias("break_even"), above.alias("customers_above")))
+    counted = X.scores(spark, folder).agg(F.array(*rows).alias("scenarios"))
+    return rounded(counted.select(F.inline("scenarios")))
 
 
 @query(

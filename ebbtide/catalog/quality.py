@@ -8,7 +8,7 @@ from ebbtide.catalog.registry import query, r6, rounded
 from ebbtide.functions.columns import risk_tier
 from ebbtide.operators import campaign, contracts, prep, profiling, splits
 from ebbtide.operators.scoring import scored_records
-from ebbtide.session import scratch_path, small_table
+from ebbtide.session import materialized, scratch_path, small_table
 from ebbtide.sources import derived, tables
 
 T_STAR, T_MID = 0.12, 0.06  # cut points of the tier queries on ``p_a``
@@ -67,9 +67,19 @@ def s9_smoke_sample(spark, folder):
 # --- contracts --------------------------------------------------------------------------------------------
 
 
-@query("v1_column_contract")
+_CONTRACT_COLUMNS = [S.ID, *S.RAW_FEATURES, S.LABEL]
+
+
+@query(
+    "v1_column_contract",
+    f"WITH {X.DIRTY_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", TRUE AS present, count(*) AS n_rows, count(*) - count({c}) AS missing FROM cust"
+        for c in _CONTRACT_COLUMNS
+    ),
+)
 def v1_column_contract(spark, folder):
-    return contracts.column_contract(X.clean(spark, folder))
+    return contracts.column_contract(X.dirty(spark, folder)).drop("type")
 
 
 @query(
@@ -303,13 +313,12 @@ def a13_spend_without_orders(spark, folder):
     "a14_label_correlation",
     f"WITH {X.PREPARED_SQL} "
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", {r6(f'corr({c}, churned)', 'correlation')} FROM feat "
-        "WHERE customer_id % 3 <> 0"
+        f"SELECT '{c}' AS \"column\", {r6(f'corr({c}, churned)', 'correlation')} FROM feat"
         for c in S.MODEL_NUMERIC
     ),
 )
 def a14_label_correlation(spark, folder):
-    return rounded(profiling.label_correlation(X.prepared(spark, folder).filter(X.TRAIN), S.MODEL_NUMERIC))
+    return rounded(profiling.label_correlation(X.prepared(spark, folder), S.MODEL_NUMERIC))
 
 
 @query(
@@ -317,13 +326,12 @@ def a14_label_correlation(spark, folder):
     f"WITH {X.PREPARED_SQL} "
     + " UNION ALL ".join(
         f"SELECT churned, '{c}' AS \"column\", {r6(f'quantile_cont({c}, 0.5)', 'median')} FROM feat "
-        "WHERE customer_id % 3 <> 0 GROUP BY churned"
+        "GROUP BY churned"
         for c in S.MODEL_NUMERIC
     ),
 )
 def a15_class_medians(spark, folder):
-    train = X.prepared(spark, folder).filter(X.TRAIN).persist()
-    return rounded(profiling.class_medians(train, S.MODEL_NUMERIC))
+    return rounded(profiling.class_medians(materialized(X.prepared(spark, folder), "prepared"), S.MODEL_NUMERIC))
 
 
 _ARM = "CASE WHEN customer_id % 2 = 0 THEN 'treated' ELSE 'control' END"
@@ -511,14 +519,14 @@ def p14_risk_tiers(spark, folder):
 @query(
     "p15_contact_priority",
     f"WITH {X.SCORES_SQL} SELECT s.customer_id, {r6('s.p_a * c.monthly_spend', 'priority')} FROM sc s "
-    "JOIN cust c ON s.customer_id = c.customer_id WHERE c.monthly_spend IS NOT NULL "
-    "ORDER BY s.p_a * c.monthly_spend DESC, s.customer_id LIMIT 100",
+    "JOIN cust c ON s.customer_id = c.customer_id "
+    "ORDER BY s.p_a * c.monthly_spend DESC NULLS LAST, s.customer_id LIMIT 100",
 )
 def p15_contact_priority(spark, folder):
     customers = X.clean(spark, folder)
     r = F.coalesce("days_since_last_login", F.lit(0)).cast("double")
     a = F.coalesce("account_age_days", F.lit(0)).cast("double")
-    scored = customers.filter(F.col("monthly_spend").isNotNull()).select(
+    scored = customers.select(
         S.ID, "monthly_spend", (r / (r + a + 1.0)).alias("p_a")
     )
     return rounded(campaign.contact_list(scored, "p_a", "monthly_spend", 100).select(S.ID, "priority"))

@@ -74,7 +74,7 @@ def grid_step(score: Column) -> Column:
     ``floor`` gives a first guess that can be off by one in floating point; the two comparisons against the
     grid value itself put it right.
     """
-    guess = F.floor(score * 100.0)
+    guess = F.floor(F.least(score, F.lit(1.0)) * 100.0)  # infinity has no whole part
     step = (
         F.when((guess + 1) * F.lit(0.01) <= score, guess + 1)
         .when(guess * F.lit(0.01) > score, guess - 1)

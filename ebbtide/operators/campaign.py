@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
-from ebbtide.functions.columns import grid_step, risk_tier
+from ebbtide.functions.columns import grid_step, interior_edges_at_or_below, number_or_null, risk_tier
 from ebbtide.operators.ordering import order_values
 from ebbtide.session import small_table
 
@@ -23,7 +23,7 @@ def campaign_value(tp, fp, cost, value, uplift) -> Column:
 
 def break_even(cost, value, uplift) -> Column:
     """Score above which a contact pays on average; may exceed 1."""
-    return cost / (value * uplift)
+    return F.try_divide(cost, value * uplift)
 
 
 def scenario_table(spark: SparkSession, scenarios=None) -> DataFrame:
@@ -31,18 +31,31 @@ def scenario_table(spark: SparkSession, scenarios=None) -> DataFrame:
     return small_table(spark, rows, "scenario string, cost double, value double, uplift double")
 
 
-def grid_counts(df: DataFrame, score, label=S.LABEL, by=()) -> DataFrame:
-    """True and false positives at each of the 101 thresholds, per group."""
+def grid_counts(df: DataFrame, score, label=S.LABEL, by=(), grid=None) -> DataFrame:
+    """True and false positives at each threshold, per group: 0, 0.01 ... 1, or an own ascending ``grid``.
+
+    Rows without a score (NULL, NaN) or below the lowest threshold are contacted at none.
+    """
     by = list(by)
-    steps = df.select(*by, grid_step(F.col(score)).alias("step"), F.col(label).alias("_y"))
+    thresholds = [float(t) for t in grid] if grid is not None else None
+    if thresholds is None:
+        step, n_steps, at = grid_step(F.col(score)), STEPS, F.col("step") * F.lit(0.01)
+    else:
+        if thresholds != sorted(set(thresholds)) or not thresholds:
+            raise ValueError("a grid has ascending, distinct thresholds")
+        value, n_steps = number_or_null(score), len(thresholds)
+        reached = F.when(value.isNotNull(), interior_edges_at_or_below(value, thresholds) - 1)
+        step = F.when(reached >= 0, reached)
+        at = F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("step") + 1)
+    steps = df.select(*by, step.alias("step"), F.col(label).alias("_y"))
     counted = steps.groupBy(*by, "step").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
     )
-    grid = df.sparkSession.range(STEPS).select(F.col("id").cast("int").alias("step"))
+    grid = df.sparkSession.range(n_steps).select(F.col("id").cast("int").alias("step"))
     if by:
-        # groups x 101 fixed grid rows, not a pairing of data rows
+        # groups x fixed grid rows, not a pairing of data rows
         grid = counted.select(*by).distinct().withColumn(
-            "step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1)))
+            "step", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1)))
         )
     full = grid.join(counted, [*by, "step"], "left")
     reverse = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -50,7 +63,7 @@ def grid_counts(df: DataFrame, score, label=S.LABEL, by=()) -> DataFrame:
     return full.select(
         *by,
         "step",
-        (F.col("step") * F.lit(0.01)).alias("threshold"),
+        at.alias("threshold"),
         F.sum(F.coalesce("pos", F.lit(0))).over(above).alias("tp"),
         F.sum(F.coalesce("neg", F.lit(0))).over(above).alias("fp"),
     )
@@ -103,7 +116,8 @@ class CutPoints:
 
     @property
     def break_even(self):
-        return self.cost / (self.value * self.uplift)
+        gain = self.value * self.uplift
+        return self.cost / gain if gain else None
 
 
 def middle_cut(df: DataFrame, score, t_star) -> float:
@@ -123,7 +137,7 @@ def fit_cut_points(df: DataFrame, score, label=S.LABEL, economics=None) -> CutPo
 def value_at(df: DataFrame, score, threshold, economics=None, label=S.LABEL, by=()) -> DataFrame:
     """Campaign value at any threshold, on the grid or not."""
     cost, value, uplift = economics or S.SCENARIOS[S.DEFAULT_SCENARIO]
-    hit = F.col(score) >= threshold
+    hit = F.coalesce(number_or_null(score) >= threshold, F.lit(False))
     counted = df.groupBy(*by).agg(
         F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp")
     )
@@ -145,7 +159,7 @@ def sensitivity(validation: DataFrame, holdout: DataFrame, score, label=S.LABEL,
         {"tp_all": F.max("tp").over(grid), "fp_all": F.max("fp").over(grid)}
     )
     money = (F.col("cost"), F.col("value"), F.col("uplift"))
-    per_1k = F.lit(1000.0) / (F.col("tp_all") + F.col("fp_all"))
+    per_1k = F.try_divide(F.lit(1000.0), F.col("tp_all") + F.col("fp_all"))
     return fitted.join(held, fitted["t_star"] == held["threshold"]).select(
         *economics,
         break_even(*money).alias("break_even"),

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ebbtide import settings as S
 from ebbtide.functions.columns import number_or_null, outside
-from ebbtide.session import small_table
 
 
 class ContractError(ValueError):
@@ -18,11 +17,30 @@ def absent_columns(df: DataFrame, require_label=True) -> list[str]:
 
 
 def column_contract(df: DataFrame, require_label=True) -> DataFrame:
-    """One row per required column: is it there, and with which type."""
+    """One row per required column: is it there, with which type, in how many rows, and how often missing.
+
+    An absent column is missing in every row; NaN is missing, too. All columns are counted in one pass.
+    """
     needed = [S.ID, *S.RAW_FEATURES] + ([S.LABEL] if require_label else [])
     types = dict(df.dtypes)
-    rows = [(c, c in types, types.get(c)) for c in needed]
-    return small_table(df.sparkSession, rows, "column string, present boolean, type string")
+    rows = []
+    for c in needed:
+        if c not in types:
+            present = F.lit(0).cast("long")
+        elif types[c] in ("double", "float"):
+            present = F.count_if(F.col(c).isNotNull() & ~F.isnan(c))
+        else:
+            present = F.count(c)
+        rows.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(c in types).alias("present"),
+                F.lit(types.get(c)).cast("string").alias("type"),
+                F.count("*").alias("n_rows"),
+                (F.count("*") - present).alias("missing"),
+            )
+        )
+    return df.agg(F.array(*rows).alias("columns")).select(F.inline("columns"))
 
 
 def repeated_keys(df: DataFrame, key=S.ID) -> DataFrame:

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from ebbtide import settings as S
 from ebbtide.functions import columns as X
 from ebbtide.operators.ordering import order_values
-from ebbtide.session import small_table
+from ebbtide.session import materialized, small_table
 
 INDICATOR = "missingindicator_"
-MAX_LEVEL_ROWS = 100_000  # one-hot levels become feature columns, so they must fit on the driver
+MAX_LEVELS = 100_000  # of one column in one split: levels become feature columns, so they must fit on the driver
 
 
 @dataclass
@@ -197,16 +197,19 @@ def _learn_scales(df, numeric, by, key, numbers):
 def _learn_levels(df, categorical, by, key):
     """Most frequent level (smallest on ties) and all levels in text order."""
     entries = [F.struct(F.lit(c).alias("_n"), F.col(c).cast("string").alias("level")) for c in categorical]
-    counts = (
+    counted = (
         df.select(*by, F.inline(F.array(*entries)))
         .filter(F.col("level").isNotNull())
         .groupBy(*by, "_n", "level")
         .count()
-        .limit(MAX_LEVEL_ROWS + 1)
-        .collect()
     )
-    if len(counts) > MAX_LEVEL_ROWS:
-        raise ValueError(f"one-hot columns have more than {MAX_LEVEL_ROWS} levels; map them to fewer levels first")
+    counted = materialized(counted, "levels")
+    largest = counted.groupBy(*by, "_n").count().orderBy(F.desc("count")).first()
+    if largest is not None and largest["count"] > MAX_LEVELS:
+        raise ValueError(
+            f"{largest['_n']} has {largest['count']} levels in one split, more than {MAX_LEVELS}; map it to fewer first"
+        )
+    counts = counted.collect()
     seen = defaultdict(lambda: defaultdict(list))
     for row in counts:
         seen[key(row)][row["_n"]].append((-row["count"], row["level"]))

@@ -4,16 +4,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
-from ebbtide.functions.columns import interior_edges_below
+from ebbtide.functions.columns import interior_edges_below, number_or_null
 from ebbtide.operators import ordering
 
 
+def with_usable_score(df: DataFrame, score, label=S.LABEL, by=()) -> DataFrame:
+    """``by..., score, y`` of the rows that metrics are made of: NULL and NaN scores and NULL labels are left out.
+
+    Infinite scores are scores: they rank below or above all others.
+    """
+    rows = df.select(*by, number_or_null(score).alias("score"), F.col(label).alias("y"))
+    return rows.filter(F.col("score").isNotNull() & F.col("y").isNotNull())
+
+
 def score_cells(df: DataFrame, score, label=S.LABEL, by=()) -> DataFrame:
-    """Positives and negatives per distinct score; rows without score or label are left out."""
+    """Positives and negatives per distinct score."""
     by = list(by)
-    usable = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score)) & F.col(label).isNotNull())
-    return usable.groupBy(*by, F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    return with_usable_score(df, score, label, by).groupBy(*by, "score").agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
 
 
@@ -46,12 +54,12 @@ def confusion_metrics(tp, fp, fn):
 
 def confusion_counts(df: DataFrame, score, threshold, label=S.LABEL, by=()) -> DataFrame:
     """The four confusion counts at ``score >= threshold``; all four are present even for one class."""
-    hit = F.col(score) >= threshold
-    return df.groupBy(*by).agg(
-        F.count_if(~hit & (F.col(label) == 0)).alias("tn"),
-        F.count_if(hit & (F.col(label) == 0)).alias("fp"),
-        F.count_if(~hit & (F.col(label) == 1)).alias("fn"),
-        F.count_if(hit & (F.col(label) == 1)).alias("tp"),
+    hit = F.col("score") >= threshold
+    return with_usable_score(df, score, label, by).groupBy(*by).agg(
+        F.count_if(~hit & (F.col("y") == 0)).alias("tn"),
+        F.count_if(hit & (F.col("y") == 0)).alias("fp"),
+        F.count_if(~hit & (F.col("y") == 1)).alias("fn"),
+        F.count_if(hit & (F.col("y") == 1)).alias("tp"),
     )
 
 
@@ -107,7 +115,8 @@ def average_precision(df: DataFrame, score, label=S.LABEL, by=(), edges=None) ->
 
 
 def brier_score(df: DataFrame, score, label=S.LABEL, by=()) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(F.pow(F.col(score) - F.col(label), F.lit(2.0))).alias("brier"))
+    squared = F.pow(F.col("score") - F.col("y"), F.lit(2.0))
+    return with_usable_score(df, score, label, by).groupBy(*by).agg(F.avg(squared).alias("brier"))
 
 
 def roc_points(df: DataFrame, score, label=S.LABEL, by=(), edges=None) -> DataFrame:
@@ -145,10 +154,8 @@ def precision_recall_points(df: DataFrame, score, label=S.LABEL, by=(), edges=No
 
 def reliability(df: DataFrame, score, label=S.LABEL, bins=10, by=()) -> DataFrame:
     """Mean score and share of positives in equal-width bins that are closed on the right."""
-    edges = [i / bins for i in range(1, bins)]
-    usable = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score)))
-    return usable.groupBy(*by, interior_edges_below(F.col(score), edges).alias("bin")).agg(
-        F.count("*").alias("n"),
-        F.avg(score).alias("mean_score"),
-        F.avg(F.col(label).cast("double")).alias("positive_share"),
+    edges = [i * (1.0 / bins) for i in range(1, bins)]  # evenly stepped, as uniform bin edges are
+    usable = df.select(*by, number_or_null(score).alias("score"), F.col(label).cast("double").alias("y"))
+    return usable.filter("score IS NOT NULL").groupBy(*by, interior_edges_below(F.col("score"), edges).alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("y").alias("positive_share")
     )

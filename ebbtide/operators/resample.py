@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
-from ebbtide.functions.columns import shuffled_order
+from ebbtide.functions.columns import number_or_null, shuffled_order
 from ebbtide.operators.ordering import value_edges, with_piece
 
 BLOCK = 1024  # cells per weight matrix
@@ -101,17 +101,15 @@ def bootstrap_aucs(df: DataFrame, scores, label=S.LABEL, rounds=S.BOOTSTRAP_ROUN
     Rounds that drew only one class have no AUC and are left out.
     """
     scores = list(scores)
-    usable = df.select(*scores, F.col(label).cast("int").alias("y"))
-    for s in scores:
-        usable = usable.filter(F.col(s).isNotNull() & ~F.isnan(F.col(s)))
-    usable = usable.filter(F.col("y").isNotNull())
+    usable = df.select(*[number_or_null(s).alias(s) for s in scores], F.col(label).cast("int").alias("y"))
+    usable = usable.dropna()
     cells = usable.groupBy(*scores, "y").agg(F.count("*").alias("n"))
     entries = [F.struct(F.lit(i).alias("which"), F.col(s).alias("score")) for i, s in enumerate(scores)]
     long = cells.select(
         F.xxhash64(F.lit(int(seed)), *scores, "y").alias("cell"), "y", "n", F.inline(F.array(*entries))
     )
     edges = value_edges(
-        usable.select(F.explode(F.array(*scores)).alias("score")), "score", single_window_rows=0, pieces=pieces
+        usable.select(F.explode(F.array(*scores)).alias("score")), "score", pieces=pieces
     )
     split = with_piece(long, "score", edges, "piece")
     sums = (

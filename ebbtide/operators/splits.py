@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ebbtide import settings as S
 from ebbtide.functions.columns import shuffled_order
+from ebbtide.operators.contracts import ContractError
 from ebbtide.operators.ordering import rank_cuts
 
+#: Groups and classes a split may have: one small row each comes to the driver.
+MAX_CLASSES = 10_000
+
 
 def holdout_quotas(sizes: dict, share=S.HOLDOUT_SHARE) -> dict:
     """Hold-out rows per class: the total is rounded up, remainders go to the largest fractions."""
@@ -54,10 +58,19 @@ def _place(order: Column, cuts: list) -> Column:
 
 
 def _by_class(df, order, label, starts_of, group=None):
-    """Rank cuts per (group, class); the sizes of all classes are needed before the ranks."""
+    """Rank cuts per (group, class); the sizes of all classes are needed before the ranks.
+
+    Rows without a label belong to no class; they would silently drop out of every split, so they are an error.
+    """
     by = ([group] if group else []) + [label]
     sizes, classes = {}, {}
-    for row in df.filter(order.isNotNull()).groupBy(*by).count().collect():
+    counted = df.filter(order.isNotNull()).groupBy(*by).count().limit(MAX_CLASSES + 1).collect()
+    if len(counted) > MAX_CLASSES:
+        raise ContractError(f"{label} has too many values for a stratified split")
+    unlabelled = max((row["count"] for row in counted if row[label] is None), default=0)
+    if unlabelled:
+        raise ContractError(f"{unlabelled} rows have no {label}; drop or label them before splitting")
+    for row in counted:
         key = tuple(row[b] for b in by)
         sizes[key] = row["count"]
         classes.setdefault(key[:-1], {})[key[-1]] = row["count"]

@@ -72,9 +72,3 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so that later passes read fixed rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()

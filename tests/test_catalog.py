@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_points_agree():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert len(entry_points.queries()) == len(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(entry_points.queries())
 
 
 @needs_data

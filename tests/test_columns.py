@@ -9,13 +9,13 @@ def one(df, column):
     return df.first()[column]
 
 
-def test_impossible_values_become_missing(customers):
-    rows = repair_ranges(
-        customers({"account_age_days": -1}, {"days_since_last_login": 999}, {"days_since_last_login": -5})
-    ).orderBy(S.ID).collect()
-    assert rows[0]["account_age_days"] is None
-    assert rows[1]["days_since_last_login"] is None and rows[2]["days_since_last_login"] is None
-    assert rows[1]["account_age_days"] == 500.0
+def test_values_outside_their_range_become_missing(customers):
+    changes = [{"account_age_days": 3651}, {"monthly_spend": -0.01}, {"days_since_last_login": 366}, {}]
+    rows = repair_ranges(customers(*changes)).orderBy(S.ID).collect()
+    for row, change in zip(rows, changes):
+        for column in ("account_age_days", "monthly_spend", "days_since_last_login"):
+            assert (row[column] is None) == (column in change)
+    assert rows[3]["account_age_days"] == 731.0 and rows[0]["days_since_last_login"] == 41.0
 
 
 def test_range_ends_are_valid(customers):
@@ -23,28 +23,23 @@ def test_range_ends_are_valid(customers):
     assert row["account_age_days"] == 3650.0 and row["days_since_last_login"] == 0.0
 
 
-def test_spend_without_orders_is_kept(customers):
-    row = repair_ranges(
-        customers({"num_orders_last_90d": 0, "monthly_spend": 80.0, "avg_order_value": 40.0})
-    ).first()
-    assert (row["num_orders_last_90d"], row["monthly_spend"], row["avg_order_value"]) == (0.0, 80.0, 40.0)
+def test_columns_are_repaired_one_by_one(customers):
+    row = repair_ranges(customers({"num_orders_last_90d": -2, "pages_per_session": 0.0})).first()
+    assert row["num_orders_last_90d"] is None and row["pages_per_session"] == 0.0
+    assert (row["monthly_spend"], row["avg_order_value"]) == (62.5, 31.25)
 
 
 def test_derived_features(customers):
-    rows = add_derived_features(
-        repair_ranges(
-            customers(
-                {"account_age_days": 0, "days_since_last_login": 10},
-                {"days_since_last_login": 200},
-                {"num_orders_last_90d": 0, "support_tickets_raised": 2},
-                {"days_since_last_login": 999},
-            )
-        )
-    ).orderBy(S.ID).collect()
-    assert rows[0]["recency_ratio"] == 10.0 and rows[0]["is_dormant"] == 0.0
-    assert rows[1]["is_dormant"] == 1.0
-    assert rows[2]["support_per_order"] == 2.0
-    assert rows[3]["is_dormant"] is None and rows[3]["recency_ratio"] is None
+    changes = [
+        {"account_age_days": 99, "days_since_last_login": 25},
+        {"days_since_last_login": 90, "num_orders_last_90d": None, "support_tickets_raised": 7},
+        {"days_since_last_login": 91, "num_orders_last_90d": 1, "support_tickets_raised": 3},
+        {"account_age_days": None},
+    ]
+    rows = add_derived_features(repair_ranges(customers(*changes))).orderBy(S.ID).collect()
+    assert rows[0]["recency_ratio"] == 0.25 and rows[3]["recency_ratio"] is None
+    assert [r["is_dormant"] for r in rows] == [0.0, 0.0, 1.0, 0.0]
+    assert [r["support_per_order"] for r in rows[:3]] == [0.5, 7.0, 1.5]
 
 
 def test_nan_and_text_become_missing(spark):
@@ -72,8 +67,8 @@ def test_grid_step_agrees_with_comparisons(spark):
 
 
 def test_grid_step_of_unusable_scores(spark):
-    df = spark.createDataFrame([(-0.1,), (None,), (float("nan"),)], "p double")
-    assert [r[0] for r in df.select(X.grid_step(F.col("p"))).collect()] == [None] * 3
+    df = spark.createDataFrame([(-0.1,), (None,), (float("nan"),), (float("-inf"),), (float("inf"),)], "p double")
+    assert [r[0] for r in df.select(X.grid_step(F.col("p"))).collect()] == [None] * 4 + [100]
 
 
 def test_reason_text_and_ties(spark):

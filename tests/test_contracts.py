@@ -61,3 +61,11 @@ def test_unparsable_text_is_neither_missing_nor_out_of_range(customers):
 def test_modelling_columns_keep_id_and_label(customers):
     table = C.modelling_columns(customers({}))
     assert table.columns[:2] == [S.ID, S.LABEL] and table.schema[S.LABEL].dataType.simpleString() == "int"
+
+
+def test_column_contract_counts_rows(customers):
+    table = customers({"monthly_spend": float("nan")}, {"monthly_spend": None, "region": None}, {}).drop("churned")
+    found = {r["column"]: r for r in C.column_contract(table).collect()}
+    assert (found["monthly_spend"]["missing"], found["region"]["missing"], found["customer_id"]["missing"]) == (2, 1, 0)
+    absent = found["churned"]
+    assert (absent["present"], absent["type"], absent["n_rows"], absent["missing"]) == (False, None, 3, 3)

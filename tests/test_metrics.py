@@ -24,20 +24,24 @@ def brute_ap(labels, scores):
     return out
 
 
-def test_auc_by_hand(spark):
-    assert R.roc_auc(scored(spark, [0, 0, 1, 1], [0.1, 0.6, 0.4, 0.9]), "p").first()[0] == 0.75
+def test_auc_counts_won_and_tied_pairs(spark):
+    # positives 0.95, 0.55, 0.3 win 3, 1 and 1 of the pairs with 0.7, 0.55, 0.05; one pair is tied
+    df = scored(spark, [1, 0, 1, 0, 1, 0], [0.95, 0.7, 0.55, 0.55, 0.3, 0.05])
+    assert R.roc_auc(df, "p").first()[0] == pytest.approx(5.5 / 9)
 
 
-def test_threshold_metrics_by_hand(spark):
-    df = scored(spark, [0, 1, 1, 0], [0.2, 0.9, 0.4, 0.6])
-    row = R.classification_metrics(df, "p", 0.5).first()
-    assert (row["precision"], row["recall"], row["f1"]) == (0.5, 0.5, 0.5)
-    assert tuple(R.confusion_counts(df, "p", 0.5).first()) == (1, 1, 1, 1)
+def test_a_threshold_splits_the_rows_into_four(spark):
+    df = scored(spark, [1, 1, 0, 1, 0, 0, 1], [0.8, 0.35, 0.75, 0.6, 0.5, 0.1, 0.2])
+    row = R.classification_metrics(df, "p", 0.55).first()
+    assert (row["precision"], row["recall"]) == (pytest.approx(2 / 3), 0.5)
+    assert row["f1"] == pytest.approx(4 / 7)
+    assert R.confusion_counts(df, "p", 0.55).first().asDict() == {"tn": 2, "fp": 1, "fn": 2, "tp": 2}
 
 
 def test_average_precision_is_a_step_sum(spark):
-    df = scored(spark, [0, 0, 1, 1, 1], [0.1, 0.6, 0.4, 0.9, 0.6])
-    assert R.average_precision(df, "p").first()[0] == pytest.approx(0.805556, abs=1e-6)
+    # recall grows by a third at 0.9, 0.5 and 0.2, where 1 of 2, 2 of 3 and 3 of 4 rows are positive
+    df = scored(spark, [1, 0, 1, 1, 0], [0.9, 0.9, 0.5, 0.2, 0.1])
+    assert R.average_precision(df, "p").first()[0] == pytest.approx((1 / 2 + 2 / 3 + 3 / 4) / 3)
 
 
 @pytest.mark.parametrize("edges", [[], [0.2, 0.5, 0.8]])
@@ -87,6 +91,38 @@ def test_reliability_bins_are_closed_on_the_right(spark):
     assert {r["bin"]: r["n"] for r in rows} == {0: 2, 1: 1, 9: 1}
 
 
-def test_unusable_scores_are_left_out(spark):
-    df = scored(spark, [0, 0, 1, 1, 1], [0.1, 0.6, 0.4, 0.9, float("nan")])
-    assert R.roc_auc(df, "p").first()[0] == 0.75
+NAN, INF = float("nan"), float("inf")
+
+
+def strange(spark):
+    """Scores that are infinite, not a number or missing, and a missing label."""
+    rows = [(1, INF), (0, -INF), (1, 0.4), (0, 0.6), (1, NAN), (0, NAN), (1, None), (None, 0.9), (1, 0.7), (0, 0.1)]
+    return spark.createDataFrame(rows, "churned int, p double")
+
+
+@pytest.mark.parametrize("edges", [None, [], [0.5]])
+def test_missing_scores_are_left_out_and_infinite_ones_rank(spark, edges):
+    df = strange(spark)
+    labels, scores = [1, 0, 1, 0, 1, 0], [INF, -INF, 0.4, 0.6, 0.7, 0.1]
+    assert R.roc_auc(df, "p", edges=edges).first()[0] == pytest.approx(brute_auc(labels, scores))
+    assert R.average_precision(df, "p", edges=edges).first()[0] == pytest.approx(brute_ap(labels, scores))
+    assert {r["threshold"] for r in R.roc_points(df, "p", edges=edges).collect()} == {None, *scores}
+    assert R.precision_recall_points(df, "p", edges=edges).count() == 6
+
+
+def test_threshold_counts_and_metrics_agree_on_strange_scores(spark):
+    df = strange(spark)
+    counts = R.confusion_counts(df, "p", 0.5).first()
+    assert counts.asDict() == {"tn": 2, "fp": 1, "fn": 1, "tp": 2}
+    row = R.classification_metrics(df, "p", 0.5).first()
+    assert row["precision"] == pytest.approx(2 / 3) and row["recall"] == pytest.approx(2 / 3)
+    finite = df.filter("p IS NULL OR isnan(p) OR abs(p) < 9")
+    expected = np.mean([(0.4 - 1) ** 2, 0.6**2, (0.7 - 1) ** 2, 0.1**2])
+    assert R.brier_score(finite, "p").first()[0] == pytest.approx(expected)
+    assert R.classification_metrics(finite, "p").first()["brier"] == pytest.approx(expected)
+
+
+def test_reliability_edges_are_evenly_stepped(spark):
+    scores = [i * 0.1 for i in range(1, 10)]  # 0.30000000000000004 and the like belong to the bin below
+    rows = R.reliability(scored(spark, [0] * 9, scores), "p").collect()
+    assert {r["bin"]: r["n"] for r in rows} == {b: 1 for b in range(9)}

@@ -13,26 +13,31 @@ def numbers(spark, *values, name="monthly_spend"):
     return spark.createDataFrame([(v,) for v in values], f"{name} double")
 
 
-def test_clip_bounds_come_from_the_fitted_rows_only(spark):
-    stage = P.QuantileClip(columns=["monthly_spend"], lower=0.0, upper=0.75)
-    model = stage.fit(numbers(spark, 1.0, 2.0, 3.0, 4.0, 100.0))
-    assert model.transform(numbers(spark, 1000.0)).first()[0] == 4.0
-    wider = stage.fit(numbers(spark, 1.0, 2.0, 3.0, 4.0, 100.0, 1e6))
-    assert wider.transform(numbers(spark, 1e9)).first()[0] > 4.0
-
-
-def test_clipping_keeps_missing_values(spark):
-    model = P.QuantileClip(columns=["monthly_spend"]).fit(numbers(spark, 1.0, None, 3.0))
-    assert [r[0] is None for r in model.transform(numbers(spark, 1.0, None, 3.0)).collect()] == [False, True, False]
-
-
-def test_only_named_columns_are_clipped(spark):
-    df = spark.createDataFrame([(float(v), f) for v, f in [(1, 0), (2, 0), (3, 0), (4, 0), (1000, 1)]], "a double, f int")
-    out = P.QuantileClip(columns=["a", "unknown"]).fit(df).transform(df)
-    assert [r["f"] for r in out.collect()] == [0, 0, 0, 0, 1]
-    assert out.agg(F.max("a")).first()[0] < 1000
-    every = P.QuantileClip(lower=0.0, upper=0.5).fit(df)
-    assert set(json.loads(every.getOrDefault("bounds"))) == {"a", "f"}
+def test_bounds_are_learned_once_and_then_fixed(spark):
+    stage = P.QuantileClip(columns=["monthly_spend"], lower=0.25, upper=0.5)
+    model = stage.fit(numbers(spark, 8.0, 2.0, 6.0, 4.0, 10.0))  # quartile 4, median 6
+    out = model.transform(numbers(spark, -70.0, 5.0, 70.0, None))
+    assert [r[0] for r in out.collect()] == [4.0, 5.0, 6.0, None]
+    more = stage.fit(numbers(spark, 8.0, 2.0, 6.0, 4.0, 10.0, 90.0, 95.0))
+    assert json.loads(more.getOrDefault("bounds"))["monthly_spend"] != json.loads(model.getOrDefault("bounds"))["monthly_spend"]
+
+
+def test_columns_that_are_not_named_stay(spark):
+    df = spark.createDataFrame([(float(v), 10 * v) for v in range(9)], "x double, y int")
+    out = P.QuantileClip(columns=["x", "nowhere"], lower=0.0, upper=0.5).fit(df).transform(df)
+    assert sorted(r["y"] for r in out.collect()) == [10 * v for v in range(9)]
+    assert out.agg(F.max("x")).first()[0] == 4.0
+    assert set(json.loads(P.QuantileClip().fit(df).getOrDefault("bounds"))) == {"x", "y"}
+
+
+def test_levels_are_bounded_for_each_column_and_split(spark, monkeypatch):
+    rows = [(f"a{i % 60}", f"b{i % 7}", i % 2) for i in range(480)]
+    df = spark.createDataFrame(rows, "wide string, narrow string, g int")
+    monkeypatch.setattr(P, "MAX_LEVELS", 60)
+    assert len(P.learn_statistics(df, [], ["wide", "narrow"], [], group="g")) == 2  # 134 levels in all, 60 at most in one
+    monkeypatch.setattr(P, "MAX_LEVELS", 29)
+    with pytest.raises(ValueError, match="wide has 30 levels"):
+        P.learn_statistics(df, [], ["wide", "narrow"], [], group="g")
 
 
 def test_statistics_equal_numpy(spark):

@@ -16,16 +16,19 @@ def scored(spark, labels, *scores):
     return spark.createDataFrame(rows, "customer_id string, churned int, " + ", ".join(f"{n} double" for n in names))
 
 
-def test_separable_scores_have_a_point_interval(spark):
-    row = R.auc_interval(scored(spark, [0, 0, 1, 1], [0.1, 0.2, 0.7, 0.9]), "p", rounds=200).first()
-    assert (row["auc_lo"], row["auc_hi"]) == (1.0, 1.0)
-    assert 0 < row["n_rounds"] < 200  # rounds with one class only are skipped
-
-
-def test_same_model_has_no_difference(spark):
-    df = scored(spark, [0, 0, 1, 1, 0, 1], [0.2, 0.3, 0.6, 0.8, 0.1, 0.7])
-    row = R.auc_difference_interval(df, "p", "p", rounds=100).first()
-    assert row["diff_mean"] == 0.0 and row["diff_lo"] <= 0.0 <= row["diff_hi"]
+def test_an_interval_without_overlap_is_a_point(spark):
+    df = scored(spark, [1, 0, 1, 0, 0], [0.93, 0.41, 0.88, 0.17, 0.52])
+    row = R.auc_interval(df, "p", rounds=150).first()
+    assert row["auc_lo"] == row["auc_hi"] == 1.0
+    assert 100 < row["n_rounds"] < 150  # a round that drew one class only has no AUC
+
+
+def test_a_score_does_not_differ_from_a_copy_of_itself(spark):
+    p = [0.31, 0.77, 0.58, 0.12, 0.49, 0.66, 0.23]
+    df = scored(spark, [0, 1, 0, 0, 1, 1, 0], p, p)
+    for other in ("p", "q"):
+        row = R.auc_difference_interval(df, "p", other, rounds=80).first()
+        assert (row["diff_lo"], row["diff_mean"], row["diff_hi"]) == (0.0, 0.0, 0.0)
 
 
 def tied_data(n=600):

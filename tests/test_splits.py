@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import settings as S
 from ebbtide.operators import splits as P
+from ebbtide.operators.contracts import ContractError
 
 
 def test_holdout_has_exact_class_shares(population):
@@ -68,3 +69,16 @@ def test_ordered_folds_are_consecutive(spark):
 def test_smoke_sample_is_fixed(population):
     first = P.smoke_sample(population, 50)
     assert first.count() == 50 and first.exceptAll(P.smoke_sample(population.repartition(5), 50)).count() == 0
+
+
+def test_rows_without_a_label_are_an_error(population):
+    some = population.withColumn(S.LABEL, F.when(F.col(S.ID) != "id0007", F.col(S.LABEL)))
+    for split in (P.with_holdout, P.with_folds, P.with_repeated_folds):
+        with pytest.raises(ContractError, match="1 rows have no churned"):
+            split(some)
+
+
+def test_labels_with_many_values_are_an_error(population, monkeypatch):
+    monkeypatch.setattr(P, "MAX_CLASSES", 50)
+    with pytest.raises(ContractError, match="too many values"):
+        P.with_folds(population, label=S.ID)
