@@ -16,21 +16,42 @@ from ebbtide.functions.columns import number_or_null, shuffled_order
 from ebbtide.operators.ordering import value_edges, with_piece
 
 BLOCK = 1024  # cells per weight matrix
+LARGE = 64  # rows of a cell above which its draws do not come from a table
 
 
-def _piece_sums(rounds, block=BLOCK):
+def _piece_sums(rounds, block=BLOCK, large=LARGE):
     """A function over batches of cells sorted by (which, piece, score) that keeps vectors of length ``rounds``.
 
     Everything it needs is defined inside, so workers can run it without the package being installed there.
     """
 
+    def uniforms(keys):
+        """A number in [0, 1) for each key and round, from a counter hash, so that re-run tasks draw the same."""
+        x = keys[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+    def cumulative(mean):
+        """Poisson distribution function at 0, 1, 2 ... as far as doubles tell it from 1."""
+        last = int(mean + 12 * mean**0.5 + 20)
+        steps = np.log(mean) - np.log(np.arange(1, last + 1))
+        return np.cumsum(np.exp(-mean + np.r_[0.0, np.cumsum(steps)]))
+
     def weights(cells, counts):
-        """One row of Poisson draws per cell, repeatable because the generator is keyed by the cell."""
-        draws = [
-            np.random.Generator(np.random.Philox(key=int(k) & 0xFFFFFFFFFFFFFFFF)).poisson(c, rounds)
-            for k, c in zip(cells, counts)
-        ]
-        return np.asarray(draws, dtype="float64").reshape(len(draws), rounds)
+        """One row of Poisson draws per cell; cells of equal counts are drawn together.
+
+        Counts above LARGE have a generator each: they are few, because each stands for that many rows.
+        """
+        keys, drawn = cells.astype(np.uint64), np.empty((len(cells), rounds))
+        for count in np.unique(counts):
+            rows = np.flatnonzero(counts == count)
+            if count <= large:
+                drawn[rows] = np.searchsorted(cumulative(float(count)), uniforms(keys[rows]), side="right")
+            else:
+                for r in rows:
+                    drawn[r] = np.random.Generator(np.random.Philox(key=int(keys[r]))).poisson(count, rounds)
+        return drawn
 
     class Piece:
         """Running sums over one piece of the score axis, fed in score order."""
