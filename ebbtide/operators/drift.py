@@ -102,7 +102,8 @@ def level_counts(reference: DataFrame, current: DataFrame, numeric=(), categoric
                  cells=None) -> DataFrame:
     """Counts of both sides per (feature, level): bins for numbers, values for categories.
 
-    Numbers are grouped by value first; the same cells serve the KS statistic.
+    Numbers fall into their bins before rows are grouped. ``cells`` (rows per value, as the KS statistic needs them)
+    are used where they are at hand.
     """
     parts = []
     if categorical:
@@ -112,14 +113,17 @@ def level_counts(reference: DataFrame, current: DataFrame, numeric=(), categoric
         level = F.coalesce("value", F.lit(S.MISSING_LEVEL)).alias("level")
         parts.append(rows.groupBy("feature", level).agg(*_side_counts()))
     if numeric:
-        if cells is None:
-            cells = _number_cells(reference, current, numeric)
         edges = decile_edges(reference, numeric, bins)
+        level = _numeric_level(edges).alias("level")
+        if cells is None:
+            numbers = _long(both_sides(reference, current, numeric), numeric, number_or_null)
+            levels = numbers.filter(F.col("value").isNotNull()).groupBy("feature", level).agg(*_side_counts())
+        else:
+            levels = cells.select("feature", level, "ref", "cur")
         # Bins that no row falls into still count in the smoothed sum.
         empty = [
             (c, str(i), 0, 0) for c, marks in edges.items() if len(marks) >= 3 for i in range(len(marks) - 1)
         ]
-        levels = cells.select("feature", _numeric_level(edges).alias("level"), "ref", "cur")
         if empty:
             levels = levels.unionByName(
                 small_table(

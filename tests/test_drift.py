@@ -87,3 +87,27 @@ def test_report_tables_are_written(spark, population, tmp_path):
     assert set(paths) == {"row_counts", "quality", "feature_drift"}
     assert spark.read.parquet(paths["feature_drift"]).count() == len(S.RAW_FEATURES)
     assert {r["rows"] for r in spark.read.parquet(paths["row_counts"]).collect()} == {120}
+
+
+def test_bins_are_found_before_rows_are_grouped(spark):
+    from ebbtide.operators import drift
+
+    ref = spark.range(2000).selectExpr("cast(id as double) as x")
+    cur = spark.range(2000).selectExpr("cast(id * 1.1 as double) as x")
+    alone = drift.numeric_psi(ref, cur, "x")
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(feature" in plan and "hashpartitioning(feature#" in plan
+    assert not any("hashpartitioning" in line and "value#" in line for line in plan.split("\n"))
+    both = {r["feature"]: r["psi"] for r in drift.feature_drift(ref, cur, ["x"], []).collect()}
+    assert abs(alone.first()["psi"] - both["x"]) < 1e-9
+
+
+def test_infinite_and_missing_values_drift_without_errors(spark):
+    from ebbtide.operators import drift
+
+    nan, inf = float("nan"), float("inf")
+    ref = spark.createDataFrame([(float(v),) for v in range(40)] + [(nan,), (None,), (inf,), (-inf,)], "x double")
+    cur = spark.createDataFrame([(float(v) / 2,) for v in range(40)] + [(nan,), (inf,), (inf,)], "x double")
+    row = drift.feature_drift(ref, cur, ["x"], []).first()
+    assert row["psi"] > 0 and 0 < row["ks"] < 1
+    assert row["cur_missing"] == pytest.approx(1 / 43)
