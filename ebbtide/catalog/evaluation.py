@@ -185,6 +185,58 @@ def e3_roc_auc_by_price(spark, folder):
     return rounded(ranking.roc_auc(rows, "price", by=["status"], edges=edges))
 
 
+# Prices with scores that are no numbers, infinite or missing, by the order's number.
+_STRANGE_SQL = """sp AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS churned,
+  CASE WHEN l_orderkey % 17 = 0 THEN CAST('inf' AS DOUBLE) WHEN l_orderkey % 19 = 0 THEN CAST('-inf' AS DOUBLE)
+       ELSE l_extendedprice END AS price
+  FROM lineitem WHERE l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0)"""
+
+
+def _strange_prices(spark, folder):
+    key, price = F.col("l_orderkey"), F.col("l_extendedprice")
+    strange = (
+        F.when(key % 11 == 0, float("nan"))
+        .when(key % 13 == 0, F.lit(None))
+        .when(key % 17 == 0, float("inf"))
+        .when(key % 19 == 0, float("-inf"))
+        .otherwise(price)
+    )
+    return derived.table(spark, folder, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias(S.LABEL), strange.alias("price")
+    )
+
+
+@query(
+    "e1_confusion_strange_scores",
+    f"WITH {_STRANGE_SQL} SELECT count(*) FILTER (WHERE price < 30000 AND churned = 0) AS tn, "
+    "count(*) FILTER (WHERE price >= 30000 AND churned = 0) AS fp, "
+    "count(*) FILTER (WHERE price < 30000 AND churned = 1) AS fn, "
+    "count(*) FILTER (WHERE price >= 30000 AND churned = 1) AS tp FROM sp",
+)
+def e1_confusion_strange_scores(spark, folder):
+    return ranking.confusion_counts(_strange_prices(spark, folder), "price", 30000.0)
+
+
+@query(
+    "e3_e4_strange_scores",
+    f"WITH {_STRANGE_SQL}, {_cells_sql('sp', 'price')} SELECT {r6(_AUC, 'roc_auc')}, {r6(_AP, 'pr_auc')} FROM ranked",
+)
+def e3_e4_strange_scores(spark, folder):
+    """AUC and average precision with missing and infinite scores, split at value edges."""
+    rows = _strange_prices(spark, folder)
+    areas = ranking.roc_auc(rows, "price").withColumn("k", F.lit(0))
+    return rounded(areas.join(ranking.average_precision(rows, "price").withColumn("k", F.lit(0)), "k").drop("k"))
+
+
+@query(
+    "e3_strange_scores_in_one_piece",
+    f"WITH {_STRANGE_SQL}, {_cells_sql('sp', 'price')} SELECT {r6(_AUC, 'roc_auc')} FROM ranked",
+)
+def e3_strange_scores_in_one_piece(spark, folder):
+    """The same scores split at a single edge."""
+    return rounded(ranking.roc_auc(_strange_prices(spark, folder), "price", edges=[30000.0]))
+
+
 @query(
     "e4_average_precision",
     f"WITH {X.SCORES_SQL}, {_cells_sql('sc', 'p_b')} SELECT {r6(_AP, 'pr_auc')} FROM ranked",

@@ -1,5 +1,7 @@
 """Session set-up and the shared folder for intermediate tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -53,8 +55,9 @@ def shared_folder(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
-    folder = "file://" + tempfile.mkdtemp(prefix="ebbtide-")
-    context.setCheckpointDir(folder)
+    own = tempfile.mkdtemp(prefix="ebbtide-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir("file://" + own)
     return context.getCheckpointDir().rstrip("/")
 
 
