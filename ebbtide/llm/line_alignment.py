@@ -120,6 +120,8 @@ def overlapping(lined: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS) ->
         ).alias("line"),
     )
     holders = seeds.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written first, so that both sides of the join are plain exchanges and a very common line can be split.
+    holders = materialized(holders, "line-counts")
     held = materialized(seeds.join(holders, "line"), "line-holders")
     to_first = held.where("first < id").select("id", "h", F.col("first").alias("earlier"))
     few = held.where(F.col("n") <= rare)
