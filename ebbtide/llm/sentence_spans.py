@@ -64,18 +64,44 @@ def spans_of(text: bytes, sentences=SENTENCES, least_words=WORDS, longest=LONGES
     return out
 
 
+def places_in_text(text: bytes, sentences=SENTENCES, least_words=WORDS, longest=LONGEST):
+    """(spans at their first place in a text, stretches of sentences that repeat spans of the same text)."""
+    firsts, stretches, seen = [], [], set()
+    for at, n, span in spans_of(text, sentences, least_words, longest):
+        if span not in seen:
+            seen.add(span)
+            firsts.append((at, n, span))
+        elif stretches and at <= stretches[-1][0] + stretches[-1][1]:
+            start = stretches[-1][0]
+            stretches[-1] = (start, max(at + n, sum(stretches[-1])) - start)
+        else:
+            stretches.append((at, n))
+    return firsts, stretches
+
+
 def span_table(docs: DataFrame, sentences=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
-    """``id, h, at, n, span``: every span of every document with its place."""
+    """``id, h, at, n, span``: every span of every document at its first place there.
+
+    Later places in the same document are stretches with a null span: they are repeats whatever other texts hold, so
+    a text that says one thing over and over is one row for each thing.
+    """
+    columns = ["id", "h", "at", "n", "span"]
+
+    def frame(rows):
+        return pd.DataFrame({c: pd.array(list(v), "Int64") for c, v in zip(columns, zip(*rows))})
 
     def spans(batches):
         for batch in batches:
-            ids, hashes, found = batch["id"].tolist(), batch["h"].tolist(), []
-            for i, h, text in zip(ids, hashes, batch["text"]):
-                found += [(i, h, *span) for span in spans_of(text, sentences, least_words, longest)]
+            found = []
+            for i, h, text in zip(batch["id"].tolist(), batch["h"].tolist(), batch["text"]):
+                firsts, stretches = places_in_text(text, sentences, least_words, longest)
+                found += [(i, h, *span) for span in firsts]
+                found += [(i, h, *stretch, None) for stretch in stretches]
                 if len(found) > 100_000:
-                    yield pd.DataFrame(found, columns=["id", "h", "at", "n", "span"])
+                    yield frame(found)
                     found = []
-            yield pd.DataFrame(found, columns=["id", "h", "at", "n", "span"])
+            if found:
+                yield frame(found)
 
     rows = docs.select(order_id().alias("id"), row_hash().alias("h"), text_bytes().alias("text"))
     return rows.mapInPandas(spans, "id long, h long, at int, n int, span long")
@@ -84,24 +110,24 @@ def span_table(docs: DataFrame, sentences=SENTENCES, least_words=WORDS, longest=
 def covered_sentences(docs: DataFrame, sentences=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
     """``id, h, places``: for documents that repeat a span, the (first, number) of its sentences.
 
-    The first place of a span is the smallest doc_id and, in it, the smallest sentence number; it stays. Counts and
-    smallest ids are merged before they meet, and only spans that occur twice are looked at again, by a join that
-    splits hot spans, so a span in a third of all documents is as good as any other.
+    A span stays where the smallest doc_id has it first. Counts and smallest ids are merged before they meet, and are
+    written before they are looked up, so that the join can split a span that very many documents have.
     """
-    spans = span_table(docs, sentences, least_words, longest)
-    repeated = spans.groupBy("span").agg(F.count("*").alias("times"), F.min("id").alias("first_id")).where("times > 1")
-    again = materialized(spans.join(repeated.drop("times"), "span"), "spans-again")
-    first = again.where("id = first_id").groupBy("span").agg(F.min("at").alias("first_at"))
-    later = again.join(first, "span").where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
-    return later.groupBy("id", "h").agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    spans = materialized(span_table(docs, sentences, least_words, longest), "spans")
+    shared = spans.where("span is not null")
+    repeated = shared.groupBy("span").agg(F.count("*").alias("times"), F.min("id").alias("first_id")).where("times > 1")
+    repeated = materialized(repeated.drop("times"), "span-counts")
+    place = ["id", "h", F.struct("at", "n").alias("place")]
+    later = shared.join(repeated, "span").where(F.col("id") != F.col("first_id")).select(*place)
+    within = spans.where("span is null").select(*place)
+    return later.union(within).groupBy("id", "h").agg(F.collect_set("place").alias("places"))
 
 
 def without_repeated_spans(docs: DataFrame, sentences=SENTENCES, least_words=WORDS, longest=LONGEST) -> DataFrame:
     """``row, cleaned, n_sentences, removed`` for every row of ``docs``; row holds all its columns.
 
     removed lists (start, end) of the parts taken out, in characters of the text. Null ids come last and count as one
-    id. Rows with equal doc_id and text get equal results; rows that share a doc_id but not the text keep a span that
-    both have at the same first place. A text with fewer sentences or words than a span stays as it is, null stays
+    id. Rows with equal doc_id and text get equal results; rows that share a doc_id lose no spans to each other. A text with fewer sentences or words than a span stays as it is, null stays
     null. Other columns may have any name; an empty table gives no rows.
     """
     found = covered_sentences(docs.select("doc_id", "text"), sentences, least_words, longest)
