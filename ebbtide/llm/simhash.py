@@ -171,7 +171,9 @@ def linked_fingerprints(prints: DataFrame, radius=RADIUS, n_prints=1, n_masks=WI
     at = _meeting_places(prints.count(), n_prints, radius, n_masks)
     places = table.select("*", F.posexplode(F.array(*at)).alias("mask", "bits"))
     shared = places.groupBy("mask", "bits").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = materialized(places.join(shared.drop("n"), ["mask", "bits"]), "simhash-places")
+    # Written before they are joined, here and below, so that a place that very many texts share can be split.
+    shared = materialized(shared.drop("n"), "simhash-shared")
+    members = materialized(places.join(shared, ["mask", "bits"]), "simhash-places")
 
     others = [f"o{c}" for c in own]
     other_pivots = [f"q{i}" for i in range(PIVOTS // 8)]
@@ -190,6 +192,7 @@ def linked_fingerprints(prints: DataFrame, radius=RADIUS, n_prints=1, n_masks=WI
         .where("lo <> hi")
         .select("mask", "bits")
     )
+    open_places = materialized(open_places, "simhash-open-places")
     left = materialized(labelled.join(open_places, ["mask", "bits"]), "simhash-open")
     right = left.select(
         F.col("mask").alias("other_mask"),
