@@ -21,8 +21,8 @@ from ebbtide.session import materialized
 
 UNDETERMINED = "und"
 #: Expected number of texts of one language that a model is fitted on at most (a hash decides which ones).
-TEXTS_PER_LANGUAGE = 4000
-EM_ROUNDS = 3
+TEXTS_PER_LANGUAGE = 1500
+EM_ROUNDS = 2
 #: A character outside the vocabulary is a piece of its own with this probability.
 UNKNOWN = 1e-7
 #: Added to every expected count, so that pieces a language never showed keep a small probability.
@@ -42,6 +42,11 @@ def pieces_of(path):
     return {piece: i for i, piece in enumerate(kept)}
 
 
+@functools.lru_cache(maxsize=2)
+def longest_piece(path):
+    return max(map(len, pieces_of(path)))
+
+
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -58,11 +63,11 @@ def words_of(text):
     return [w for w in words if w != BOUNDARY]
 
 
-def forward(words, numbers, probability):
+def forward(words, numbers, probability, longest=LONGEST_WORD):
     """Probability of each word under each language: a row for each word.
 
     ``probability`` has a row for each piece, then one for an unknown character and one of zeros. Words of one length
-    go through the pass together.
+    go through the pass together; no piece has more than ``longest`` characters.
     """
     unknown, nothing = len(probability) - 2, len(probability) - 1
     result = np.empty((len(words), probability.shape[1]))
@@ -70,7 +75,7 @@ def forward(words, numbers, probability):
     for i, word in enumerate(words):
         by_length[len(word)].append(i)
     for n, members in by_length.items():
-        spans = [(start, end) for end in range(1, n + 1) for start in range(end)]
+        spans = [(start, end) for end in range(1, n + 1) for start in range(max(0, end - longest), end)]
         looked_up = [
             numbers.get(w[s:e], nothing if e - s > 1 else unknown) for w in (words[i] for i in members) for s, e in spans
         ]
@@ -85,12 +90,12 @@ def forward(words, numbers, probability):
     return result
 
 
-def expected_pieces(word, numbers, probability, unknown=UNKNOWN):
+def expected_pieces(word, numbers, probability, unknown=UNKNOWN, longest=LONGEST_WORD):
     """Expected number of times each piece is used over all segmentations of a word, under one language."""
     n = len(word)
     edges = []
     for end in range(1, n + 1):
-        for start in range(end):
+        for start in range(max(0, end - longest), end):
             k = numbers.get(word[start:end], -1)
             if k >= 0:
                 edges.append((start, end, k, probability[k]))
@@ -113,7 +118,7 @@ def expected_pieces(word, numbers, probability, unknown=UNKNOWN):
 class LanguageModel:
     """Piece probabilities of every language, and how common the languages are."""
 
-    WORDS_KEPT = 300_000
+    WORDS_KEPT = 250_000
 
     def __init__(self, languages, priors, probability, path):
         self.name = uuid.uuid4().hex
@@ -129,12 +134,13 @@ class LanguageModel:
     def predict_all(self, texts):
         """(language, share of the posterior) of each whole text; (und, 0) for null or a text without letters."""
         out = []
-        for i in range(0, len(texts), 200):
-            counts = [Counter(words_of(t)) if t else Counter() for t in texts[i : i + 200]]
+        for i in range(0, len(texts), 400):
+            counts = [Counter(words_of(t)) if t else Counter() for t in texts[i : i + 400]]
+            words = set().union(*counts)
             if len(self.known) > self.WORDS_KEPT:
-                self.known.clear()
-            new = [w for w in set().union(*counts) if w not in self.known]
-            scores = np.log(np.maximum(forward(new, pieces_of(self.path), self.probability), 1e-300))
+                self.known = {w: self.known[w] for w in words if w in self.known}
+            new = [w for w in words if w not in self.known]
+            scores = np.log(np.maximum(forward(new, pieces_of(self.path), self.probability, longest_piece(self.path)), 1e-300))
             self.known.update(zip(new, scores))
             out += [self._best(c) for c in counts]
         return out
@@ -187,13 +193,13 @@ def _expected(word_counts, languages, probability, path):
     place = {lang: i for i, lang in enumerate(languages)}
 
     def expect(batches):
-        numbers = pieces_of(path)
+        numbers, longest = pieces_of(path), longest_piece(path)
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 of_language = probability[:, place[lang]].tolist()
                 total = defaultdict(float)
                 for word, n in zip(rows["word"], rows["n"]):
-                    for k, c in expected_pieces(word, numbers, of_language).items():
+                    for k, c in expected_pieces(word, numbers, of_language, longest=longest).items():
                         total[k] += n * c
                 yield pd.DataFrame({"lang": lang, "piece": list(total), "n": list(total.values())})
 
