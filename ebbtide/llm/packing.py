@@ -164,21 +164,32 @@ def pieces(docs: DataFrame, path=None, end_id=END_ID, capacity=SEQUENCE, with_id
     A null text is empty and gives one piece, the end id.
     """
     path = path or vocabulary("word_bpe_49k.json")
-    end = np.array([end_id], "<u4")
+    end = np.array([end_id], "<u4").tobytes()
     fields = "piece:int,start:long,length:long,ids_crc32:long" + (",ids:binary" if with_ids else "")
 
-    @F.pandas_udf(f"array<struct<{fields}>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for ids in word_encoder(path).encode_each(pa.array(texts, pa.string())):
-            ids = np.concatenate([ids, end])
-            rows = []
-            for k, at in enumerate(range(0, len(ids), capacity)):
-                part = ids[at : at + capacity].astype("<u4").tobytes()
-                row = {"piece": k, "start": at, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                rows.append(row | {"ids": part} if with_ids else row)
-            out.append(rows)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(f"array<struct<{fields}>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        first, piece, start, length, crc, kept = [0], [], [], [], [], []
+        for _, ids, ends in word_encoder(path).encode_all(texts):
+            raw = ids.astype("<u4").tobytes()
+            at = 0
+            for stop in ends.tolist():
+                whole = raw[4 * at : 4 * stop] + end
+                n = stop - at + 1
+                for k, begin in enumerate(range(0, n, capacity)):
+                    part = whole[4 * begin : 4 * (begin + capacity)]
+                    piece.append(k)
+                    start.append(begin)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        kept.append(part)
+                first.append(len(piece))
+                at = stop
+        columns = {"piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64())}
+        columns |= {"ids_crc32": (crc, pa.int64())} | ({"ids": (kept, pa.binary())} if with_ids else {})
+        rows = pa.StructArray.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows)
 
     return docs.select(F.col("doc_id"), cut(whole_text()).alias("cut")).select("doc_id", F.inline("cut"))
 

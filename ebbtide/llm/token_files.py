@@ -63,8 +63,9 @@ def encode_blocks(ids: np.ndarray, share=FITTING_SHARE):
             of_width = np.flatnonzero(widths == width)
             for i in range(0, len(of_width), 2048):
                 rows = of_width[i : i + 2048]
-                low = (rest[rows][:, :, None] >> np.arange(width)) & 1
-                packed = np.packbits(low.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+                whole = rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)
+                bits_of = np.unpackbits(whole, axis=2, bitorder="little")[:, :, :width]
+                packed = np.packbits(bits_of.reshape(len(rows), -1), axis=1, bitorder="little")
                 out[_runs(at[rows] + _HEAD, packed.shape[1])] = packed
     block, place = np.nonzero(is_exception)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_exceptions) - n_exceptions, n_exceptions)
@@ -90,8 +91,9 @@ def decode_blocks(data, starts: np.ndarray, n_ids: int) -> np.ndarray:
             for i in range(0, len(of_width), 2048):
                 rows = of_width[i : i + 2048]
                 packed = raw[_runs(at[rows] + _HEAD, width * BLOCK // 8)]
-                low = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
-                rest[rows] = low @ (1 << np.arange(width, dtype=np.int64))
+                whole = np.zeros((len(rows), BLOCK, 32), np.uint8)
+                whole[:, :, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
+                rest[rows] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
     block = np.repeat(np.arange(len(at)), n_exceptions)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_exceptions) - n_exceptions, n_exceptions)
     first = (at + _HEAD + widths * (BLOCK // 8))[block]
@@ -154,6 +156,9 @@ def _put(folder, name, data):
     system.move(draft, f"{path}/{name}")
 
 
+FILE_SCHEMA = pa.schema(
+    [("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("n_documents", pa.int64()), ("n_ids", pa.int64())]
+)
 FILES = "part int, number int, name string, n_documents long, n_ids long"
 
 
@@ -177,14 +182,12 @@ def write_token_files(docs: DataFrame, folder, path=None, end_id=END_ID, file_id
         def close():
             name = f"part-{part:06d}-{number:05d}.tokens"
             _put(folder, name, file_bytes(doc_ids, encoded))
-            return pd.DataFrame(
-                [(part, number, name, len(doc_ids), size)], columns=[c.split()[0] for c in FILES.split(", ")]
-            )
+            row = (part, number, name, len(doc_ids), size)
+            return pa.RecordBatch.from_pylist([dict(zip(FILE_SCHEMA.names, row))], FILE_SCHEMA)
 
         for batch in batches:
-            of_rows = zip(batch["doc_id"].tolist(), batch["is_null"].tolist())
-            each = word_encoder(path).encode_each(pa.array(batch["text"], pa.string()))
-            for (doc_id, is_null), ids in zip(of_rows, each):
+            of_rows = zip(batch["doc_id"].to_pylist(), batch["is_null"].to_pylist())
+            for (doc_id, is_null), ids in zip(of_rows, word_encoder(path).encode_each(batch["text"])):
                 doc_ids.append(None if is_null else doc_id)
                 encoded.append(np.concatenate([ids, end]))
                 size += len(ids) + 1
@@ -202,7 +205,7 @@ def write_token_files(docs: DataFrame, folder, path=None, end_id=END_ID, file_id
         whole_text().alias("text"),
     )
     order = ["is_null", "doc_id", "h"]
-    written = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(write, FILES)
+    written = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, FILES)
     written.write.mode("overwrite").parquet(f"{folder}/files")
     return docs.sparkSession.read.schema(T._parse_datatype_string(FILES)).parquet(f"{folder}/files")
 
