@@ -123,3 +123,28 @@ def test_similar_texts_are_found_and_others_left_alone(spark):
     near = [k for k, s in enumerate(copies) if s >= 0.85]
     assert len(near) > 30
     assert sum(2 * k + 1 not in kept for k in near) >= 0.95 * len(near)
+
+
+def _edited(rng, k, low, high):
+    """A text of 400 words and a copy whose five-word similarity lies between ``low`` and ``high``."""
+    base = [f"w{i}" for i in rng.integers(5000, size=400)]
+    copy, places = list(base), rng.permutation(400)
+    for n, i in enumerate(places):
+        if low <= _similarity(base, copy) < high and rng.random() < 0.5:
+            break
+        changed = [*copy[:i], f"new{k}x{i}", *copy[i + 1 :]]
+        if _similarity(base, changed) >= low:
+            copy = changed
+    assert low <= _similarity(base, copy) < high
+    return base, copy
+
+
+def _kept(spark, texts):
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"] for r in simhash.without_near_duplicates(frame).collect()}
+
+
+def test_every_pair_just_over_the_threshold_is_found(spark):
+    rng = np.random.default_rng(3)
+    texts = [t for k in range(150) for t in _edited(rng, k, 0.8, 0.85)]
+    assert _kept(spark, texts) == set(range(0, 300, 2))
