@@ -17,11 +17,6 @@ WORDS = 4
 RADIUS = 4
 #: Reference fingerprints; the distance to each takes one byte of a table entry.
 PIVOTS = 16
-#: Wide search: bits of four fingerprints together, of which a pair of similarity 0.8 differs in 39 on average.
-WIDE_PRINTS = 4
-WIDE_RADIUS = 45
-WIDE_MASKS = 64
-WIDE_WORDS = 5
 
 
 def _shingle_hashes(text, words):
@@ -134,42 +129,23 @@ def _n_blocks(count, radius):
     return n
 
 
-def _meeting_places(count, n_prints, radius, n_masks):
-    """Columns under which fingerprints meet.
-
-    One fingerprint: all combinations of blocks, so that every pair within the radius meets at least once. Several:
-    ``n_masks`` seeded choices of bits, as many as tell ``count`` texts apart; a pair meets by chance, but in many
-    places: with 18 bits a pair of similarity 0.8 is found with 0.97 probability, one of 0.9 almost surely.
-    """
-    if n_prints == 1:
-        return [F.col("f0").bitwiseAND(F.lit(m)) for m in _block_masks(_n_blocks(count, radius), radius)]
-    rng = np.random.default_rng(SEED)
-    n_bits = max(16, int(np.ceil(np.log2(max(count, 2)))))
-    places = []
-    for _ in range(n_masks):
-        chosen = rng.choice(64 * n_prints, n_bits, replace=False)
-        masks = [sum(1 << int(b % 64) for b in chosen if b // 64 == j) for j in range(n_prints)]
-        signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-        places.append(F.xxhash64(*[F.col(f"f{j}").bitwiseAND(F.lit(m)) for j, m in enumerate(signed)]))
-    return places
-
-
-def linked_fingerprints(prints: DataFrame, radius=RADIUS, n_prints=1, n_masks=WIDE_MASKS) -> DataFrame:
+def linked_fingerprints(prints: DataFrame, radius=RADIUS) -> DataFrame:
     """Components of texts linked at ``radius`` or fewer differing bits.
 
-    ``prints`` has distinct rows ``node, f0, f1 ...``: a number and the text's fingerprints. Result: ``node,
-    component`` for all but the smallest node of each component of two or more. Fingerprints meet under masks. There
-    the pivot distance tables discard pairs whose largest coordinate difference exceeds the radius, and the bits of
-    the survivors are compared.
+    ``prints`` has distinct rows ``node, f0``: a number and the text's fingerprint. Result: ``node, component`` for all
+    but the smallest node of each component of two or more. Fingerprints meet under masks, every pair in reach once at
+    least. There the pivot distance tables discard pairs whose largest coordinate difference exceeds the radius, and
+    the bits of the survivors are compared.
 
     Dense groups of near copies would pair all with all, so links are found in passes. The first compares each text
     only with the smallest one of its place. The second compares only texts whose components still differ; a place
     that has become one component is left out.
     """
-    own = [f"f{j}" for j in range(n_prints)]
+    own = ["f0"]
     pivots = [f"p{i}" for i in range(PIVOTS // 8)]
     table = with_pivots(prints.select("node", *own), own, "p")
-    at = _meeting_places(prints.count(), n_prints, radius, n_masks)
+    masks = _block_masks(_n_blocks(prints.count(), radius), radius)
+    at = [F.col("f0").bitwiseAND(F.lit(m)) for m in masks]
     places = table.select("*", F.posexplode(F.array(*at)).alias("mask", "bits"))
     shared = places.groupBy("mask", "bits").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written before they are joined, here and below, so that a place that very many texts share can be split.
@@ -210,27 +186,23 @@ def linked_fingerprints(prints: DataFrame, radius=RADIUS, n_prints=1, n_masks=WI
     return connected_components(links.union(across))
 
 
-def near_duplicates(docs: DataFrame, words=WORDS, radius=RADIUS, n_prints=1) -> DataFrame:
+def near_duplicates(docs: DataFrame, words=WORDS, radius=RADIUS) -> DataFrame:
     """``doc_id, text_hash, component, fingerprint, component_id`` for every row of ``doc_id, text``.
 
     A null text is empty; texts without words have fingerprint zero and are linked like any other. component_id is
     the smallest doc_id that links reach; rows without a doc_id join in, but name a component only as null where
     all its rows lack one. Repeated rows are rows of the same component. Copies share a fingerprint and are searched
-    once. An empty table gives no rows; other columns are not read. With several prints (``n_prints``) their bits are
-    compared together, which reaches texts that differ more than one fingerprint can tell from chance.
+    once. An empty table gives no rows; other columns are not read.
     """
-    own = [f"f{j}" for j in range(n_prints)]
     rows = docs.select(
         F.col("doc_id"),
         F.xxhash64("text").alias("text_hash"),
-        fingerprints(text_bytes(), words, n_prints).alias("prints"),
-    ).select("doc_id", "text_hash", *[F.col("prints")[j].alias(c) for j, c in enumerate(own)])
-    rows = materialized(rows.withColumn("node", F.col("f0") if n_prints == 1 else F.xxhash64(*own)), "simhash-rows")
-    distinct = rows.groupBy("node").agg(
-        F.min("doc_id").alias("smallest"), *[F.max(c).alias(c) for c in own]
+        fingerprints(text_bytes(), words)[0].alias("f0"),
     )
+    rows = materialized(rows.withColumn("node", F.col("f0")), "simhash-rows")
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.max("f0").alias("f0"))
     distinct = materialized(distinct, "simhash-distinct")
-    components = materialized(linked_fingerprints(distinct, radius, n_prints), "simhash-merged")
+    components = materialized(linked_fingerprints(distinct, radius), "simhash-merged")
     labelled = distinct.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("smallest").alias("component_id"))
     named = labelled.join(smallest, "component").select("node", "component", "component_id")

@@ -148,3 +148,9 @@ def test_every_pair_just_over_the_threshold_is_found(spark):
     rng = np.random.default_rng(3)
     texts = [t for k in range(150) for t in _edited(rng, k, 0.8, 0.85)]
     assert _kept(spark, texts) == set(range(0, 300, 2))
+
+
+def test_pairs_under_the_threshold_all_stay(spark):
+    rng = np.random.default_rng(4)
+    texts = [t for k in range(60) for t in _edited(rng, k, 0.7, 0.78)]
+    assert _kept(spark, texts) == set(range(120))
