@@ -11,7 +11,8 @@ from ebbtide.session import materialized
 
 #: A line leads to another document only if it has this many characters; shorter ones meet by chance.
 SEED_CHARS = 24
-#: A line in at most so many documents is rare: it leads to every earlier holder. Others lead to the first holder.
+#: A line in at most so many documents is rare: it leads to every earlier holder at once. Others lead to the first
+#: holder, and where they stay after that, to the other earlier holders in rounds.
 RARE_DOCUMENTS = 4
 #: An aligned block goes only if its lines have this many characters together.
 BLOCK_CHARS = 24
@@ -101,13 +102,8 @@ def with_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def overlapping(lined: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS) -> DataFrame:
-    """``id, h, earlier``: documents and the earlier ones they are aligned with.
-
-    A rare shared line leads to all earlier holders, fewer than ``rare`` of them. A line that more documents share
-    leads each to the first holder only: one row for each line and document, however common the line is, and no
-    shared line without an alignment.
-    """
+def line_holders(lined: DataFrame, seed_chars=SEED_CHARS) -> DataFrame:
+    """``id, h, line, first, n``: seed lines that several documents hold, their holders and the smallest of them."""
     seeds = lined.select(
         "id",
         "h",
@@ -122,7 +118,16 @@ def overlapping(lined: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS) ->
     holders = seeds.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a very common line can be split.
     holders = materialized(holders, "line-counts")
-    held = materialized(seeds.join(holders, "line"), "line-holders")
+    return materialized(seeds.join(holders, "line"), "line-holders")
+
+
+def overlapping(held: DataFrame, rare=RARE_DOCUMENTS) -> DataFrame:
+    """``id, h, earlier``: documents and the earlier ones they are aligned with first.
+
+    A rare shared line leads to all earlier holders, fewer than ``rare`` of them. A line that more documents share
+    leads each to the first holder: one row for each line and document, however common the line is, and no shared
+    line without an alignment.
+    """
     to_first = held.where("first < id").select("id", "h", F.col("first").alias("earlier"))
     few = held.where(F.col("n") <= rare)
     to_all = few.select("id", "h", "line").join(
@@ -132,17 +137,30 @@ def overlapping(lined: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS) ->
     return to_first.union(to_all).distinct()
 
 
-def deleted_lines(docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS) -> DataFrame:
+def _still_there(common, lined, gone):
+    """Rows of ``common`` whose line the document keeps at some place."""
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    lines = lined.join(gone, ["id", "h"], "left").select(
+        "id", "h", F.explode(F.array_distinct(F.transform(kept, lambda i: F.col("lines")[i]))).alias("line")
+    )
+    return common.join(lines, ["id", "h", "line"], "left_semi")
+
+
+def deleted_lines(
+    docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS, all_holders=False
+) -> DataFrame:
     """``id, h, gone``: for documents that lose lines, the places of these lines.
 
-    id is the doc_id (null: the largest number, so last), h a hash of doc_id and text.
+    id is the doc_id (null: the largest number, so last), h a hash of doc_id and text. With ``all_holders`` a seed line
+    stays in a document only if the alignments with all earlier holders leave it: common lines that the first holder
+    leaves are tried against the others in rounds of about 1, 2, 4 ... holders, until the line is gone or all were
+    tried. No holder is left out, so a line that no alignment removes costs as many rows as it has earlier holders.
     """
     lined = materialized(with_lines(docs), "lines")
-    pairs = overlapping(lined, seed_chars, rare)
+    held = line_holders(lined, seed_chars)
     # Of rows that share a doc_id, the one with the smallest hash stands for it as the earlier document.
     stands = lined.groupBy("id").agg(F.min("h").alias("h"))
     earlier = lined.join(stands, ["id", "h"]).select(F.col("id").alias("earlier"), F.col("lines").alias("earlier_lines"))
-    aligned = pairs.join(lined, ["id", "h"]).join(earlier, "earlier")
 
     @F.pandas_udf("array<int>")
     def gone(before: pd.Series, after: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -153,23 +171,49 @@ def deleted_lines(docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, b
             ]
         )
 
-    return (
-        aligned.select("id", "h", gone("earlier_lines", "lines", "sizes").alias("places"))
-        .where(F.size("places") > 0)
-        .groupBy("id", "h")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("gone"))
-    )
+    def places(pairs):
+        aligned = pairs.join(lined, ["id", "h"]).join(earlier, "earlier")
+        return aligned.select("id", "h", gone("earlier_lines", "lines", "sizes").alias("places")).where(
+            F.size("places") > 0
+        )
 
+    def merged(found):
+        return found.groupBy("id", "h").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("gone")
+        )
 
-def without_repeated_lines(docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS):
+    found = materialized(places(overlapping(held, rare)), "line-places")
+    if not all_holders:
+        return merged(found)
+    # About 2 ** level of a line's holders have that level.
+    draw = F.pmod(F.xxhash64("line", "id"), F.lit(2**30)) / F.lit(2.0**30)
+    level = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") * draw))).cast("int")
+    common = held.where(F.col("n") > rare).withColumn("level", level)
+    others = materialized(common.select("line", "level", F.col("id").alias("earlier"), "n"), "line-levels")
+    last = others.agg(F.max("level")).head()[0]
+    open_lines = common.where("first < id").select("id", "h", "line")
+    for step in range(0 if last is None else last + 1):
+        open_lines = materialized(_still_there(open_lines, lined, merged(found)), "line-open")
+        if open_lines.isEmpty():
+            break
+        next_ones = others.where(F.col("level") == step).select("line", "earlier")
+        pairs = open_lines.join(next_ones, "line").where("earlier < id").select("id", "h", "earlier").distinct()
+        found = found.union(materialized(places(materialized(pairs, "line-pairs")), "line-places"))
+    return merged(found)
+
+
+def without_repeated_lines(
+    docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS, all_holders=False
+):
     """``row, cleaned, n_lines, n_gone`` for every row of ``docs``; row holds all its columns.
 
     A document is later than another if its doc_id is larger; null ids come last and are not later than each other.
     Rows with equal doc_id and text get equal results, rows that share a doc_id but not the text are aligned each for
     itself with earlier ids. Lines are compared without white space around them; blank lines are never reason enough
-    to delete. A null or empty text stays as it is. Other columns may have any name; an empty table gives no rows.
+    to delete. ``all_holders``: common lines are tried against every earlier document that holds them, not only the
+    first. A null or empty text stays as it is. Other columns may have any name; an empty table gives no rows.
     """
-    found = deleted_lines(docs.select("doc_id", "text"), seed_chars, rare, block_chars)
+    found = deleted_lines(docs.select("doc_id", "text"), seed_chars, rare, block_chars, all_holders)
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order_id().alias("id"), row_hash().alias("h")
     )

@@ -46,7 +46,7 @@ def op2_simhash_pivots(spark, folder):
 
 @query("op3_line_alignment")
 def op3_line_alignment(spark, folder):
-    found = line_alignment.without_repeated_lines(documents(spark, folder))
+    found = line_alignment.without_repeated_lines(documents(spark, folder), all_holders=True)
     return found.select("row.doc_id", "n_lines", "n_gone", F.col("cleaned").alias("text"))
 
 

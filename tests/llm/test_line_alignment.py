@@ -2,8 +2,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from ebbtide.llm import line_alignment as L
+from ebbtide.llm import queries
 
-from .conftest import row
+from .conftest import FOLDER, row
 
 LONG = ["a line with enough characters %d" % i for i in range(12)]
 
@@ -91,3 +92,36 @@ def test_odd_rows(odd, nothing):
     assert kept.where("doc_id = 6").head()["n_chars"] == 50
     assert L.without_repeated_lines(nothing).count() == 0
     assert L.with_lines_deduplicated(nothing).count() == 0
+
+
+def _seeds_kept(texts, cleaned):
+    """Seed lines that stay although the alignment with some earlier holder, of all there are, removes them."""
+    lines = [[x.replace("\r", " ").replace("\t", " ").strip(" ") for x in t.split("\n")] for t in texts]
+    seeds = [{x for x in own if len(x) >= L.SEED_CHARS} for own in lines]
+    kept = set()
+    for d, own in enumerate(lines):
+        left = {x.replace("\r", " ").replace("\t", " ").strip(" ") for x in cleaned[d].split("\n")}
+        for e in range(d):
+            if seeds[d] & seeds[e]:
+                once = {own[j] for j in L.repeated_places(lines[e], own, [len(x) for x in own]) if own.count(own[j]) == 1}
+                kept |= {(d, x) for x in once & seeds[d] & left}
+    return kept
+
+
+def test_common_lines_go_if_any_earlier_holder_removes_them(spark, odd):
+    # The first document has the lines in another order, so its alignment leaves one of them in each later one.
+    texts = ["\n".join([LONG[1], LONG[0], LONG[2]])]
+    texts += ["\n".join([f"document {i} starts with a line of its own", *LONG[:3], f"end {i}"]) for i in range(12)]
+    frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], odd.schema)
+    first, every = (
+        {r["row"]["doc_id"]: r["cleaned"] for r in L.without_repeated_lines(frame, all_holders=x).collect()}
+        for x in (False, True)
+    )
+    assert len(_seeds_kept(texts, first)) == 11
+    assert not _seeds_kept(texts, every)
+    assert all(every[d] == f"document {d - 1} starts with a line of its own\nend {d - 1}" for d in range(2, 13))
+
+
+def test_registered_query_tries_every_holder(spark, rows):
+    found = {r["doc_id"]: r["text"] for r in queries.op3_line_alignment(spark, FOLDER).collect()}
+    assert not _seeds_kept(list(rows["text"]), [found[d] for d in rows["doc_id"]])
