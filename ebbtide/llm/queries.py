@@ -1,15 +1,19 @@
-"""The corpus queries that are registered, one for each operator, over the whole ``documents`` table."""
+"""The corpus queries that are registered, one for each operator, over whole tables."""
 
 from pyspark.sql import functions as F
 
 from ebbtide.llm import (
+    checks,
     fertility,
     language,
     line_alignment,
     mixing,
     packing,
+    prefix_trie,
+    resampling,
     sentence_spans,
     simhash,
+    style_tree,
     token_counts,
     token_files,
     version_sketch,
@@ -95,3 +99,18 @@ def op9_token_blocks(spark, folder):
 @query("op10_pattern_packing")
 def op10_pattern_packing(spark, folder):
     return packing.packed(documents(spark, folder))
+
+
+@query("op11_prefix_trie", checks.PREFIX_TRIE)
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op12_overlapped_resampling", checks.RESAMPLED)
+def op12_overlapped_resampling(spark, folder):
+    return resampling.resampled(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op13_style_tree")
+def op13_style_tree(spark, folder):
+    return style_tree.extracted(spark.read.parquet(f"{folder}/pages.parquet"))
