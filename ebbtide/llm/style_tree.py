@@ -13,7 +13,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -274,10 +274,6 @@ def page_host(url="url"):
     return F.coalesce(F.lower(host), F.lit(""))
 
 
-def _log(x, base):
-    return F.log(x.cast("double")) / F.log(base.cast("double"))
-
-
 def branch_importance(nodes: DataFrame) -> DataFrame:
     """``host, path, n_pages, importance`` of every branch of every host's style tree.
 
@@ -288,13 +284,13 @@ def branch_importance(nodes: DataFrame) -> DataFrame:
     """
     once = nodes.select("host", "path", "is_style", "feature", "digest").distinct()
     times = once.groupBy("host", "path", "is_style", "feature").agg(F.count("*").alias("n"))
-    # Pages of each place: a path's content and its styles apart.
-    pages = nodes.groupBy("host", "path", "is_style").agg(F.count_distinct("digest").alias("m"))
-    known = times.join(pages, ["host", "path", "is_style"])
-    worth = F.when(F.col("m") > 1, 1 - _log(F.col("n"), F.col("m"))).otherwise(1.0)
-    leaves = known.where(~F.col("is_style")).groupBy("host", "path").agg(
-        F.sum(F.col("n") * worth).alias("worth"), F.sum("n").alias("n"), F.max("m").alias("m")
-    )
+    # Summed before anything is joined, so that a place which very many pages have is one row of a task.
+    n, place = F.col("n").cast("double"), ["host", "path", "is_style"]
+    sums = times.groupBy(*place).agg(F.sum("n").alias("n"), F.sum(n * F.log(n)).alias("n_log"), F.count("*").alias("kinds"))
+    pages = nodes.groupBy(*place).agg(F.count_distinct("digest").alias("m"))
+    known = sums.join(pages, place).withColumn("log_m", F.log(F.col("m").cast("double")))
+    worth = F.when(F.col("m") > 1, F.col("n") - F.col("n_log") / F.col("log_m")).otherwise(F.col("n"))
+    leaves = known.where(~F.col("is_style")).select("host", "path", worth.alias("worth"), "n", "m")
     steps = F.split("path", "/")
     above = F.transform(
         F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")
@@ -304,13 +300,12 @@ def branch_importance(nodes: DataFrame) -> DataFrame:
         .groupBy("host", "path")
         .agg((F.sum("worth") / F.sum("n")).alias("content"), F.max("m").alias("n_pages"))
     )
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("host", "path"))
-    styled = known.where("is_style").withColumn("p", share)
-    presentation = styled.groupBy("host", "path").agg(
-        F.when(F.max("m") > 1, -F.sum(F.col("p") * F.log("p")) / F.log(F.max("m").cast("double")))
-        .otherwise(1.0)
-        .alias("presentation"),
-        F.count("*").alias("n_styles"),
+    entropy = F.log(F.col("n").cast("double")) - F.col("n_log") / F.col("n")
+    presentation = known.where("is_style").select(
+        "host",
+        "path",
+        F.when(F.col("m") > 1, entropy / F.col("log_m")).otherwise(1.0).alias("presentation"),
+        F.col("kinds").alias("n_styles"),
     )
     decay = F.pow(F.lit(DECAY), F.coalesce("n_styles", F.lit(0)))
     return content.join(presentation, ["host", "path"], "left").select(
