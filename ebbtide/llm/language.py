@@ -22,7 +22,7 @@ from ebbtide.session import materialized
 UNDETERMINED = "und"
 #: Expected number of texts of one language that a model is fitted on at most (a hash decides which ones).
 TEXTS_PER_LANGUAGE = 1500
-EM_ROUNDS = 2
+EM_ROUNDS = 3
 #: A character outside the vocabulary is a piece of its own with this probability.
 UNKNOWN = 1e-7
 #: Added to every expected count, so that pieces a language never showed keep a small probability.
@@ -47,6 +47,17 @@ def longest_piece(path):
     return max(map(len, pieces_of(path)))
 
 
+@functools.lru_cache(maxsize=2)
+def beginnings_of(path):
+    return beginnings(pieces_of(path))
+
+
+def beginnings(numbers):
+    """Every beginning of a piece to the piece's number, or to -1 if it is no piece itself: a trie as one table."""
+    found = {piece[:n]: -1 for piece in numbers for n in range(1, len(piece))}
+    return found | numbers
+
+
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -63,29 +74,41 @@ def words_of(text):
     return [w for w in words if w != BOUNDARY]
 
 
-def forward(words, numbers, probability, longest=LONGEST_WORD):
+def forward(words, numbers, probability, known=None):
     """Probability of each word under each language: a row for each word.
 
-    ``probability`` has a row for each piece, then one for an unknown character and one of zeros. Words of one length
-    go through the pass together; no piece has more than ``longest`` characters.
+    ``probability`` has a row for each piece, then one for an unknown character and one of zeros; ``known``:
+    ``beginnings(numbers)``. A place of a word is followed only as far as some piece goes on. Words of one length go
+    through the pass together, each span for the words that have a piece there.
     """
-    unknown, nothing = len(probability) - 2, len(probability) - 1
+    unknown = len(probability) - 2
+    known = beginnings(numbers) if known is None else known
     result = np.empty((len(words), probability.shape[1]))
     by_length = defaultdict(list)
     for i, word in enumerate(words):
         by_length[len(word)].append(i)
     for n, members in by_length.items():
-        spans = [(start, end) for end in range(1, n + 1) for start in range(max(0, end - longest), end)]
-        looked_up = [
-            numbers.get(w[s:e], nothing if e - s > 1 else unknown) for w in (words[i] for i in members) for s, e in spans
-        ]
-        piece = np.array(looked_up, np.int32).reshape(len(members), len(spans))
+        spans = defaultdict(lambda: ([], []))
+        for row, i in enumerate(members):
+            word = words[i]
+            for start in range(n):
+                end = start + 1
+                k = known.get(word[start:end])
+                if k is None or k < 0:
+                    rows, pieces = spans[end, start]
+                    rows.append(row)
+                    pieces.append(unknown)
+                while k is not None:
+                    if k >= 0:
+                        rows, pieces = spans[end, start]
+                        rows.append(row)
+                        pieces.append(k)
+                    end += 1
+                    k = known.get(word[start:end]) if end <= n else None
         reached = np.zeros((n + 1, len(members), probability.shape[1]))
         reached[0] = 1.0
-        for k, (start, end) in enumerate(spans):
-            column = piece[:, k]
-            if (column != nothing).any():
-                reached[end] += reached[start] * probability[column]
+        for (end, start), (rows, pieces) in sorted(spans.items()):
+            reached[end, rows] += reached[start, rows] * probability[pieces]
         result[members] = reached[n]
     return result
 
@@ -126,10 +149,24 @@ class LanguageModel:
         self.log_priors = np.log(np.asarray(priors, float))
         self.probability = probability
         self.path = path
-        self.known = {}
+        self._forget()
+
+    def _forget(self):
+        """No word is known: ``known`` has the row of each known word in ``scores``."""
+        self.known, self.scores = {}, np.empty((0, len(self.log_priors)))
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "scores": self.scores[:0]}
+
+    def _learn(self, new):
+        found = forward(new, pieces_of(self.path), self.probability, beginnings_of(self.path))
+        n = len(self.known)
+        if n + len(new) > len(self.scores):
+            grown = np.empty((2 * (n + len(new)), self.scores.shape[1]))
+            grown[:n] = self.scores[:n]
+            self.scores = grown
+        self.scores[n : n + len(new)] = np.log(np.maximum(found, 1e-300))
+        self.known.update(zip(new, range(n, n + len(new))))
 
     def predict_all(self, texts):
         """(language, share of the posterior) of each whole text; (und, 0) for null or a text without letters."""
@@ -138,10 +175,8 @@ class LanguageModel:
             counts = [Counter(words_of(t)) if t else Counter() for t in texts[i : i + 400]]
             words = set().union(*counts)
             if len(self.known) > self.WORDS_KEPT:
-                self.known = {w: self.known[w] for w in words if w in self.known}
-            new = [w for w in words if w not in self.known]
-            scores = np.log(np.maximum(forward(new, pieces_of(self.path), self.probability, longest_piece(self.path)), 1e-300))
-            self.known.update(zip(new, scores))
+                self._forget()
+            self._learn([w for w in words if w not in self.known])
             out += [self._best(c) for c in counts]
         return out
 
@@ -149,7 +184,8 @@ class LanguageModel:
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
         n = np.fromiter(counts.values(), float, len(counts))
-        total = self.log_priors + n @ np.array([self.known[w] for w in counts])
+        rows = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
+        total = self.log_priors + n @ self.scores[rows]
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.languages[best], float(share[best] / share.sum())
@@ -253,7 +289,8 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(_in_worker(model).predict_all(texts.tolist()), columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", predict(F.col("text").cast("string")))
+    # A filter on the answer must not be pushed below it: it would ask the model again.
+    return docs.withColumn("language", predict.asNondeterministic()(F.col("text").cast("string")))
 
 
 def predicted_languages(docs: DataFrame, **settings) -> DataFrame:

@@ -171,6 +171,9 @@ def deleted_lines(
             ]
         )
 
+    # Filters on what it returns stay above it: pushed down they would align each pair twice.
+    gone = gone.asNondeterministic()
+
     def places(pairs):
         aligned = pairs.join(lined, ["id", "h"]).join(earlier, "earlier")
         return aligned.select("id", "h", gone("earlier_lines", "lines", "sizes").alias("places")).where(
@@ -232,6 +235,7 @@ def without_repeated_lines(
 
     changed = F.col("gone").isNotNull()
     text = F.col("row")["text"]
+    cut = cut.asNondeterministic()
     return joined.select(
         "row",
         F.when(changed, cut(F.when(changed, text), F.col("gone"))).otherwise(text).alias("cleaned"),

@@ -1,11 +1,12 @@
 """Packing documents into training sequences by a configuration linear program over the length histogram.
 
 The program has a variable for each pattern (a multiset of lengths that fits a sequence) and asks for the fewest
-sequences that hold all pieces. Patterns are made by pricing: multiplicative weights put a price on every length, a
-knapsack by dynamic programming finds the patterns worth most at these prices, and each takes a share of what is left;
-lengths that lag behind get dearer. Whole multiples of the patterns are kept, and what rounding leaves over is packed
-best fit, longest first. All of that works on the histogram, which has at most as many rows as a sequence has tokens,
-however many documents there are. Documents find their places by their rank within their length.
+sequences that hold all pieces. Multiplicative weights put a price on every length, a knapsack by dynamic programming
+finds the patterns worth most at these prices, and lengths that are covered slower than others get dearer; the prices
+also bound the program's optimum from below. The fractional solution is rounded down, the rest is solved again while
+that gives whole sequences, and what is left over is packed best fit, longest first (or everything is, where that takes
+fewer sequences). All of that works on the histogram, which has at most as many rows as a sequence has tokens, however
+many documents there are. Documents find their places by their rank within their length.
 """
 
 import math
@@ -23,12 +24,13 @@ from ebbtide.session import materialized
 
 SEQUENCE = 4096
 END_ID = 1
-ROUNDS = 200
+#: Prices that are tried for the program, and for each program of what rounding leaves over.
+ROUNDS, ROUNDS_AGAIN = 120, 12
 PATTERNS_PER_ROUND = 8
-#: Lengths that are priced in a round: those with most tokens left.
-PRICED_LENGTHS = 384
+#: Patterns of a round that are taken are worth this share of its best one.
+NEARLY_BEST = 0.998
 #: How fast a length gets dearer that lags behind.
-RATE = 0.02
+RATE = 0.05
 #: Pieces whose ranks within a length one task counts, on average.
 RANKED_ROWS = 20_000
 
@@ -65,40 +67,68 @@ def best_patterns(lengths, prices, capacity, n_best):
     return found
 
 
-def solve_patterns(histogram, capacity=SEQUENCE, rounds=ROUNDS):
-    """(patterns with the number of sequences each fills, what is left of the histogram).
+def fractional_patterns(lengths, total, capacity=SEQUENCE, rounds=ROUNDS):
+    """(pattern to the sequences it fills, a lower bound on the sequences any packing needs).
 
-    A round's patterns may take the share of the sequences that an even pace over all rounds gives them, in whole
-    sequences and not more than the scarcest of their lengths allows.
+    Each round's prices give patterns; those worth nearly as much as the best one take an even share of the sequences
+    that the tokens need. Prices times pieces over the best pattern's worth is a bound by duality.
     """
-    lengths = np.array(sorted(histogram), np.int64)
-    total = np.array([histogram[int(x)] for x in lengths], np.int64)
-    left = total.copy()
-    weight = np.ones(len(lengths))
     place = {int(x): i for i, x in enumerate(lengths)}
-    sequences = math.ceil(int((lengths * total).sum()) / capacity) if len(lengths) else 0
-    pace = max(1, math.ceil(2 * sequences / (rounds * PATTERNS_PER_ROUND)))
-    used = []
+    covered, weight, filled = np.zeros(len(lengths)), np.ones(len(lengths)), {}
+    tokens = float((lengths * total).sum())
+    bound = math.ceil(tokens / capacity - 1e-9)
     for _ in range(rounds):
-        tokens_left = left * lengths
-        active = np.argsort(-tokens_left, kind="stable")[:PRICED_LENGTHS]
-        active = active[left[active] >= 1]
-        if len(active) < 2:
-            break
-        lag = left[active] / total[active]
-        weight[active] *= np.exp(RATE * (lag - lag.mean()))
-        prices = lengths[active] / capacity * weight[active]
+        prices = lengths / capacity * weight
+        found = best_patterns(lengths, prices, capacity, PATTERNS_PER_ROUND)
+        worth = [sum(prices[place[size]] * n for size, n in pattern.items()) for pattern in found]
+        best = max(worth)
+        bound = max(bound, math.ceil(float((prices * total).sum()) / best - 1e-6))
+        taken = [p for p, w in zip(found, worth) if w >= NEARLY_BEST * best]
+        for pattern in taken:
+            key, share = tuple(sorted(pattern.items())), tokens / capacity / rounds / len(taken)
+            filled[key] = filled.get(key, 0.0) + share
+            for size, n in pattern.items():
+                covered[place[size]] += n * share
+        lag = covered / total
+        weight *= np.exp(RATE * (lag.mean() - lag))
+    return {key: x for key, x in filled.items() if x > 0}, bound
+
+
+def solve_patterns(histogram, capacity=SEQUENCE, rounds=ROUNDS):
+    """(patterns with the whole number of sequences each fills, what is left of the histogram, lower bound).
+
+    Fractions are rounded down, the fullest patterns first; the program of the rest is solved until it rounds to
+    nothing.
+    """
+    left, used, bound = dict(histogram), [], 0
+    while len(left) > 1:
+        lengths = np.array(sorted(left), np.int64)
+        total = np.array([left[int(x)] for x in lengths], np.float64)
+        filled, least = fractional_patterns(lengths, total, capacity, rounds if not used and not bound else ROUNDS_AGAIN)
+        bound = bound or least
         taken = 0
-        for pattern in best_patterns(lengths[active], prices, capacity, PATTERNS_PER_ROUND):
-            times = min([pace] + [int(left[place[size]]) // n for size, n in pattern.items()])
+        for key, x in sorted(filled.items(), key=lambda e: (-sum(s * n for s, n in e[0]), -e[1], e[0])):
+            times = min([int(x + 1e-9)] + [left.get(size, 0) // n for size, n in key])
             if times:
-                for size, n in pattern.items():
-                    left[place[size]] -= n * times
-                used.append((pattern, times))
+                for size, n in key:
+                    left[size] -= n * times
+                used.append((dict(key), times))
                 taken += times
+        left = {size: n for size, n in left.items() if n}
         if not taken:
             break
-    return used, {int(x): int(n) for x, n in zip(lengths, left) if n}
+    tokens = sum(size * n for size, n in histogram.items())
+    return used, left, max(bound, -(-tokens // capacity))
+
+
+def pack_histogram(histogram, capacity=SEQUENCE, rounds=ROUNDS):
+    """Patterns with the number of sequences each fills, for the whole histogram: rounded program or best fit alone."""
+    used, left, _ = solve_patterns(histogram, capacity, rounds)
+    return min(
+        best_fit(left, used, capacity),
+        best_fit(histogram, [], capacity),
+        key=lambda packing: sum(times for _, times in packing),
+    )
 
 
 def best_fit(histogram, patterns, capacity=SEQUENCE):
@@ -191,7 +221,11 @@ def pieces(docs: DataFrame, path=None, end_id=END_ID, capacity=SEQUENCE, with_id
         rows = pa.StructArray.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
         return pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows)
 
-    return docs.select(F.col("doc_id"), cut(whole_text()).alias("cut")).select("doc_id", F.inline("cut"))
+    return docs.select(F.col("doc_id"), cut(whole_text()).alias("cut")).select(
+        # Outer: every text has a piece, and a test for that would run the tokenizer twice.
+        "doc_id",
+        F.inline_outer("cut"),
+    )
 
 
 def ranked(cut: DataFrame) -> DataFrame:
@@ -200,7 +234,8 @@ def ranked(cut: DataFrame) -> DataFrame:
     Pieces of one length are counted in buckets by a hash of the row, then buckets before each other, so a length that
     a third of the pieces share is spread over many tasks. Rows that agree in everything are interchangeable.
     """
-    n_buckets = max(1, cut.count() // RANKED_ROWS)
+    least = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(least, cut.count() // RANKED_ROWS)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n_buckets)).cast("int"))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -225,8 +260,7 @@ def packed(docs: DataFrame, path=None, end_id=END_ID, capacity=SEQUENCE, rounds=
     cut = materialized(pieces(docs, path, end_id, capacity, with_ids), "pieces")
     # At most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    patterns, left = solve_patterns(histogram, capacity, rounds)
-    table, _ = places_by_rank(best_fit(left, patterns, capacity))
+    table, _ = places_by_rank(pack_histogram(histogram, capacity, rounds))
     keys = table[:, 0] << 40 | table[:, 1] if len(table) else np.empty(0, np.int64)
 
     @F.pandas_udf("sequence_id long, offset long")

@@ -68,3 +68,8 @@ def test_odd_rows(odd, nothing):
     assert language.predicted_languages(nothing).count() == 0
     kept = language.with_known_language(odd)
     assert kept.columns == odd.columns and {2, 3, 4, 9}.isdisjoint({r["doc_id"] for r in kept.collect()})
+
+
+def test_texts_are_told_once_where_answers_are_filtered(documents):
+    plan = language.with_known_language(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -125,3 +125,10 @@ def test_common_lines_go_if_any_earlier_holder_removes_them(spark, odd):
 def test_registered_query_tries_every_holder(spark, rows):
     found = {r["doc_id"]: r["text"] for r in queries.op3_line_alignment(spark, FOLDER).collect()}
     assert not _seeds_kept(list(rows["text"]), [found[d] for d in rows["doc_id"]])
+
+
+def test_pairs_are_aligned_once(documents):
+    from ebbtide.llm.line_alignment import with_lines_deduplicated
+
+    cleaned = with_lines_deduplicated(documents)
+    assert cleaned._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # places, texts

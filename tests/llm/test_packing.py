@@ -26,7 +26,7 @@ def _fits(patterns, histogram, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=15))
 def test_all_pieces_are_packed_once(histogram):
-    patterns, left = packing.solve_patterns(histogram, capacity=40, rounds=10)
+    patterns, left, _ = packing.solve_patterns(histogram, capacity=40, rounds=10)
     whole = packing.best_fit(left, patterns, capacity=40)
     _fits(whole, histogram, 40)
     table, n = packing.places_by_rank(whole)
@@ -50,12 +50,64 @@ def test_few_sequences_more_than_the_tokens_need():
     rng = np.random.default_rng(4)
     sizes = np.clip(rng.lognormal(6, 1.2, 20_000).astype(int), 1, 4096)
     histogram = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}
-    patterns, left = packing.solve_patterns(histogram)
+    patterns, left, _ = packing.solve_patterns(histogram)
     assert sum(s * n for s, n in left.items()) < 0.9 * sizes.sum()  # the program places a part worth its name
     n = _fits(packing.best_fit(left, patterns), histogram, 4096)
     assert n <= math.ceil(sizes.sum() / 4096) * 1.002 + 1
 
 
+def _sequences(packing_of):
+    return sum(times for _, times in packing_of)
+
+
+def _fewest(sizes, capacity):
+    """Optimum by trying every place for the next piece, largest first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in sorted(set(rooms)):
+            if room >= sizes[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(i + 1, [*rest, room - sizes[i]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(3, 24), min_size=1, max_size=9))
+def test_small_inputs_near_the_optimum(sizes):
+    histogram = Counter(sizes)
+    found, fewest = packing.pack_histogram(histogram, capacity=30, rounds=20), _fewest(sizes, 30)
+    assert _fits(found, histogram, 30) <= fewest + 1
+    assert packing.solve_patterns(histogram, capacity=30, rounds=20)[2] <= fewest
+
+
+def test_programs_with_a_known_optimum():
+    assert _sequences(packing.pack_histogram({1400: 2000, 1296: 1000})) == 1000
+    rng, triplets = random.Random(1), Counter()
+    for _ in range(300):
+        a = rng.randint(1025, 1900)
+        b = rng.randint(1025, min(2047, 4096 - a - 1025))
+        triplets.update([a, b, 4096 - a - b])
+    found = packing.pack_histogram(triplets)
+    assert _fits(found, triplets, 4096) <= 306
+    assert _sequences(packing.best_fit(triplets, [])) > 330
+    assert packing.solve_patterns(triplets)[2] == 300
+
+
+def test_texts_are_encoded_once(documents):
+    plan = packing.pieces(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def _pieces(rows, tokenizer, capacity):
     out = []
     for doc_id, text in rows:
