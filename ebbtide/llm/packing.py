@@ -31,6 +31,8 @@ PATTERNS_PER_ROUND = 8
 NEARLY_BEST = 0.998
 #: How fast a length gets dearer that lags behind.
 RATE = 0.05
+#: Coverage beyond this many times the even pace counts as this many.
+CLIP = 20
 #: Pieces whose ranks within a length one task counts, on average.
 RANKED_ROWS = 20_000
 
@@ -77,7 +79,7 @@ def fractional_patterns(lengths, total, capacity=SEQUENCE, rounds=ROUNDS):
     covered, weight, filled = np.zeros(len(lengths)), np.ones(len(lengths)), {}
     tokens = float((lengths * total).sum())
     bound = math.ceil(tokens / capacity - 1e-9)
-    for _ in range(rounds):
+    for step in range(1, rounds + 1):
         prices = lengths / capacity * weight
         found = best_patterns(lengths, prices, capacity, PATTERNS_PER_ROUND)
         worth = [sum(prices[place[size]] * n for size, n in pattern.items()) for pattern in found]
@@ -89,7 +91,8 @@ def fractional_patterns(lengths, total, capacity=SEQUENCE, rounds=ROUNDS):
             filled[key] = filled.get(key, 0.0) + share
             for size, n in pattern.items():
                 covered[place[size]] += n * share
-        lag = covered / total
+        # A rare length may be covered many times over by one pattern; that must not drive up all the others.
+        lag = np.minimum(covered / total, CLIP * step / rounds)
         weight *= np.exp(RATE * (lag.mean() - lag))
     return {key: x for key, x in filled.items() if x > 0}, bound
 
@@ -115,7 +118,7 @@ def solve_patterns(histogram, capacity=SEQUENCE, rounds=ROUNDS):
                 used.append((dict(key), times))
                 taken += times
         left = {size: n for size, n in left.items() if n}
-        if not taken:
+        if 100 * capacity * taken < sum(size * n for size, n in left.items()):  # what is left rounds to next to nothing
             break
     tokens = sum(size * n for size, n in histogram.items())
     return used, left, max(bound, -(-tokens // capacity))

@@ -127,8 +127,6 @@ def test_registered_query_tries_every_holder(spark, rows):
     assert not _seeds_kept(list(rows["text"]), [found[d] for d in rows["doc_id"]])
 
 
-def test_pairs_are_aligned_once(documents):
-    from ebbtide.llm.line_alignment import with_lines_deduplicated
-
-    cleaned = with_lines_deduplicated(documents)
-    assert cleaned._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # places, texts
+def test_texts_are_cut_once(documents):
+    cleaned = L.with_lines_deduplicated(documents)
+    assert cleaned._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
