@@ -201,6 +201,23 @@ def d6_prediction_drift(spark, folder):
     return rounded(drift.prediction_drift(scored.filter(EVEN), scored.filter(ODD), "p_a"))
 
 
+@query(
+    "d6_prediction_drift_strange_scores",
+    f"""WITH {X.SCORES_SQL}, s AS (SELECT *, CASE WHEN {EVEN} THEN 'ref' ELSE 'cur' END AS side FROM sc
+      WHERE customer_id % 7 <> 0 AND customer_id % 5 <> 0),
+m AS (SELECT {_psi_sql(_numeric_levels('s', 'p_a'))} AS psi)
+SELECT {r6('psi', 'score_psi')}, {r6("(SELECT avg(p_a) FROM s WHERE side = 'ref')", 'ref_mean_score')},
+  {r6("(SELECT avg(p_a) FROM s WHERE side = 'cur')", 'cur_mean_score')},
+  CASE WHEN psi < 0.1 THEN 'stable' WHEN psi <= 0.2 THEN 'watch' ELSE 'investigate' END AS band FROM m""",
+)
+def d6_prediction_drift_strange_scores(spark, folder):
+    """NULL and NaN scores on both sides are no scores, neither for the means nor for the PSI."""
+    number = F.col("customer_id").cast("long")
+    score = F.when(number % 7 == 0, float("nan")).when(number % 5 == 0, None).otherwise(F.col("p_a"))
+    scored = X.scores(spark, folder).withColumn("p_a", score)
+    return rounded(drift.prediction_drift(scored.filter(EVEN), scored.filter(ODD), "p_a"))
+
+
 def _report(spark, folder):
     rows = X.dirty(spark, folder, text_id=True).persist()
     number = F.col(S.ID).cast("long")

@@ -307,6 +307,24 @@ def e17_reliability(spark, folder):
     return rounded(ranking.reliability(derived.line_score_table(spark, folder), "score"))
 
 
+@query(
+    "e17_reliability_strange_scores",
+    f"""WITH {_STRANGE_SQL}, u AS (SELECT price, CASE WHEN price % 3 < 1 THEN NULL ELSE churned END AS churned FROM sp
+      WHERE NOT isinf(price)),
+    b AS (SELECT price / 110000 AS score, churned FROM u WHERE churned IS NOT NULL),
+    c AS (SELECT *, CAST({" + ".join(f"(score > CAST({i} AS DOUBLE) * CAST(0.1 AS DOUBLE))::INTEGER" for i in range(1, 10))}
+      AS INTEGER) AS bin FROM b)
+    SELECT bin, count(*) AS n, {r6('avg(score)', 'mean_score')}, {r6('avg(CAST(churned AS DOUBLE))', 'positive_share')}
+    FROM c GROUP BY bin""",
+)
+def e17_reliability_strange_scores(spark, folder):
+    """Rows without a label or without a number as their score count in no bin."""
+    rows = _strange_prices(spark, folder).filter(~F.col("price").isin(float("inf"), float("-inf")) | F.col("price").isNull())
+    label = F.when(F.col("price") % 3 < 1, None).otherwise(F.col(S.LABEL))
+    rows = rows.withColumn(S.LABEL, label).withColumn("score", F.col("price") / 110000)
+    return rounded(ranking.reliability(rows, "score"))
+
+
 # --- campaign economics -----------------------------------------------------------------------------------
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ebbtide import settings as S
 from ebbtide.catalog import fixtures as X
-from ebbtide.catalog.registry import query, rounded
+from ebbtide.catalog.registry import query, r6, rounded
 from ebbtide.catalog.quality import _rule_sql
 from ebbtide.operators import explain, models, splits
 from ebbtide.operators.campaign import fit_cut_points
 from ebbtide.operators.models import SCORE, TrainingSettings
-from ebbtide.operators.scoring import score_frame
+from ebbtide.operators.scoring import score_frame, with_identifier
 from ebbtide.plans import drift_job, training
 from ebbtide.session import materialized, scratch_path
 from ebbtide.sources import runs
@@ -107,35 +107,61 @@ def _saved_run(spark, folder):
     customers = _customers(spark, folder)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _SAVED:
-        _SAVED[key] = training.train_and_evaluate(customers, LINEAR, scratch_path(spark, "runs")).run_path
+        _SAVED[key] = training.train_and_evaluate(customers, LINEAR, scratch_path(spark, "runs")).path
     return customers, _SAVED[key]
 
 
 @query("m11_s3_s4_s6_saved_run")
 def m11_s3_s4_s6_saved_run(spark, folder):
-    """The whole training job with all candidates; its metadata is read back from the newest saved run."""
+    """The whole training job with all candidates; the facts of the newest saved run are read back."""
     path = scratch_path(spark, "runs")
     training.train_and_evaluate(_customers(spark, folder), BUDGET, path)
-    table = runs.run_table(spark, path)
-    newest = runs.latest_run(spark, path).rsplit("/", 1)[-1]
-    return table.filter(F.col("run_id") == newest).select(
-        "model_name",
-        "has_base_linear",
-        "data_fingerprint.row_count",
-        "threshold",
-        "tier_cutpoints.t_mid",
-        F.col("metrics_test_half_threshold.roc_auc").alias("holdout_roc_auc"),
-        F.size("ev_sensitivity").alias("scenarios"),
-        F.size("cv_results").alias("candidates"),
-        F.to_json("selection").alias("selection"),
-    )
+    newest = runs.newest_run(spark, path).rsplit("/", 1)[-1]
+    facts = runs.facts_of_all(spark, path).filter(F.col("run") == newest)
+    return rounded(facts.filter("scope <> 'training' OR name = 'winner'").drop("run"))
+
+
+@query(
+    "s6_run_facts",
+    f"WITH {X.DIRTY_SQL} SELECT 'data' AS scope, '' AS item, 'row_count' AS name, "
+    "CAST(count(*) AS DOUBLE) AS number FROM cust UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'scenario', '{item}', '{name}', {r6(f'CAST({value!r} AS DOUBLE)')}"
+        for item, (cost, value_, uplift) in S.SCENARIOS.items()
+        for name, value in {"cost": cost, "value": value_, "uplift": uplift, "break_even": cost / (value_ * uplift)}.items()
+    ),
+)
+def s6_run_facts(spark, folder):
+    """What a saved run knows of its data and its scenarios, read back from the store."""
+    _, run_path = _saved_run(spark, folder)
+    facts = runs.facts_of_all(spark, run_path.rpartition("/")[0])
+    given = F.col("name").isin("cost", "value", "uplift", "break_even")
+    kept = facts.filter(((F.col("scope") == "scenario") & given) | (F.col("name") == "row_count"))
+    return rounded(kept.select("scope", "item", "name", "number"))
 
 
 @query("m12_batch_scores")
 def m12_batch_scores(spark, folder):
     """Scores, tiers and reasons from a saved and reloaded run."""
     customers, run_path = _saved_run(spark, folder)
-    return rounded(runs.load_run(spark, run_path).score(customers))
+    return rounded(runs.open_run(spark, run_path).score(customers))
+
+
+@query(
+    "m12_row_numbers",
+    f"WITH {X.DIRTY_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most, count(*) AS n_numbers "
+    "FROM cust",
+)
+def m12_row_numbers(spark, folder):
+    """Numbers that rows without an id get for scoring: 0 .. n-1, each once."""
+    rows = with_identifier(X.dirty(spark, folder, text_id=True).drop(S.ID))
+    number = F.col(S.ID)
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.min(number).alias("least"),
+        F.max(number).alias("most"),
+        F.count_distinct(number).alias("n_numbers"),
+    )
 
 
 @query("s8_d6_drift_job_with_model")
@@ -194,8 +220,7 @@ def st1_stream_scores(spark, folder):
     customers = _customers(spark, folder)
     train, _ = _apply_split(customers)
     fitted = models.pipeline("logistic_regression", train.count(), LINEAR).fit(train)
-    record = {"run_id": "fresh", "tier_cutpoints": {"t_star": 0.5, "t_mid": 0.4}}
-    run = runs.LoadedRun(fitted, record, fitted)
+    run = runs.ScoringRun("fresh", fitted, {"high_from": 0.5, "medium_from": 0.4}, fitted)
     scored, _ = incremental.score_arrivals(_arrivals(spark, folder), run, scratch_path(spark, "stream"))
     return rounded(spark.read.parquet(scored))
 

@@ -12,6 +12,12 @@ def number_or_null(column) -> Column:
     return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
+def without_nan(df):
+    """The table with NaN as NULL in its floating-point columns, so that every count of missing values agrees."""
+    floating = [c for c, kind in df.dtypes if kind in ("float", "double")]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")) for c in floating}) if floating else df
+
+
 def outside(value: Column, low, high) -> Column:
     """True where a present value lies strictly outside the inclusive range."""
     tests = []

@@ -196,10 +196,11 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns, edges=None)
 
 
 def prediction_drift(reference: DataFrame, current: DataFrame, score="churn_probability") -> DataFrame:
-    """PSI of the scores and the mean score of each side."""
+    """PSI of the scores and the mean score of each side; NULL and NaN are no scores."""
+    value = number_or_null(score)
     means = both_sides(reference, current, [score]).agg(
-        F.avg(F.when(F.col("side") == "ref", F.col(score))).alias("ref_mean_score"),
-        F.avg(F.when(F.col("side") == "cur", F.col(score))).alias("cur_mean_score"),
+        F.avg(F.when(F.col("side") == "ref", value)).alias("ref_mean_score"),
+        F.avg(F.when(F.col("side") == "cur", value)).alias("cur_mean_score"),
     )
     psi = numeric_psi(reference, current, score)
     # one row on each side

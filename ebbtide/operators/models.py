@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
+from ebbtide.operators.foldstats import FoldStatistics, Scheme
 from ebbtide.operators.prep import (
     DerivedFeatures,
     FeaturePrep,
     FeaturePrepModel,
     RangeRepair,
     add_derived_features,
-    learn_statistics,
     repair_ranges,
 )
 
@@ -112,11 +112,17 @@ def stateless_features(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Split:
-    """One training split: which rows a model is fitted on and which rows it is held out from."""
+    """One training split: which rows a model is fitted on and which rows it is held out from.
+
+    ``fold`` deals the rows of the split's ``scheme`` to folds; the split leaves ``left_out`` out (None: nothing).
+    """
 
     key: str
     fit: Column
     hold: Column
+    scheme: str
+    fold: Column
+    left_out: int | None = None
 
 
 @dataclass(frozen=True)
@@ -131,27 +137,18 @@ class PreparedSplit:
 def prepare_splits(base: DataFrame, splits: list[Split], settings: TrainingSettings) -> dict[str, PreparedSplit]:
     """Preparation statistics and sizes of all splits, learned together.
 
-    Each row is expanded to the splits it trains, inside the scan; statistics are then grouped by split.
+    Rows are summed up once for each fold scheme; a split is its scheme's sums without those of one fold.
     """
-    member = F.array_compact(F.array(*[F.when(s.fit, F.lit(s.key)) for s in splits]))
-    expanded = base.select("*", F.explode(member).alias("_split"))
-    stats = learn_statistics(expanded, list(settings.numeric), list(settings.categorical), group="_split")
-    positive = F.col(S.LABEL) == 1
-    sizes = base.agg(
-        *[F.count_if(s.fit).alias(f"{i}_rows") for i, s in enumerate(splits)],
-        *[F.count_if(s.hold & positive).alias(f"{i}_pos") for i, s in enumerate(splits)],
-        *[F.count_if(s.hold & ~positive).alias(f"{i}_neg") for i, s in enumerate(splits)],
-    ).first()
-    return {
-        s.key: PreparedSplit(
-            s,
-            FeaturePrepModel(statistics=stats[s.key].to_json()),
-            sizes[f"{i}_rows"],
-            sizes[f"{i}_pos"],
-            sizes[f"{i}_neg"],
-        )
-        for i, s in enumerate(splits)
-    }
+    schemes = list({s.scheme: Scheme(s.scheme, s.fold) for s in splits}.values())
+    place = {scheme.key: i for i, scheme in enumerate(schemes)}
+    learned = FoldStatistics(base, schemes, settings.numeric, settings.categorical)
+    prepared = {}
+    for s in splits:
+        at = place[s.scheme]
+        statistics = learned.statistics(at, s.left_out).to_json()
+        held = (0, 0) if s.left_out is None else learned.fold_labels(at, s.left_out)
+        prepared[s.key] = PreparedSplit(s, FeaturePrepModel(statistics=statistics), learned.sizes(at, s.left_out), *held)
+    return prepared
 
 
 def in_parallel(spark, tasks, workers):
@@ -294,6 +291,8 @@ def fit_calibrated(base: DataFrame, members: list[PreparedSplit], name, settings
 def fold_splits(column, folds, within=None, prefix="") -> list[Split]:
     """Leave-one-fold-out splits of a fold column, optionally inside a subset of the rows."""
     inside = F.lit(True) if within is None else within
+    fold = F.when(inside, F.col(column))
     return [
-        Split(f"{prefix}{f}", inside & (F.col(column) != f), inside & (F.col(column) == f)) for f in range(folds)
+        Split(f"{prefix}{f}", inside & (F.col(column) != f), inside & (F.col(column) == f), prefix, fold, f)
+        for f in range(folds)
     ]

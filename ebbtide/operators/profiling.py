@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
-from ebbtide.functions.columns import outside
+from ebbtide.functions.columns import outside, without_nan
 from ebbtide.operators.ordering import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -19,7 +19,8 @@ def shape(df: DataFrame, label=S.LABEL) -> DataFrame:
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
-    """Columns with missing values and how many; complete columns are left out."""
+    """Columns with missing values (NULL or NaN) and how many; complete columns are left out."""
+    df = without_nan(df)
     counts = [
         F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing")) for c in df.columns
     ]
@@ -28,6 +29,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns=None, digits=2) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max per numeric column."""
+    df = without_nan(df)
     columns = columns or [*S.NUMERIC, S.LABEL]
     moments = [
         F.struct(
@@ -83,6 +85,7 @@ def class_balance(df: DataFrame, label=S.LABEL) -> DataFrame:
 
 def box_statistics(df: DataFrame, columns=None, capped="monthly_spend", cap_at=0.95, label=S.LABEL) -> DataFrame:
     """Quartiles and whiskers by class; one column is capped at its overall quantile first."""
+    df = without_nan(df)
     columns = columns or ["days_since_last_login", "monthly_spend", "support_tickets_raised"]
     values = {c: F.col(c).cast("double") for c in columns}
     if capped in values:
@@ -111,6 +114,7 @@ def box_statistics(df: DataFrame, columns=None, capped="monthly_spend", cap_at=0
 
 
 def rows_with_missing(df: DataFrame, columns=None) -> DataFrame:
+    df = without_nan(df)
     columns = columns or df.columns
     return df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in columns])).alias("rows_with_missing"))
 
@@ -126,6 +130,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def outlier_profile(df: DataFrame, columns=None, limit=1000.0) -> DataFrame:
     """Median, 99th percentile, maximum and the number of rows above a limit."""
+    df = without_nan(df)
     columns = columns or S.CLIPPED
     marks = (
         exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5, 0.99])
@@ -147,6 +152,7 @@ def outlier_profile(df: DataFrame, columns=None, limit=1000.0) -> DataFrame:
 
 def impossible_rows(df: DataFrame, ranges=None) -> DataFrame:
     """Rows that hold at least one out-of-range value."""
+    df = without_nan(df)
     tests = [outside(F.col(c), *r) for c, r in (ranges or S.VALID_RANGES).items() if c in df.columns]
     any_bad = tests[0]
     for test in tests[1:]:
@@ -156,6 +162,7 @@ def impossible_rows(df: DataFrame, ranges=None) -> DataFrame:
 
 def spend_without_orders(df: DataFrame) -> DataFrame:
     """Positive spend with zero recent orders: counted, never repaired, because the windows differ."""
+    df = without_nan(df)
     return df.agg(
         F.count_if((F.col("num_orders_last_90d") == 0) & (F.col("monthly_spend") > 0)).alias("spend_without_orders")
     )
@@ -163,6 +170,7 @@ def spend_without_orders(df: DataFrame) -> DataFrame:
 
 def label_correlation(df: DataFrame, columns=None, label=S.LABEL) -> DataFrame:
     """Point-biserial correlation of each numeric column with the label, over rows that have both."""
+    df = without_nan(df)
     columns = columns or S.NUMERIC
     pairs = [
         F.struct(
@@ -174,6 +182,7 @@ def label_correlation(df: DataFrame, columns=None, label=S.LABEL) -> DataFrame:
 
 
 def class_medians(df: DataFrame, columns=None, label=S.LABEL) -> DataFrame:
+    df = without_nan(df)
     columns = columns or S.NUMERIC
     return exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5], by=[label]).select(
         label, "column", F.col("quantile").alias("median")

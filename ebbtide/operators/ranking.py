@@ -155,7 +155,7 @@ def precision_recall_points(df: DataFrame, score, label=S.LABEL, by=(), edges=No
 def reliability(df: DataFrame, score, label=S.LABEL, bins=10, by=()) -> DataFrame:
     """Mean score and share of positives in equal-width bins that are closed on the right."""
     edges = [i * (1.0 / bins) for i in range(1, bins)]  # evenly stepped, as uniform bin edges are
-    usable = df.select(*by, number_or_null(score).alias("score"), F.col(label).cast("double").alias("y"))
-    return usable.filter("score IS NOT NULL").groupBy(*by, interior_edges_below(F.col("score"), edges).alias("bin")).agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("y").alias("positive_share")
+    usable = with_usable_score(df, score, label, by)
+    return usable.groupBy(*by, interior_edges_below(F.col("score"), edges).alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("y").cast("double")).alias("positive_share")
     )

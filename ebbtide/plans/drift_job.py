@@ -23,7 +23,8 @@ def write_drift_report(reference: DataFrame, current: DataFrame, path, run_path=
     run = None
     if run_path or runs_folder:
         try:
-            run = runs.load_run(reference.sparkSession, run_path, runs_folder)
+            spark = reference.sparkSession
+            run = runs.open_run(spark, run_path) if run_path else runs.open_newest(spark, runs_folder)
         except runs.RunNotFoundError:
             run = None
     report = drift_report(reference, current, _scorer(run) if run else None)

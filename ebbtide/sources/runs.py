@@ -1,11 +1,15 @@
-"""Saved training runs: models as ``pyspark.ml`` pipelines, metadata as a one-row JSON table."""
+"""Saved training runs.
 
-import platform
+A run is a folder below the run store: one ``pyspark.ml`` pipeline for each role it has (``scorer``, and ``linear`` where
+reasons can be given), and two tables. ``facts`` has a row for every number or word that is known about the run:
+``scope`` (what it is about: the run, the cuts, a model, a campaign scenario ...), ``item`` (which one of these), ``name``
+and either ``number`` or ``word``. New facts need no new schema, and runs are compared by filtering and joining rows.
+``seal`` is written last and has one row; a folder without it is an unfinished run and is never read.
+"""
+
+import time
 import uuid
-from dataclasses import dataclass
-from datetime import datetime, timezone
 
-import pyspark
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,105 +17,103 @@ from pyspark.sql import functions as F
 
 from ebbtide import settings as S
 from ebbtide.operators.scoring import score_frame
+from ebbtide.session import small_table
 
-METRICS = (
-    "struct<threshold:double,precision:double,recall:double,f1:double,roc_auc:double,pr_auc:double,brier:double>"
-)
-METADATA_SCHEMA = f"""
-    run_id string, created_at timestamp, model_name string,
-    data_fingerprint struct<row_count:bigint,hash_xor:bigint,hash_sum:bigint>,
-    versions struct<spark:string,python:string>, has_base_linear boolean,
-    cv_results map<string,struct<cv_auc_mean:double,cv_auc_std:double>>,
-    selection struct<tolerance:double,runner_up:string,
-        winner_auc_ci:struct<auc_lo:double,auc_hi:double,n_rounds:bigint>,
-        winner_vs_runner_up_auc_diff_ci:struct<diff_mean:double,diff_lo:double,diff_hi:double,n_rounds:bigint>>,
-    threshold double, tier_cutpoints struct<t_mid:double,t_star:double>,
-    cost_params struct<cost_per_contact:double,value_per_retained:double,campaign_uplift:double>,
-    ev_sensitivity array<struct<scenario:string,cost:double,value:double,uplift:double,break_even:double,
-        t_star:double,ev_target_per_1k:double,ev_all_per_1k:double>>,
-    per_model_metrics_test_half_threshold map<string,{METRICS}>,
-    metrics_test_business_threshold {METRICS}, metrics_test_half_threshold {METRICS},
-    expected_value_at_threshold double, numeric_features array<string>, categorical_features array<string>,
-    seed int
-"""
+FACTS = "scope string, item string, name string, number double, word string"
+SEAL = "run string, sealed_ms long, roles array<string>"
+SCORER, LINEAR = "scorer", "linear"
 
 
 class RunNotFoundError(FileNotFoundError):
     """No complete run is saved at the given place."""
 
 
-def metadata_frame(spark: SparkSession, record: dict) -> DataFrame:
-    """A metadata record as a one-row nested table; absent fields are NULL."""
-    fields = spark.createDataFrame([], METADATA_SCHEMA).schema
-    return spark.createDataFrame([tuple(record.get(f.name) for f in fields)], fields)
-
-
-def save_run(spark: SparkSession, model: PipelineModel, record: dict, folder, base_linear=None) -> str:
-    """Save a run under a fresh id. Metadata is written last, so a run that has it is complete."""
-    created = datetime.now(timezone.utc)
-    name = record.get("model_name", "model")
-    run_id = f"{created:%Y%m%dT%H%M%SZ}_{name}_{uuid.uuid4().hex[:8]}"
-    path = f"{str(folder).rstrip('/')}/{run_id}"
-    model.write().save(f"{path}/model")
-    if base_linear is not None:
-        base_linear.write().save(f"{path}/base_linear")
-    full = {
-        **record,
-        "run_id": run_id,
-        "created_at": created,
-        "model_name": name,
-        "versions": (pyspark.__version__, platform.python_version()),
-        "has_base_linear": base_linear is not None,
-    }
-    metadata_frame(spark, full).coalesce(1).write.json(f"{path}/metadata")
+def facts_about(scope, values: dict, item="") -> list[tuple]:
+    """Fact rows for a dictionary of numbers and words; what is missing gives no row."""
+    rows = []
+    for name, value in values.items():
+        if value is None:
+            continue
+        if isinstance(value, str):
+            rows.append((scope, item, name, None, value))
+        else:
+            rows.append((scope, item, name, float(value), None))
+    return rows
+
+
+def _store(folder):
+    return str(folder).rstrip("/")
+
+
+def save_run(spark: SparkSession, roles: dict[str, PipelineModel], facts: list[tuple], folder) -> str:
+    """Write pipelines, facts and the seal below a fresh name, in that order; the path of the run."""
+    name = f"run-{uuid.uuid4().hex}"
+    path = f"{_store(folder)}/{name}"
+    for role, model in roles.items():
+        model.write().save(f"{path}/{role}")
+    small_table(spark, facts, FACTS).coalesce(1).write.parquet(f"{path}/facts")
+    seal = [(name, time.time_ns() // 1_000_000, sorted(roles))]
+    small_table(spark, seal, SEAL).coalesce(1).write.parquet(f"{path}/seal")
     return path
 
 
-def run_table(spark: SparkSession, folder) -> DataFrame:
-    """Metadata of every complete run in a folder."""
+def sealed_runs(spark: SparkSession, folder) -> DataFrame:
+    """``run, sealed_ms, roles`` of every complete run of a store."""
     try:
-        return spark.read.schema(METADATA_SCHEMA).json(f"{str(folder).rstrip('/')}/*/metadata")
+        return spark.read.schema(SEAL).parquet(f"{_store(folder)}/*/seal")
     except AnalysisException as error:
         raise RunNotFoundError(f"no saved run in {folder}") from error
 
 
-def latest_run(spark: SparkSession, folder) -> str:
-    """Path of the newest complete run, by its recorded creation time."""
-    newest = run_table(spark, folder).agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
-    run_id = newest.first()["run_id"]
-    if run_id is None:
-        raise RunNotFoundError(f"no saved run in {folder}")
-    return f"{str(folder).rstrip('/')}/{run_id}"
+def facts_of_all(spark: SparkSession, folder) -> DataFrame:
+    """The facts of every complete run of a store, with the run's name."""
+    place = F.regexp_extract(F.input_file_name(), r"/([^/]+)/facts/[^/]*$", 1)
+    facts = spark.read.schema(FACTS).parquet(f"{_store(folder)}/*/facts").withColumn("run", place)
+    return facts.join(sealed_runs(spark, folder).select("run"), "run", "left_semi")
 
 
-@dataclass(frozen=True)
-class LoadedRun:
-    """A saved run that scores tables with its own frozen cut points."""
+def newest_run(spark: SparkSession, folder) -> str:
+    """Path of the run that was sealed last."""
+    name = sealed_runs(spark, folder).agg(F.max_by("run", F.struct("sealed_ms", "run"))).first()[0]
+    if name is None:
+        raise RunNotFoundError(f"no saved run in {folder}")
+    return f"{_store(folder)}/{name}"
+
 
-    model: PipelineModel
-    metadata: dict
-    base_linear: PipelineModel | None
+class ScoringRun:
+    """A pipeline with frozen cut points that scores tables, read from a store or just fitted."""
 
-    @property
-    def run_id(self):
-        return self.metadata["run_id"]
+    def __init__(self, name, scorer: PipelineModel, cuts: dict, linear: PipelineModel | None = None, facts=()):
+        self.name = name
+        self.scorer = scorer
+        self.linear = linear
+        self.high_from = cuts["high_from"]
+        self.medium_from = cuts["medium_from"]
+        self.facts = list(facts)
 
-    @property
-    def cut_points(self):
-        return self.metadata["tier_cutpoints"]
+    def fact(self, scope, name, item=""):
+        """The number or word of one fact; None if the run does not know it."""
+        for row in self.facts:
+            if tuple(row[:3]) == (scope, item, name):
+                return row[4] if row[3] is None else row[3]
+        return None
 
     def score(self, df: DataFrame, k=S.REASONS) -> DataFrame:
-        cuts = self.cut_points
-        return score_frame(df, self.model, cuts["t_star"], cuts["t_mid"], self.base_linear, k)
+        return score_frame(df, self.scorer, self.high_from, self.medium_from, self.linear, k)
 
 
-def load_run(spark: SparkSession, path=None, folder=None) -> LoadedRun:
-    """Load one run, or the newest in a folder."""
-    path = path or latest_run(spark, folder)
+def open_run(spark: SparkSession, path) -> ScoringRun:
+    """The run at a path."""
     try:
-        record = spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata").first()
+        seal = spark.read.schema(SEAL).parquet(f"{path}/seal").first()
     except AnalysisException as error:
         raise RunNotFoundError(f"no saved run at {path}") from error
-    metadata = record.asDict(recursive=True)
-    base = PipelineModel.load(f"{path}/base_linear") if metadata["has_base_linear"] else None
-    return LoadedRun(PipelineModel.load(f"{path}/model"), metadata, base)
+    # A few dozen rows.
+    facts = [tuple(r) for r in spark.read.schema(FACTS).parquet(f"{path}/facts").collect()]
+    cuts = {name: number for scope, _, name, number, _ in facts if scope == "cuts"}
+    linear = PipelineModel.load(f"{path}/{LINEAR}") if LINEAR in seal["roles"] else None
+    return ScoringRun(seal["run"], PipelineModel.load(f"{path}/{SCORER}"), cuts, linear, facts)
+
+
+def open_newest(spark: SparkSession, folder) -> ScoringRun:
+    return open_run(spark, newest_run(spark, folder))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ebbtide import settings as S
 from ebbtide.operators.contracts import with_violations
 from ebbtide.operators.scoring import scored_records
-from ebbtide.sources.runs import LoadedRun
+from ebbtide.sources.runs import ScoringRun
 
 
 def checked_stream(rows: DataFrame) -> DataFrame:
@@ -17,10 +17,10 @@ def checked_stream(rows: DataFrame) -> DataFrame:
     return with_violations(rows).withColumn("violations", F.concat(no_id, "violations"))
 
 
-def scored_stream(rows: DataFrame, run: LoadedRun, k=S.REASONS) -> DataFrame:
+def scored_stream(rows: DataFrame, run: ScoringRun, k=S.REASONS) -> DataFrame:
     """Valid rows with score, tier, reasons and the id of the run that scored them. Stateless and narrow."""
     valid = checked_stream(rows).filter(F.size("violations") == 0).drop("violations")
-    return scored_records(run.score(valid, k)).withColumn("model_run_id", F.lit(run.run_id))
+    return scored_records(run.score(valid, k)).withColumn("model_run_id", F.lit(run.name))
 
 
 def quarantined_stream(rows: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def write_available(stream: DataFrame, path, checkpoint, file_format="parquet"):
     )
 
 
-def score_arrivals(rows: DataFrame, run: LoadedRun, folder, k=S.REASONS):
+def score_arrivals(rows: DataFrame, run: ScoringRun, folder, k=S.REASONS):
     """Score a stream into ``<folder>/scored`` and put invalid rows into ``<folder>/quarantine``."""
     queries = [
         write_available(scored_stream(rows, run, k), f"{folder}/scored", f"{folder}/_scored_progress"),

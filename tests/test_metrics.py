@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from ebbtide import settings as S
 from ebbtide.operators import ranking as R
 
 
@@ -126,3 +127,15 @@ def test_reliability_edges_are_evenly_stepped(spark):
     scores = [i * 0.1 for i in range(1, 10)]  # 0.30000000000000004 and the like belong to the bin below
     rows = R.reliability(scored(spark, [0] * 9, scores), "p").collect()
     assert {r["bin"]: r["n"] for r in rows} == {b: 1 for b in range(9)}
+
+
+def test_nan_counts_as_missing_in_profiles(spark):
+    from ebbtide.operators import profiling
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 0), (nan, 1), (3.0, 1), (None, 0)], f"monthly_spend double, {S.LABEL} int")
+    assert profiling.missing_counts(df).collect()[0]["missing"] == 2
+    assert profiling.rows_with_missing(df).first()[0] == 2
+    row = {r["column"]: r for r in profiling.describe_numeric(df, ["monthly_spend"]).collect()}["monthly_spend"]
+    assert (row["count"], row["mean"], row["max"]) == (2, 2.0, 3.0)
+    assert profiling.outlier_profile(df, ["monthly_spend"]).first()["max"] == 3.0

@@ -125,38 +125,51 @@ def test_selection_without_listed_models_and_runner_up(spark):
 
 def test_training_job(trained, population):
     result, _ = trained
-    assert result.best_name in S.MODEL_PREFERENCE
-    assert {r["model"] for r in result.cv_results.collect()} == set(S.MODEL_PREFERENCE)
-    ids = [r[S.ID] for r in result.out_of_fold.collect()]
-    held = [r[S.ID] for r in result.holdout.scores.collect()]
+    assert result.winner in S.MODEL_PREFERENCE
+    assert {r["model"] for r in result.folds.collect()} == set(S.MODEL_PREFERENCE)
+    ids = [r[S.ID] for r in result.train_scores.collect()]
+    held = [r[S.ID] for r in result.test_scores.collect()]
     assert len(ids) == len(set(ids)) == 192 and len(held) == 48 and not set(ids) & set(held)
-    assert set(result.holdout.per_model) == set(S.MODEL_PREFERENCE)
-    assert len(result.holdout.sensitivity) == len(S.SCENARIOS)
+    items = {(scope, item) for scope, item, *_ in result.facts}
+    assert {i for s, i in items if s == "candidate on hold-out"} == set(S.MODEL_PREFERENCE)
+    assert {i for s, i in items if s == "scenario"} == set(S.SCENARIOS)
     assert 0 <= result.cuts.t_mid <= result.cuts.t_star <= 1
 
 
 def test_saved_run_scores_the_same(spark, trained, population):
     result, folder = trained
-    loaded = runs.load_run(spark, folder=folder)
-    assert loaded.run_id in result.run_path
-    assert loaded.metadata["threshold"] == result.cuts.t_star
-    assert loaded.metadata["has_base_linear"] == (result.base_linear is not None)
-    assert loaded.metadata["data_fingerprint"]["row_count"] == 240
+    loaded = runs.open_newest(spark, folder)
+    assert loaded.name in result.path
+    assert (loaded.high_from, loaded.medium_from) == (result.cuts.t_star, result.cuts.t_mid)
+    assert (loaded.linear is None) == (result.linear is None)
+    assert loaded.fact("data", "row_count") == 240 and loaded.fact("training", "winner") == result.winner
+    assert loaded.fact("no such", "fact") is None
+    assert sorted(map(str, loaded.facts)) == sorted(map(str, result.facts))
+    kept = runs.facts_of_all(spark, folder).filter("scope = 'cuts' AND name = 'high_from'").collect()
+    assert [(r["run"], r["number"]) for r in kept] == [(loaded.name, result.cuts.t_star)]
     cuts = result.cuts
-    before = score_frame(population, result.calibrated, cuts.t_star, cuts.t_mid, result.base_linear)
+    before = score_frame(population, result.scorer, cuts.t_star, cuts.t_mid, result.linear)
     assert loaded.score(population).exceptAll(before).count() == 0
 
 
 def test_newest_run_wins_and_missing_runs_are_reported(spark, trained, linear, tmp_path):
     with pytest.raises(runs.RunNotFoundError):
-        runs.latest_run(spark, str(tmp_path))
-    first = runs.save_run(spark, linear, {"model_name": "a", "tier_cutpoints": (0.3, 0.6)}, str(tmp_path))
-    second = runs.save_run(spark, linear, {"model_name": "a", "tier_cutpoints": (0.3, 0.6)}, str(tmp_path))
-    assert first != second and runs.latest_run(spark, str(tmp_path)).endswith(second.rsplit("/", 1)[-1])
+        runs.newest_run(spark, str(tmp_path))
+    with pytest.raises(runs.RunNotFoundError):
+        runs.open_run(spark, str(tmp_path / "no-run"))
+    facts = runs.facts_about("cuts", {"medium_from": 0.3, "high_from": 0.6, "unknown": None, "note": "by hand"})
+    first, second = (runs.save_run(spark, {runs.SCORER: linear}, facts, str(tmp_path)) for _ in range(2))
+    assert first != second and runs.newest_run(spark, str(tmp_path)) == second
+    # without its seal a run is not complete
+    (tmp_path / second.rsplit("/", 1)[-1] / "seal").rename(tmp_path / "broken")
+    assert runs.newest_run(spark, str(tmp_path)) == first
+    assert runs.facts_of_all(spark, str(tmp_path)).select("run").distinct().count() == 1
+    opened = runs.open_run(spark, first)
+    assert opened.linear is None and opened.fact("cuts", "note") == "by hand" and opened.high_from == 0.6
 
 
 def test_flat_ensemble_is_the_mean_of_its_members(population, trained):
-    model = trained[0].calibrated
+    model = trained[0].scorer
     members = [s for s in model.stages if isinstance(s, models.SigmoidScore)]
     assert isinstance(model, PipelineModel) and len(members) == SMALL.folds
     out = model.transform(population)
@@ -190,7 +203,7 @@ def test_stream_equals_batch(spark, population, linear, tmp_path):
     ).withColumn(S.ID, F.when(F.col(S.ID) == "id0005", None).otherwise(F.col(S.ID)))
     source = str(tmp_path / "in")
     rows.repartition(3).write.parquet(source)
-    run = runs.LoadedRun(linear, {"run_id": "r1", "tier_cutpoints": {"t_star": 0.6, "t_mid": 0.3}}, linear)
+    run = runs.ScoringRun("r1", linear, {"high_from": 0.6, "medium_from": 0.3}, linear)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     scored, bad = incremental.score_arrivals(stream, run, str(tmp_path / "out"))
     quarantined = {r[S.ID]: r["violations"] for r in spark.read.parquet(bad).collect()}
@@ -222,3 +235,14 @@ def test_fingerprint_ignores_order_but_not_duplicates(population):
     assert one != tables.table_fingerprint(population.limit(239)).first()
     pair = population.limit(1).union(population.limit(1))
     assert tuple(one) != tuple(tables.table_fingerprint(population.union(pair)).first())
+
+
+def test_rows_without_an_id_are_numbered_from_zero(spark, population):
+    from ebbtide.operators.scoring import with_identifier
+
+    bare = population.drop(S.ID).repartition(5, "region", "monthly_spend")
+    numbered = with_identifier(bare)
+    first = {r[S.ID]: tuple(r) for r in numbered.collect()}
+    assert sorted(first) == list(range(240))
+    assert {r[S.ID]: tuple(r) for r in numbered.collect()} == first  # a second reading agrees
+    assert with_identifier(bare.limit(0)).count() == 0
