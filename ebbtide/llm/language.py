@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.tables import discard
-from ebbtide.llm.text import vocabulary
+from ebbtide.llm.text import held, vocabulary
 from ebbtide.session import materialized
 
 UNDETERMINED = "und"
@@ -191,15 +191,9 @@ class LanguageModel:
         return self.languages[best], float(share[best] / share.sum())
 
 
-_LOADED: dict[str, LanguageModel] = {}
-
-
 def _in_worker(model):
     """The worker's own copy of a model, which keeps the words it has scored from task to task."""
-    if model.name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[model.name] = model
-    return _LOADED[model.name]
+    return held(("language", model.name), lambda: model)
 
 
 def held_out(id_column="doc_id"):

@@ -1,6 +1,5 @@
 """What the corpus operators share: words, row identities and public tokenizers."""
 
-import functools
 import re
 
 import numpy as np
@@ -158,10 +157,20 @@ class WordEncoder:
             yield from np.split(ids, ends[:-1])
 
 
-@functools.lru_cache(maxsize=2)
+_HELD: dict = {}
+
+
+def held(key, build):
+    """What a worker process keeps from task to task: one large thing at a time, so that stages do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def word_encoder(path) -> WordEncoder:
-    """One encoder for each worker process and vocabulary."""
+    """One encoder for each worker process, until another stage takes its place."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
