@@ -33,5 +33,5 @@ def test_stages_take_odd_and_empty_tables(spark, odd, nothing):
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
