@@ -443,6 +443,18 @@ def r5_e13_auc_interval(spark, folder):
     return resample.auc_interval(X.scores(spark, folder).persist(), "p_a")
 
 
+@query(
+    "r5_bootstrap_round_sizes",
+    f"WITH {X.SCORES_SQL} SELECT which, CAST(range AS INTEGER) AS round, n AS n_rows "
+    "FROM (SELECT count(*) AS n FROM sc) CROSS JOIN range(200) "
+    "CROSS JOIN (SELECT unnest(['p_a', 'p_b']) AS which)",
+)
+def r5_bootstrap_round_sizes(spark, folder):
+    """Every round of a paired bootstrap draws exactly the rows of the table."""
+    draws = resample.bootstrap_aucs(X.scores(spark, folder).persist(), ["p_a", "p_b"], rounds=200)
+    return draws.select("which", "round", "n_rows")
+
+
 @query("e14_auc_difference_interval")
 def e14_auc_difference_interval(spark, folder):
     return resample.auc_difference_interval(X.scores(spark, folder).persist(), "p_a", "p_b")

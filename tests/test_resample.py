@@ -85,6 +85,52 @@ def test_interval_agrees_with_a_row_bootstrap(spark):
     assert row["auc_lo"] < ranking.roc_auc(df, "p").first()[0] < row["auc_hi"]
 
 
+def test_every_round_draws_exactly_the_rows_of_the_table(spark):
+    labels, p, q = tied_data()
+    df = scored(spark, labels, p, q).unionByName(scored(spark, [1, 0], [float("nan"), 0.2], [0.5, float("nan")]))
+    draws = R.bootstrap_aucs(df, ["p", "q"], rounds=60).toPandas()
+    assert (draws["n_rows"] == 600).all() and len(draws) == 120
+
+
+def drawn_rows(spark, share, redrawn, lacking, counts):
+    """Rows that each cell gives to each round."""
+    cells = spark.createDataFrame(
+        [(float(i), i % 2, n, hash((i, 11)) % 2**62) for i, n in enumerate(counts)], "p double, y int, n long, cell long"
+    )
+    extra = R._single_rows(cells, ["p", "y"], sum(counts), lacking, seed=4)
+    frame = cells.join(extra, ["p", "y"], "left").toPandas().sort_values("p", ignore_index=True)
+    rounds = len(lacking)
+    out = np.zeros((len(counts), rounds))
+    for i in range(len(counts)):  # one cell alone: its positives and negatives are its rows
+        one = frame.iloc[[i]].assign(which=0, piece=0, score=0.0)
+        sums = pd.concat(R._piece_sums(rounds, share, redrawn)(iter([one])))
+        out[i] = sums["pos"] + sums["neg"]
+    return out
+
+
+def test_single_rows_are_drawn_in_proportion(spark):
+    counts = [1, 1, 2, 5, 40, 200, 1]  # one cell holds most rows and lies in many pieces
+    rounds = 400
+    out = drawn_rows(spark, 0.0, (), {r: 250 for r in range(rounds)}, counts)
+    assert (out.sum(axis=0) == 250).all()
+    expected = np.array(counts) / 250 * 250
+    assert np.abs(out.mean(axis=1) - expected).max() < 5 * np.sqrt(max(counts) * 0.25 / rounds)
+    assert out[5].var() == pytest.approx(250 * 0.8 * 0.2, rel=0.3)
+
+
+def test_a_round_that_drew_too_many_takes_single_rows_alone(spark):
+    out = drawn_rows(spark, 0.9, [1], {0: 0, 1: 12, 2: 3}, [3, 4, 5])
+    weights = R._poisson_weights(3, 0.9, R.LARGE)
+    assert out[:, 1].sum() == 12
+    own = weights(np.array([hash((i, 11)) % 2**62 for i in range(3)]), np.array([3, 4, 5])).sum(axis=0)
+    assert out[:, 0].sum() == own[0] and out[:, 2].sum() == own[2] + 3
+
+
+def test_no_usable_rows_give_no_rounds(spark):
+    row = R.auc_interval(scored(spark, [1], [float("nan")]), "p", rounds=5).first()
+    assert (row["auc_lo"], row["n_rounds"]) == (None, 0)
+
+
 def test_permutation_is_a_bijection(population):
     out = R.permuted_pairs(population.select(S.ID, "monthly_spend"), [S.ID, "monthly_spend"], 3).collect()
     for r in range(3):
