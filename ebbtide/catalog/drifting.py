@@ -173,6 +173,18 @@ def d5_d7_feature_drift(spark, folder):
     return rounded(drift.feature_drift(rows.filter(EVEN), rows.filter(ODD)))
 
 
+@query("d5_s8_drift_against_stored_profile", _drift_sql())
+def d5_s8_drift_against_stored_profile(spark, folder):
+    """The reference is stored as the profiles of two days; its rows are not read for the report."""
+    rows = X.dirty(spark, folder, text_id=True).persist()
+    number = F.col(S.ID).cast("long")
+    stored = scratch_path(spark, "drift-baseline")
+    drift_job.save_baseline(rows.filter(number % 4 == 0), stored)
+    drift_job.save_baseline(rows.filter(number % 4 == 2), stored, mode="append")
+    paths = drift_job.write_baseline_report(stored, rows.filter(number % 2 == 1), scratch_path(spark, "drift"))
+    return rounded(spark.read.parquet(paths["feature_drift"]))
+
+
 @query(
     "d5_identical_tables",
     f"WITH {X.DIRTY_SQL} "

@@ -91,13 +91,31 @@ def _number_edges(reference, current, columns) -> list[float]:
     return ordering.value_edges(numbers.filter(F.col("value").isNotNull()), "value")
 
 
-def _ks(cells: DataFrame, edges) -> DataFrame:
+def cells_ks(cells: DataFrame, edges) -> DataFrame:
     """Largest distance of the two cumulative shares per feature; 0 when one side is empty."""
     totals = ordering.running_totals(cells, ["feature"], "value", ["ref", "cur"], edges)
     gap = F.abs(F.try_divide("ref_upto", "ref_total") - F.try_divide("cur_upto", "cur_total"))
     return totals.groupBy("feature").agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 
+def _with_empty_bins(levels: DataFrame, edges) -> DataFrame:
+    """Counts per (feature, bin); bins that no row falls into still count in the smoothed sum."""
+    empty = [
+        (c, str(i), 0, 0) for c, marks in edges.items() if len(marks) >= 3 for i in range(len(marks) - 1)
+    ]
+    if empty:
+        schema = "feature string, level string, ref bigint, cur bigint"
+        levels = levels.unionByName(small_table(levels.sparkSession, empty, schema))
+    return levels.groupBy("feature", "level").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+
+
+def binned(cells: DataFrame, edges: dict[str, list[float]]):
+    """Counts of both sides per (feature, bin) from cells of values; None if no feature has edges."""
+    if not edges:
+        return None
+    return _with_empty_bins(cells.select("feature", _numeric_level(edges).alias("level"), "ref", "cur"), edges)
+
+
 def level_counts(reference: DataFrame, current: DataFrame, numeric=(), categorical=(), bins=S.PSI_BINS,
                  cells=None) -> DataFrame:
     """Counts of both sides per (feature, level): bins for numbers, values for categories.
@@ -114,25 +132,13 @@ def level_counts(reference: DataFrame, current: DataFrame, numeric=(), categoric
         parts.append(rows.groupBy("feature", level).agg(*_side_counts()))
     if numeric:
         edges = decile_edges(reference, numeric, bins)
-        level = _numeric_level(edges).alias("level")
         if cells is None:
+            level = _numeric_level(edges).alias("level")
             numbers = _long(both_sides(reference, current, numeric), numeric, number_or_null)
             levels = numbers.filter(F.col("value").isNotNull()).groupBy("feature", level).agg(*_side_counts())
+            parts.append(_with_empty_bins(levels, edges))
         else:
-            levels = cells.select("feature", level, "ref", "cur")
-        # Bins that no row falls into still count in the smoothed sum.
-        empty = [
-            (c, str(i), 0, 0) for c, marks in edges.items() if len(marks) >= 3 for i in range(len(marks) - 1)
-        ]
-        if empty:
-            levels = levels.unionByName(
-                small_table(
-                    reference.sparkSession, empty, "feature string, level string, ref bigint, cur bigint"
-                )
-            )
-        parts.append(
-            levels.groupBy("feature", "level").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
-        )
+            parts.append(binned(cells, edges))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -153,7 +159,7 @@ def feature_drift(reference: DataFrame, current: DataFrame, numeric=None, catego
     if numeric:
         one_sided = (F.col("ref_rows") == 0) | (F.col("cur_rows") == 0)
         out = out.withColumn("psi", F.when(is_number & one_sided, 0.0).otherwise(F.col("psi")))
-        ks = _ks(cells, _number_edges(reference, current, numeric))
+        ks = cells_ks(cells, _number_edges(reference, current, numeric))
         out = out.join(ks, "feature", "left").withColumn("ks", F.when(is_number, F.coalesce("ks", F.lit(0.0))))
     else:
         out = out.withColumn("ks", F.lit(None).cast("double"))
@@ -190,7 +196,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, columns, edges=None)
     columns = [columns] if isinstance(columns, str) else list(columns)
     if edges is None:
         edges = _number_edges(reference, current, columns)
-    found = _ks(_number_cells(reference, current, columns), edges)
+    found = cells_ks(_number_cells(reference, current, columns), edges)
     frame = small_table(reference.sparkSession, [(c,) for c in columns], "feature string")
     return frame.join(found, "feature", "left").select("feature", F.coalesce("ks", F.lit(0.0)).alias("ks"))
 
