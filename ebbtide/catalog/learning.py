@@ -237,6 +237,27 @@ def st1_stream_quarantine(spark, folder):
     return spark.read.parquet(f"{out}/rows").select(S.ID, F.array_join("violations", "; ").alias("violations"))
 
 
+@query(
+    "v2_st1_repeated_arrivals",
+    f"WITH {X.DIRTY_SQL}, v AS (SELECT CAST(customer_id AS VARCHAR) AS customer_id, {_rule_sql()} AS violations, "
+    "customer_id % 5 = 0 AS again FROM cust) "
+    "SELECT customer_id, violations FROM v WHERE violations <> '' UNION ALL "
+    "SELECT customer_id, CASE WHEN violations = '' THEN 'customer_id is repeated' ELSE violations END FROM v WHERE again",
+)
+def v2_st1_repeated_arrivals(spark, folder):
+    """Every customer arrives; every fifth comes again in a later run of the same stream."""
+    out = scratch_path(spark, "stream")
+    rows = X.dirty(spark, folder, text_id=True).drop(S.LABEL).persist()
+    for batch in (rows, rows.filter(F.col(S.ID).cast("long") % 5 == 0)):
+        batch.write.mode("append").parquet(f"{out}/arrivals")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/arrivals")
+        checked = incremental.unique_stream(stream)
+        incremental.write_available(checked, f"{out}/rows", f"{out}/progress").awaitTermination()
+    rows.unpersist()
+    repeated = spark.read.parquet(f"{out}/rows").filter(F.size("violations") > 0)
+    return repeated.select(S.ID, F.array_join("violations", "; ").alias("violations"))
+
+
 def flagship(spark, folder):
     """Train and calibrate the linear model, fit cut points on out-of-fold scores, score every customer."""
     customers = _customers(spark, folder)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ebbtide import settings as S
 from ebbtide.operators.contracts import with_violations
@@ -17,6 +19,86 @@ def checked_stream(rows: DataFrame) -> DataFrame:
     return with_violations(rows).withColumn("violations", F.concat(no_id, "violations"))
 
 
+#: Parts that rows without an id are dealt to; they share no state.
+SALTS = 1024
+
+REPEATED = f"{S.ID} is repeated"
+
+
+def _first_of_id(remember_ms):
+    """A function over the arriving rows of one id that lets one valid row pass and marks all later valid ones.
+
+    Whether the id has passed before is its state. In one batch the row with the smallest hash passes; only that one
+    row is held while the others stream through.
+    """
+
+    working = ["_valid", "_order", "_now", "_now_ms"]
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        passed, held, now = state.exists, None, 0
+        for rows in batches:
+            rows = rows.assign(_repeated=rows["_valid"].astype(bool))
+            now = max(now, int(rows["_now_ms"].max()))
+            claims = rows.loc[rows["_repeated"], "_order"]
+            if not passed and len(claims):
+                place = claims.index.get_loc(claims.idxmin())
+                index = claims.index[place]
+                if held is None or claims.loc[index] < held["_order"].iloc[0]:
+                    best = rows.loc[[index]].assign(_repeated=False)
+                    rows = rows.drop(index)
+                    if held is not None:
+                        yield held.assign(_repeated=True).drop(columns=working)
+                    held = best
+            if len(rows):
+                yield rows.drop(columns=working)
+        if held is not None:
+            state.update((now,))
+            yield held.drop(columns=working)
+        if state.exists:
+            state.setTimeoutTimestamp(max(now, state.getCurrentWatermarkMs()) + remember_ms)
+
+    return run
+
+
+def unique_stream(rows: DataFrame, remember_days=30) -> DataFrame:
+    """A stream's rows with their violations, where an id that has passed before is one, too.
+
+    Ids are kept as keyed state across batches and restarts, until none of their rows came for ``remember_days`` by
+    the batch clock; that clock never runs behind, so no row counts as late and none is dropped. A row that breaks
+    a rule does not claim its id: the corrected row may follow. Rows travel as text and get their types back.
+    """
+    names = rows.columns
+    plain = [f.name for f in rows.schema if isinstance(f.dataType, T.AtomicType) and f.dataType != T.BinaryType()]
+    as_text = [F.col(f"`{c}`").cast("string").alias(c) if c in plain else F.col(f"`{c}`") for c in names]
+    checked = checked_stream(rows)
+    order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in plain])
+    keyed = checked.withColumns(
+        {
+            "_valid": F.size("violations") == 0,
+            "_order": order,
+            "_salt": F.when(F.col(S.ID).isNull(), F.pmod(order, F.lit(SALTS))).otherwise(F.lit(0)),
+            "_now": F.current_timestamp(),
+        }
+    )
+    keyed = keyed.withWatermark("_now", "0 seconds").select(
+        *as_text, "_valid", "_order", "_salt", "_now", F.unix_millis("_now").alias("_now_ms")
+    )
+    fields = [T.StructField(c, T.StringType() if c in plain else rows.schema[c].dataType) for c in names]
+    marked = keyed.groupBy(S.ID, "_salt").applyInPandasWithState(
+        _first_of_id(int(remember_days * 86_400_000)),
+        T.StructType([*fields, T.StructField("_salt", T.LongType()), T.StructField("_repeated", T.BooleanType())]),
+        "since long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    typed = marked.select(*[F.col(f"`{c}`").cast(rows.schema[c].dataType).alias(c) for c in names], "_repeated")
+    repeated = F.when(F.col("_repeated"), F.array(F.lit(REPEATED))).otherwise(F.array().cast("array<string>"))
+    return checked_stream(typed).withColumn("violations", F.concat("violations", repeated)).drop("_repeated")
+
+
 def scored_stream(rows: DataFrame, run: ScoringRun, k=S.REASONS) -> DataFrame:
     """Valid rows with score, tier, reasons and the id of the run that scored them. Stateless and narrow."""
     valid = checked_stream(rows).filter(F.size("violations") == 0).drop("violations")
@@ -39,11 +121,23 @@ def write_available(stream: DataFrame, path, checkpoint, file_format="parquet"):
     )
 
 
-def score_arrivals(rows: DataFrame, run: ScoringRun, folder, k=S.REASONS):
-    """Score a stream into ``<folder>/scored`` and put invalid rows into ``<folder>/quarantine``."""
+def score_arrivals(rows: DataFrame, run: ScoringRun, folder, k=S.REASONS, remember_days=None):
+    """Score a stream into ``<folder>/scored`` and put invalid rows into ``<folder>/quarantine``.
+
+    With ``remember_days`` the rows are first written to ``<folder>/checked``, with repeated ids among the violations;
+    both outputs then follow that one decision.
+    """
+    if remember_days is None:
+        valid, invalid = scored_stream(rows, run, k), quarantined_stream(rows)
+    else:
+        checked = unique_stream(rows, remember_days)
+        write_available(checked, f"{folder}/checked", f"{folder}/_checked_progress").awaitTermination()
+        decided = rows.sparkSession.readStream.schema(checked.schema).parquet(f"{folder}/checked")
+        kept = decided.filter(F.size("violations") == 0).drop("violations")
+        valid, invalid = scored_stream(kept, run, k), decided.filter(F.size("violations") > 0)
     queries = [
-        write_available(scored_stream(rows, run, k), f"{folder}/scored", f"{folder}/_scored_progress"),
-        write_available(quarantined_stream(rows), f"{folder}/quarantine", f"{folder}/_quarantine_progress"),
+        write_available(valid, f"{folder}/scored", f"{folder}/_scored_progress"),
+        write_available(invalid, f"{folder}/quarantine", f"{folder}/_quarantine_progress"),
     ]
     for query in queries:
         query.awaitTermination()
