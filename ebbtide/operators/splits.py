@@ -2,8 +2,14 @@
 
 Exact class shares need the order values at a few ranks per class, not the rank of every row. Those values
 are found in two scans; the split itself is then a narrow expression, without a window or a shuffle.
+
+Rows of equal order values around a cut are told apart by further hashes of their ids, so shares stay exact when
+hashes collide or a given order has ties. A cut is then a tuple: the order value and the hashes at the rank.
 """
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +54,81 @@ def stable_order() -> Column:
     return F.xxhash64(F.col(S.ID).cast("string"))
 
 
+#: Hashes of the id that are tried one after the other on rows of equal order values.
+TIE_LEVELS = 3
+
+
+def _tie(level) -> Column:
+    return F.xxhash64(F.lit(f"tie {level}"), F.col(S.ID).cast("string"))
+
+
+def _at_or_above(order: Column, cut, level=0) -> Column:
+    """Whether a row lies at or above a cut, in the order of (value, first tie hash, second ...)."""
+    if not isinstance(cut, tuple):
+        return order >= F.lit(cut)
+    rest = cut[1:] if len(cut) > 2 else cut[1]
+    return (order > F.lit(cut[0])) | ((order == F.lit(cut[0])) & _at_or_above(_tie(level + 1), rest, level + 1))
+
+
 def _place(order: Column, cuts: list) -> Column:
-    """How many cut values are at or below the order value."""
+    """How many cuts are at or below the row."""
     place = F.lit(0)
     for cut in cuts:
         if cut is not None:
-            place = place + F.when(order >= F.lit(cut), 1).otherwise(0)
+            place = place + F.when(_at_or_above(order, cut), 1).otherwise(0)
     return place
 
 
+def _of_key(by, key) -> Column:
+    return reduce(and_, [F.col(b).eqNullSafe(F.lit(k)) for b, k in zip(by, key)])
+
+
+def _with_ties_cut(df, order, by, cuts, wanted, level=1):
+    """Cuts that leave exactly the wanted number of rows below them, also among rows of equal order values.
+
+    One grouped count tells which cuts fall inside such rows; without any, nothing else runs. Rows that share an id
+    as well cannot be told apart and stay together.
+    """
+    if S.ID not in df.columns or level > TIE_LEVELS or not any(v is not None for vs in cuts.values() for v in vs):
+        return cuts
+    place = None
+    for key, values in cuts.items():
+        test, value = _of_key(by, key), _place(order, values)
+        place = F.when(test, value) if place is None else place.when(test, value)
+    below = {}
+    for row in df.filter(order.isNotNull()).groupBy(*by, place.alias("_at")).count().collect():
+        below.setdefault(tuple(row[b] for b in by), {})[row["_at"]] = row["count"]
+    inside = {}  # (key, cut value) to the rows of this value that belong below, for each cut of this value
+    for key, values in cuts.items():
+        for value, rank in zip(values, wanted[key]):
+            if value is not None:
+                smaller = sum(n for at, n in below[key].items() if at <= values.index(value))
+                if rank > smaller:
+                    inside.setdefault((*key, value), set()).add(rank - smaller)
+    if not inside:
+        return cuts
+    keys = [*by, f"_cut{level}"]
+    tied = df.withColumn(keys[-1], order).filter(reduce(or_, [_of_key(keys, k) for k in inside]))
+    sizes = {tuple(r[k] for k in keys): r["count"] for r in tied.groupBy(*keys).count().collect()}
+    ranks = {key: sorted(found) for key, found in inside.items()}
+    finer = _with_ties_cut(tied, _tie(level), keys, rank_cuts(tied, _tie(level), keys, ranks, sizes), ranks, level + 1)
+    settled = {}
+    for key, values in cuts.items():
+        settled[key] = []
+        for value, rank in zip(values, wanted[key]):
+            found = finer.get((*key, value))
+            if value is None or found is None:
+                settled[key].append(value)
+                continue
+            smaller = sum(n for at, n in below[key].items() if at <= values.index(value))
+            if rank == smaller:
+                settled[key].append(value)
+            else:
+                cut = found[ranks[(*key, value)].index(rank - smaller)]
+                settled[key].append((value, *cut) if isinstance(cut, tuple) else (value, cut))
+    return settled
+
+
 def _by_class(df, order, label, starts_of, group=None):
     """Rank cuts per (group, class); the sizes of all classes are needed before the ranks.
 
@@ -75,7 +147,8 @@ def _by_class(df, order, label, starts_of, group=None):
         sizes[key] = row["count"]
         classes.setdefault(key[:-1], {})[key[-1]] = row["count"]
     wanted = {g: starts_of(c) for g, c in classes.items()}
-    return rank_cuts(df, order, by, {key: wanted[key[:-1]][key[-1]] for key in sizes}, sizes)
+    ranks = {key: wanted[key[:-1]][key[-1]] for key in sizes}
+    return _with_ties_cut(df, order, by, rank_cuts(df, order, by, ranks, sizes), ranks)
 
 
 def with_holdout(df: DataFrame, share=S.HOLDOUT_SHARE, seed=S.SEED, order=None, label=S.LABEL,
@@ -88,11 +161,16 @@ def with_holdout(df: DataFrame, share=S.HOLDOUT_SHARE, seed=S.SEED, order=None,
     mark = None
     for (c,), values in cuts.items():
         test = F.col(label) == c
-        inside = (order < F.lit(values[0])) if values[0] is not None else F.lit(True)
+        inside = ~_at_or_above(order, values[0]) if values[0] is not None else F.lit(True)
         mark = F.when(test, inside) if mark is None else mark.when(test, inside)
     return df.withColumn(name, mark)
 
 
+def _id_and(df, label):
+    """The label, and the id where there is one: it is read only where order values are equal at a cut."""
+    return [F.col(c) for c in dict.fromkeys([S.ID, label]) if c in df.columns]
+
+
 def _order(order, seed):
     if order is None:
         return shuffled_order(S.ID, seed)
@@ -115,7 +193,7 @@ def with_fold_schemes(df: DataFrame, schemes: dict, folds=S.FOLDS, label=S.LABEL
     """One stratified fold column per scheme (column name -> order expression); all share the same scans."""
     names = list(schemes)
     orders = [schemes[n] for n in names]
-    long = df.select(F.col(label), F.posexplode(F.array(*orders)).alias("_scheme", "_order"))
+    long = df.select(*_id_and(df, label), F.posexplode(F.array(*orders)).alias("_scheme", "_order"))
     cuts = _by_class(long, F.col("_order"), label, lambda sizes: fold_starts(sizes, folds), "_scheme")
     return df.withColumns({n: fold_expression(cuts, orders[i], label, i) for i, n in enumerate(names)})
 
@@ -144,7 +222,7 @@ def with_inner_folds(df: DataFrame, outer, outer_folds, folds=S.FOLDS, order=Non
     """
     order = stable_order() if order is None else _order(order, 0)
     others = F.array_remove(F.sequence(F.lit(0), F.lit(outer_folds - 1)), F.col(outer))
-    long = df.select(F.col(label), order.alias("_order"), F.explode(others).alias("_left_out"))
+    long = df.select(*_id_and(df, label), order.alias("_order"), F.explode(others).alias("_left_out"))
     cuts = _by_class(long, F.col("_order"), label, lambda sizes: fold_starts(sizes, folds), "_left_out")
     return df.withColumns(
         {

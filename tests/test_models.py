@@ -218,6 +218,20 @@ def test_stream_equals_batch(spark, population, linear, tmp_path):
     assert spark.read.parquet(scored).count() == batch.count()
 
 
+def test_stream_scores_each_id_once(spark, population, linear, tmp_path):
+    rows = population.drop(S.LABEL)
+    run = runs.ScoringRun("r1", linear, {"high_from": 0.6, "medium_from": 0.3}, linear)
+    for part in (rows, rows.limit(90)):  # the second part arrives after a restart
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        scored, bad = incremental.score_arrivals(stream, run, str(tmp_path / "out"), remember_days=7)
+    valid = incremental.checked_stream(rows).filter(F.size("violations") == 0).drop("violations")
+    batch = scored_records(run.score(valid)).withColumn("model_run_id", F.lit("r1"))
+    got = spark.read.parquet(scored)
+    assert got.exceptAll(batch).count() == 0 and got.count() == batch.count()
+    assert spark.read.parquet(bad).count() == rows.count() - batch.count() + 90
+
+
 def test_customer_files(spark, population, tmp_path):
     path = str(tmp_path / "customers.csv")
     population.select(*reversed(population.columns)).write.option("header", True).csv(path)

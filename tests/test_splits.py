@@ -66,6 +66,51 @@ def test_ordered_folds_are_consecutive(spark):
         assert folds == sorted(folds) and set(folds) == set(range(5))
 
 
+def ordered(population, kind):
+    number = F.substring(S.ID, 3, 4).cast("int")
+    return {"constant": F.lit(7), "few": F.floor(number / 50), "hot": F.when(number % 3 == 0, 1).otherwise(number)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["constant", "few", "hot"])
+def test_shares_are_exact_when_order_values_collide(population, kind):
+    classes = Counter(r[S.LABEL] for r in population.collect())
+    order = ordered(population, kind)
+    marked = P.with_holdout(population, order=order)
+    sizes = Counter((r[S.LABEL], r["is_holdout"]) for r in marked.collect())
+    assert {c: sizes[(c, True)] for c in classes} == P.holdout_quotas(dict(classes))
+    starts = P.fold_starts(dict(classes), 5)
+    folded = P.with_folds(population.withColumn("o", order), order="o").collect()
+    counts = Counter((r[S.LABEL], r["fold"]) for r in folded)
+    for c, n in classes.items():
+        assert [counts[(c, f)] for f in range(5)] == [b - a for a, b in zip([0, *starts[c]], [*starts[c], n])]
+    per_value = {}
+    for r in folded:  # folds still follow the order
+        low, high = per_value.get((r[S.LABEL], r["fold"]), (r["o"], r["o"]))
+        per_value[(r[S.LABEL], r["fold"])] = min(low, r["o"]), max(high, r["o"])
+    assert all(per_value[(c, f)][1] <= per_value[(c, f + 1)][0] for c in classes for f in range(4))
+
+
+def test_colliding_tie_hashes_are_told_apart_by_the_next(population, monkeypatch):
+    number = F.substring(S.ID, 3, 4).cast("int")
+    monkeypatch.setattr(P, "_tie", lambda level: F.lit(5) if level == 1 else F.floor(number / F.lit(10 if level == 2 else 1)))
+    folded = P.with_inner_folds(
+        P.with_folds(population, folds=3, order=F.lit(0), name="outer"), "outer", 3, folds=4, order=F.lit(1)
+    ).collect()
+    for c in (0, 1):
+        outer = Counter(r["outer"] for r in folded if r[S.LABEL] == c)
+        assert max(outer.values()) - min(outer.values()) <= 1
+        for o in range(3):
+            inner = Counter(r[f"inner_{o}"] for r in folded if r[S.LABEL] == c and r["outer"] != o)
+            assert set(inner) == set(range(4)) and max(inner.values()) - min(inner.values()) <= 1
+
+
+def test_rows_that_share_an_id_stay_together(population):
+    doubled = population.limit(40).withColumn(S.ID, F.lit("same"))
+    folded = P.with_folds(doubled, folds=4)
+    assert folded.groupBy(S.LABEL).agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+    assert folded.filter("fold IS NULL").count() == 0
+
+
 def test_smoke_sample_is_fixed(population):
     first = P.smoke_sample(population, 50)
     assert first.count() == 50 and first.exceptAll(P.smoke_sample(population.repartition(5), 50)).count() == 0
