@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.tables import with_size_checked
@@ -20,8 +20,12 @@ WINDOW = 8
 #: and at least so far from them.
 QUARTILE_RANGES = 3.0
 LEAST_MARGIN = {"chars_per_token": 0.12, "byte_share": 0.05, "token_entropy": 0.3}
-#: Groups with fewer texts have no band of their own; the band of their language over all sizes holds.
+#: Groups with fewer texts have no band of their own; that of the next wider group holds.
 LEAST_GROUP = 50
+#: Decimals that quartiles are found in: a group then has at most some ten thousand values of a measure.
+DECIMALS = {"chars_per_token": 3, "byte_share": 4, "token_entropy": 3}
+#: From the narrowest group to all texts.
+GROUPS = [["kind", "size_class"], ["kind"], ["script"], []]
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -170,18 +174,33 @@ def measured(docs: DataFrame, path=None) -> DataFrame:
     return docs.withColumn("m", measure(text_bytes()))
 
 
-def _bands(rows, groups, quartile_ranges):
-    """Lower and upper end of every measure's band, from quartiles over all texts of a group."""
-    quartiles = rows.groupBy(*groups).agg(
-        F.count("*").alias("n_texts"),
-        *[F.percentile_approx(c, [0.25, 0.75], 1000).alias(c) for c in LEAST_MARGIN],
+def _cells(rows):
+    """Texts per value of each measure in the narrowest groups; counts of wider groups are sums of these."""
+    entries = [
+        F.struct(F.lit(c).alias("measure"), F.round(c, d).alias("value")) for c, d in DECIMALS.items()
+    ]
+    keys = ["kind", "script", "size_class", "measure", "value"]
+    return rows.select("kind", "script", "size_class", F.inline(F.array(*entries))).groupBy(*keys).agg(
+        F.count("*").alias("n")
+    )
+
+
+def _bands(cells, groups, quartile_ranges):
+    """Lower and upper end of every measure's band, from exact quartiles of the rounded values of a group."""
+    of_group = Window.partitionBy(*groups, "measure")
+    counted = cells.groupBy(*groups, "measure", "value").agg(F.sum("n").alias("n"))
+    ranked = counted.withColumns(
+        {"upto": F.sum("n").over(of_group.orderBy("value")), "n_texts": F.sum("n").over(of_group)}
     )
     ends = []
     for c, least in LEAST_MARGIN.items():
-        lo, hi = F.element_at(c, 1), F.element_at(c, 2)
+        lo, hi = [
+            F.min(F.when((F.col("measure") == c) & (F.col("upto") >= F.ceil(q * F.col("n_texts"))), F.col("value")))
+            for q in (0.25, 0.75)
+        ]
         margin = F.greatest((hi - lo) * quartile_ranges, F.lit(least))
         ends += [(lo - margin).alias(f"{c}_from"), (hi + margin).alias(f"{c}_to")]
-    return quartiles.select(*groups, "n_texts", *ends)
+    return ranked.groupBy(*groups).agg(F.max("n_texts").alias("n_texts"), *ends)
 
 
 def quality_verdicts(docs: DataFrame, path=None, quartile_ranges=QUARTILE_RANGES) -> DataFrame:
@@ -190,8 +209,8 @@ def quality_verdicts(docs: DataFrame, path=None, quartile_ranges=QUARTILE_RANGES
     Words are cut by the vocabulary one by one: chars_per_token over the words' characters, byte_share (tokens that
     are single bytes), token_entropy in bits. Texts are grouped by lang (null: by script) and by the power of two of
     their number of words, because entropy grows with length; a text outside a band of its group is not kept. Bands
-    are quartiles of all texts in the group, merged from sketches. Groups of fewer than ``LEAST_GROUP`` texts take
-    the band of their language over all sizes, or none if that is as small. Texts with too few words or too many
+    come from exact quartiles of all texts in the group, in steps of ``DECIMALS``. Groups of fewer than ``LEAST_GROUP``
+    texts take the band of their language over all sizes, else of their script, else of all texts. Texts with too few words or too many
     words in repeated windows fail the base rules. A null text has no words. Repeated rows get equal results; other
     columns are not read; an empty table gives no rows.
     """
@@ -214,17 +233,18 @@ def quality_verdicts(docs: DataFrame, path=None, quartile_ranges=QUARTILE_RANGES
         )
     )
     rows = materialized(rows, "fertility")
-    with_tokens = rows.where("n_tokens > 0")
-    of_size = with_size_checked(_bands(with_tokens, ["kind", "size_class"], quartile_ranges).where(
-        F.col("n_texts") >= LEAST_GROUP
-    ))
-    of_kind = with_size_checked(_bands(with_tokens, ["kind"], quartile_ranges).where(F.col("n_texts") >= LEAST_GROUP))
+    cells = materialized(_cells(rows.where("n_tokens > 0")), "fertility-cells")
     ends = [f"{c}_{end}" for c in LEAST_MARGIN for end in ("from", "to")]
-    banded = (
-        rows.join(of_size.drop("n_texts"), ["kind", "size_class"], "left")
-        .join(of_kind.drop("n_texts").withColumnsRenamed({e: f"all_{e}" for e in ends}), "kind", "left")
-        .withColumns({e: F.coalesce(e, f"all_{e}") for e in ends})
-    )
+    banded = rows.withColumn("everything", F.lit(0))
+    for i, groups in enumerate(GROUPS):
+        bands = _bands(cells, groups, quartile_ranges)
+        if groups:
+            bands = bands.where(F.col("n_texts") >= LEAST_GROUP)
+        else:  # one row, also of a table without tokens
+            groups, bands = ["everything"], bands.withColumn("everything", F.lit(0))
+        named = bands.drop("n_texts").withColumnsRenamed({e: f"{e}_{i}" for e in ends})
+        banded = banded.join(with_size_checked(named), groups, "left")
+    banded = banded.withColumns({e: F.coalesce(*[f"{e}_{i}" for i in range(len(GROUPS))]) for e in ends})
     inside = F.lit(True)
     for c in LEAST_MARGIN:
         inside = inside & F.coalesce(F.col(c).between(F.col(f"{c}_from"), F.col(f"{c}_to")), F.lit(True))

@@ -80,6 +80,54 @@ def test_junk_goes_and_prose_stays(spark):
     assert not any(r["base_failed"] for r in found if r["doc_id"] < 80)
 
 
+def _box(i):
+    return " ".join(chr(0x2500 + (i * 7 + k) % 120) * (1 + k % 3) for k in range(24))
+
+
+def _prose(i):
+    return f"The keeper of lighthouse {i} wrote that the sea was calm and the ships all came safely home before dark again."
+
+
+def test_small_groups_take_the_band_of_their_script_or_of_all_texts(spark):
+    prose = [(i, _prose(i), "en") for i in range(200)]
+    rare = [(1000 + i, _prose(500 + i), "xx") for i in range(5)]  # few texts, but of a script with a band
+    junk = [(2000 + i, _box(i), "yy") for i in range(39)]
+    found = fertility.quality_verdicts(
+        spark.createDataFrame(prose + rare + junk, "doc_id long, text string, lang string")
+    ).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == {i for i, *_ in junk}
+
+
+def test_bands_do_not_depend_on_the_partitioning(documents, rows):
+    """Ends equal quartiles of the rounded values of the narrowest group with enough texts."""
+    few, many = [
+        {(r["doc_id"], *[r[f"{c}_{e}"] for c in fertility.LEAST_MARGIN for e in ("from", "to")], r["kept"])
+         for r in fertility.quality_verdicts(documents.repartition(n)).collect()}
+        for n in (1, 13)
+    ]
+    assert few == many
+    found = [r for r in fertility.quality_verdicts(documents).collect() if r["chars_per_token"] is not None]
+    size = lambda r: int(math.log2(max(r["n_words"], 1)))
+    sizes, kinds = Counter((r["kind"], size(r)) for r in found), Counter(r["kind"] for r in found)
+    checked = 0
+    for r in found[::7]:
+        if sizes[(r["kind"], size(r))] >= fertility.LEAST_GROUP:
+            group = [x for x in found if (x["kind"], size(x)) == (r["kind"], size(r))]
+        elif kinds[r["kind"]] >= fertility.LEAST_GROUP:
+            group = [x for x in found if x["kind"] == r["kind"]]
+        else:
+            continue
+        checked += 1
+        for c, least in fertility.LEAST_MARGIN.items():
+            values = sorted(round(x[c], fertility.DECIMALS[c]) for x in group)
+            lo, hi = [values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.75)]
+            margin = max(3.0 * (hi - lo), least)
+            assert r[f"{c}_from"] == pytest.approx(lo - margin, abs=1e-3)
+            assert r[f"{c}_to"] == pytest.approx(hi + margin, abs=1e-3)
+    assert checked
+
+
 def test_odd_rows(odd, nothing):
     found = fertility.quality_verdicts(odd).collect()
     assert sorted(tuple(str(r[c]) for c in ["doc_id", *COLUMNS]) for r in found) == sorted(
