@@ -39,6 +39,23 @@ def r1_stratified_holdout_shuffled(spark, folder):
     return splits.with_holdout(customers)
 
 
+_HOLDOUT_SIZES_SQL = f"SELECT churned, is_holdout, count(*) AS customers FROM ({_HOLDOUT_SQL}) GROUP BY 1, 2"
+
+
+@query("r1_shuffled_holdout_sizes", _HOLDOUT_SIZES_SQL)
+def r1_shuffled_holdout_sizes(spark, folder):
+    marked = splits.with_holdout(X.clean(spark, folder).select(S.ID, S.LABEL))
+    return marked.groupBy(S.LABEL, "is_holdout").agg(F.count("*").alias("customers"))
+
+
+@query("r1_tied_order_holdout_sizes", _HOLDOUT_SIZES_SQL)
+def r1_tied_order_holdout_sizes(spark, folder):
+    """A hold-out along a column with many equal values has the same exact shares."""
+    order = F.coalesce("days_since_last_login", F.lit(-1))
+    marked = splits.with_holdout(X.clean(spark, folder), order=order)
+    return marked.groupBy(S.LABEL, "is_holdout").agg(F.count("*").alias("customers"))
+
+
 def _fold_sizes_sql(folds, repeats):
     """Expected class counts per fold: classes are dealt to the folds one after the other."""
     return f"""WITH {X.CLEAN_SQL},
@@ -93,6 +110,21 @@ def r6_permuted_column(spark, folder):
     return permuted.groupBy("days_since_last_login").agg(F.count("*").alias("customers"))
 
 
+@query(
+    "r6_permutation_pairing",
+    f"WITH {X.CLEAN_SQL}, n AS (SELECT count(*) AS n FROM cust) "
+    "SELECT CAST(range AS INTEGER) AS repeat, n AS pairs, n AS receivers, n AS donors FROM n CROSS JOIN range(3)",
+)
+def r6_permutation_pairing(spark, folder):
+    """In every repeat each row receives once and gives once."""
+    pairs = resample.permuted_pairs(X.clean(spark, folder).select(S.ID), [S.ID], 3)
+    return pairs.groupBy("repeat").agg(
+        F.count("*").alias("pairs"),
+        F.countDistinct(S.ID).alias("receivers"),
+        F.countDistinct(f"donor_{S.ID}").alias("donors"),
+    )
+
+
 # --- metrics ----------------------------------------------------------------------------------------------
 
 
