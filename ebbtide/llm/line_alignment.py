@@ -12,8 +12,10 @@ from ebbtide.session import materialized
 #: A line leads to another document only if it has this many characters; shorter ones meet by chance.
 SEED_CHARS = 24
 #: A line in at most so many documents is rare: it leads to every earlier holder at once. Others lead to the first
-#: holder, and where they stay after that, to the other earlier holders in rounds.
+#: holder, and where they stay after that, to the other earlier holders they can anchor with, in rounds.
 RARE_DOCUMENTS = 4
+#: Turn of the document that stands for its id (below any other's, which is its hash).
+FIRST_TURN = -(2**63)
 #: An aligned block goes only if its lines have this many characters together.
 BLOCK_CHARS = 24
 
@@ -102,38 +104,57 @@ def with_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_turns(lined: DataFrame) -> DataFrame:
+    """``lined`` with ``turn``, which orders documents that share an id: by hash, the smallest stands first of all."""
+    ids = lined.groupBy("id").agg(F.min("h").alias("smallest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    turn = F.when(F.coalesce(F.col("smallest"), F.col("h")) == F.col("h"), F.lit(FIRST_TURN)).otherwise(F.col("h"))
+    return lined.join(materialized(ids, "line-ids"), "id", "left").withColumn("turn", turn).drop("smallest")
+
+
 def line_holders(lined: DataFrame, seed_chars=SEED_CHARS) -> DataFrame:
-    """``id, h, line, first, n``: seed lines that several documents hold, their holders and the smallest of them."""
-    seeds = lined.select(
-        "id",
-        "h",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= seed_chars), lambda x: x["lines"]
-                )
-            )
-        ).alias("line"),
+    """``id, h, turn, line, once, first, n``: seed lines that several documents hold, and who holds them.
+
+    ``once`` says that the document has the line at one place only, ``first`` is the smallest id that holds it.
+    """
+    long_ones = F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= seed_chars)
+    ordered = lined.select("id", "h", "turn", F.array_sort(F.transform(long_ones, lambda x: x["lines"])).alias("ordered"))
+    marked = F.transform(
+        "ordered",
+        lambda line, i: F.struct(
+            line.alias("line"),
+            (~line.eqNullSafe(F.get("ordered", i + 1))).alias("once"),
+            (~line.eqNullSafe(F.get("ordered", i - 1))).alias("new"),
+        ),
     )
+    # The first of equal lines stands for all; it is the only one if it is not followed by another.
+    seeds = ordered.select("id", "h", "turn", F.explode(F.filter(marked, lambda x: x["new"])).alias("seed"))
+    seeds = seeds.select("id", "h", "turn", "seed.line", "seed.once")
     holders = seeds.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a very common line can be split.
     holders = materialized(holders, "line-counts")
     return materialized(seeds.join(holders, "line"), "line-holders")
 
 
+def _document():
+    """What orders documents."""
+    return F.struct("id", "turn")
+
+
+def _first_holder():
+    return F.struct(F.col("first").alias("id"), F.lit(FIRST_TURN).alias("turn"))
+
+
 def overlapping(held: DataFrame, rare=RARE_DOCUMENTS) -> DataFrame:
     """``id, h, earlier``: documents and the earlier ones they are aligned with first.
 
     A rare shared line leads to all earlier holders, fewer than ``rare`` of them. A line that more documents share
-    leads each to the first holder: one row for each line and document, however common the line is, and no shared
-    line without an alignment.
+    leads each to the first holder's id (of documents that share it, to the one that stands for it): one row for each
+    line and document, however common the line is.
     """
-    to_first = held.where("first < id").select("id", "h", F.col("first").alias("earlier"))
+    to_first = held.where(_first_holder() < _document()).select("id", "h", _first_holder().alias("earlier"))
     few = held.where(F.col("n") <= rare)
-    to_all = few.select("id", "h", "line").join(
-        few.select("line", F.col("id").alias("earlier")).where("earlier is not null"), "line"
-    )
-    to_all = to_all.where("earlier < id").select("id", "h", "earlier")
+    to_all = few.select("id", "h", "turn", "line").join(few.select("line", _document().alias("earlier")), "line")
+    to_all = to_all.where(F.col("earlier") < _document()).select("id", "h", "earlier")
     return to_first.union(to_all).distinct()
 
 
@@ -147,20 +168,19 @@ def _still_there(common, lined, gone):
 
 
 def deleted_lines(
-    docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS, all_holders=False
+    docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS
 ) -> DataFrame:
     """``id, h, gone``: for documents that lose lines, the places of these lines.
 
-    id is the doc_id (null: the largest number, so last), h a hash of doc_id and text. With ``all_holders`` a seed line
-    stays in a document only if the alignments with all earlier holders leave it: common lines that the first holder
-    leaves are tried against the others in rounds of about 1, 2, 4 ... holders, until the line is gone or all were
-    tried. No holder is left out, so a line that no alignment removes costs as many rows as it has earlier holders.
+    id is the doc_id (null: the largest number, so last), h a hash of doc_id and text. A seed line that a document has
+    once stays only if the alignments with all earlier holders that have it once leave it, too: common lines that the
+    first holder leaves are tried against those others in rounds of about 1, 2, 4 ... holders, until the line is gone
+    or all were tried. A line found twice on a side cannot anchor an alignment, so it leads to its first holder (to all
+    where it is rare) and to no round: a heading that all documents have twice makes one pair a document, not all pairs.
     """
-    lined = materialized(with_lines(docs), "lines")
+    lined = with_turns(materialized(with_lines(docs), "lines"))
     held = line_holders(lined, seed_chars)
-    # Of rows that share a doc_id, the one with the smallest hash stands for it as the earlier document.
-    stands = lined.groupBy("id").agg(F.min("h").alias("h"))
-    earlier = lined.join(stands, ["id", "h"]).select(F.col("id").alias("earlier"), F.col("lines").alias("earlier_lines"))
+    earlier = lined.select(_document().alias("earlier"), F.col("lines").alias("earlier_lines"))
 
     @F.pandas_udf("array<int>")
     def gone(before: pd.Series, after: pd.Series, sizes: pd.Series) -> pd.Series:
@@ -186,37 +206,33 @@ def deleted_lines(
         )
 
     found = materialized(places(overlapping(held, rare)), "line-places")
-    if not all_holders:
-        return merged(found)
     # About 2 ** level of a line's holders have that level.
-    draw = F.pmod(F.xxhash64("line", "id"), F.lit(2**30)) / F.lit(2.0**30)
+    draw = F.pmod(F.xxhash64("line", "id", "turn"), F.lit(2**30)) / F.lit(2.0**30)
     level = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") * draw))).cast("int")
-    common = held.where(F.col("n") > rare).withColumn("level", level)
-    others = materialized(common.select("line", "level", F.col("id").alias("earlier"), "n"), "line-levels")
+    common = held.where(F.col("once") & (F.col("n") > rare)).withColumn("level", level)
+    others = materialized(common.select("line", "level", _document().alias("earlier")), "line-levels")
     last = others.agg(F.max("level")).head()[0]
-    open_lines = common.where("first < id").select("id", "h", "line")
+    open_lines = common.where(_first_holder() < _document()).select("id", "h", "turn", "line")
     for step in range(0 if last is None else last + 1):
         open_lines = materialized(_still_there(open_lines, lined, merged(found)), "line-open")
         if open_lines.isEmpty():
             break
         next_ones = others.where(F.col("level") == step).select("line", "earlier")
-        pairs = open_lines.join(next_ones, "line").where("earlier < id").select("id", "h", "earlier").distinct()
+        pairs = open_lines.join(next_ones, "line").where(F.col("earlier") < _document())
+        pairs = pairs.select("id", "h", "earlier").distinct()
         found = found.union(materialized(places(materialized(pairs, "line-pairs")), "line-places"))
     return merged(found)
 
 
-def without_repeated_lines(
-    docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS, all_holders=False
-):
+def without_repeated_lines(docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS):
     """``row, cleaned, n_lines, n_gone`` for every row of ``docs``; row holds all its columns.
 
-    A document is later than another if its doc_id is larger; null ids come last and are not later than each other.
-    Rows with equal doc_id and text get equal results, rows that share a doc_id but not the text are aligned each for
-    itself with earlier ids. Lines are compared without white space around them; blank lines are never reason enough
-    to delete. ``all_holders``: common lines are tried against every earlier document that holds them, not only the
-    first. A null or empty text stays as it is. Other columns may have any name; an empty table gives no rows.
+    A document is later than another if its doc_id is larger; null ids come last. Rows that share a doc_id (or have
+    none) but not the text are ordered by a hash of both; rows with equal doc_id and text are one document and get
+    equal results. Lines are compared without white space around them; blank lines are never reason enough to delete.
+    A null or empty text stays as it is. Other columns may have any name; an empty table gives no rows.
     """
-    found = deleted_lines(docs.select("doc_id", "text"), seed_chars, rare, block_chars, all_holders)
+    found = deleted_lines(docs.select("doc_id", "text"), seed_chars, rare, block_chars)
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order_id().alias("id"), row_hash().alias("h")
     )

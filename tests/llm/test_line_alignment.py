@@ -50,33 +50,57 @@ def test_short_lines_alone_do_not_go(spark, odd):
     assert _clean(spark, odd, *texts) == dict(enumerate(texts))
 
 
+def _trimmed(text):
+    return [x.replace("\r", " ").replace("\t", " ").strip(" ") for x in text.split("\n")]
+
+
 def _brute(rows):
-    """Alignment with every earlier document that shares a seed line, all pairs one by one."""
-    lines = {d: [x.replace("\r", " ").replace("\t", " ").strip(" ") for x in t.split("\n")] for d, t in rows}
-    seeds = {d: {x for x in v if len(x) >= L.SEED_CHARS} for d, v in lines.items()}
-    holders = {}
-    for d in sorted(lines):
-        for x in seeds[d]:
-            holders.setdefault(x, []).append(d)
-    gone = {}
-    for d in lines:
-        earlier = set()
-        for x in seeds[d]:
-            before = [e for e in holders[x] if e < d]
-            earlier |= set(before if len(holders[x]) <= L.RARE_DOCUMENTS else before[:1])
+    """Places of every text that alignments with all earlier texts remove, all pairs one by one."""
+    lines = [_trimmed(t) for _, t in sorted(rows)]
+    seeds = [{x for x in own if len(x) >= L.SEED_CHARS} for own in lines]
+    gone = []
+    for d, own in enumerate(lines):
         places = set()
-        for e in earlier:
-            places |= set(L.repeated_places(lines[e], lines[d], [len(x) for x in lines[d]]))
-        gone[d] = places
-    return gone
+        for e in range(d):
+            if seeds[d] & seeds[e]:
+                places |= set(L.repeated_places(lines[e], own, [len(x) for x in own]))
+        gone.append(places)
+    return dict(zip(sorted(d for d, _ in rows), zip(lines, seeds, gone)))
 
 
 def test_whole_table_equals_brute_force(documents, rows):
-    gone = _brute(list(zip(rows["doc_id"], rows["text"])))
+    brute = _brute(list(zip(rows["doc_id"], rows["text"])))
+    found = {r["id"]: set(r["gone"]) for r in L.deleted_lines(documents).collect()}
+    assert len(found) > 5
+    for doc, (own, seeds, gone) in brute.items():
+        places = found.get(doc, set())
+        # Nothing goes without an alignment; of seed lines, all go that the alignment with any earlier document removes.
+        assert places <= gone
+        assert {i for i in gone if own[i] in seeds and own.count(own[i]) == 1} <= places
+    texts = dict(zip(rows["doc_id"], rows["text"]))
     for r in L.without_repeated_lines(documents).collect():
-        doc = r["row"]["doc_id"]
-        kept = [x for i, x in enumerate(r["row"]["text"].split("\n")) if i not in gone[doc]]
-        assert (r["cleaned"], r["n_gone"]) == ("\n".join(kept), len(gone[doc]))
+        doc, gone = r["row"]["doc_id"], found.get(r["row"]["doc_id"], set())
+        kept = [x for i, x in enumerate(texts[doc].split("\n")) if i not in gone]
+        assert (r["cleaned"], r["n_gone"]) == ("\n".join(kept), len(gone))
+
+
+def test_headings_found_twice_lead_to_no_pairs_of_all(spark, odd):
+    heading = "A heading that every document repeats"
+    texts = [f"start {i}\n{heading}\nmiddle number {i} of the text\n{heading}\nend {i}" for i in range(60)]
+    frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], odd.schema)
+    held = L.line_holders(L.with_turns(L.with_lines(frame)))
+    assert held.where("line is not null and not once").count() == 60 and held.where("once").count() == 0
+    assert L.overlapping(held).count() == 59
+    assert _clean(spark, odd, *texts) == dict(enumerate(texts))
+
+
+def test_rows_that_share_an_id_or_have_none_are_ordered(spark, odd):
+    texts = ["\n".join([*LONG[:3], f"the end of number {i}, its own"]) for i in range(8)]
+    for ids in ([None] * 8, [7] * 8, [1, 1, 2, 2, None, None, 3, 3]):
+        frame = spark.createDataFrame([row(d, t) for d, t in zip(ids, texts)], odd.schema)
+        cleaned = [r["cleaned"] for r in L.without_repeated_lines(frame).collect()]
+        assert sum(LONG[0] in t for t in cleaned) == sum(LONG[2] in t for t in cleaned) == 1
+        assert sorted(t.split("\n")[-1] for t in cleaned) == sorted(t.split("\n")[-1] for t in texts)
 
 
 def test_odd_rows(odd, nothing):
@@ -96,11 +120,11 @@ def test_odd_rows(odd, nothing):
 
 def _seeds_kept(texts, cleaned):
     """Seed lines that stay although the alignment with some earlier holder, of all there are, removes them."""
-    lines = [[x.replace("\r", " ").replace("\t", " ").strip(" ") for x in t.split("\n")] for t in texts]
+    lines = [_trimmed(t) for t in texts]
     seeds = [{x for x in own if len(x) >= L.SEED_CHARS} for own in lines]
     kept = set()
     for d, own in enumerate(lines):
-        left = {x.replace("\r", " ").replace("\t", " ").strip(" ") for x in cleaned[d].split("\n")}
+        left = set(_trimmed(cleaned[d]))
         for e in range(d):
             if seeds[d] & seeds[e]:
                 once = {own[j] for j in L.repeated_places(lines[e], own, [len(x) for x in own]) if own.count(own[j]) == 1}
@@ -113,11 +137,7 @@ def test_common_lines_go_if_any_earlier_holder_removes_them(spark, odd):
     texts = ["\n".join([LONG[1], LONG[0], LONG[2]])]
     texts += ["\n".join([f"document {i} starts with a line of its own", *LONG[:3], f"end {i}"]) for i in range(12)]
     frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], odd.schema)
-    first, every = (
-        {r["row"]["doc_id"]: r["cleaned"] for r in L.without_repeated_lines(frame, all_holders=x).collect()}
-        for x in (False, True)
-    )
-    assert len(_seeds_kept(texts, first)) == 11
+    every = {r["row"]["doc_id"]: r["cleaned"] for r in L.without_repeated_lines(frame).collect()}
     assert not _seeds_kept(texts, every)
     assert all(every[d] == f"document {d - 1} starts with a line of its own\nend {d - 1}" for d in range(2, 13))
 
