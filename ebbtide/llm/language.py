@@ -12,11 +12,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.tables import discard
-from ebbtide.llm.text import held, vocabulary
+from ebbtide.llm.text import held, parts, vocabulary
 from ebbtide.session import materialized
 
 UNDETERMINED = "und"
@@ -142,6 +143,7 @@ class LanguageModel:
     """Piece probabilities of every language, and how common the languages are."""
 
     WORDS_KEPT = 250_000
+    TEXTS_AT_ONCE = 400
 
     def __init__(self, languages, priors, probability, path):
         self.name = uuid.uuid4().hex
@@ -171,12 +173,14 @@ class LanguageModel:
     def predict_all(self, texts):
         """(language, share of the posterior) of each whole text; (und, 0) for null or a text without letters."""
         out = []
-        for i in range(0, len(texts), 400):
-            counts = [Counter(words_of(t)) if t else Counter() for t in texts[i : i + 400]]
+        for i in range(0, len(texts), self.TEXTS_AT_ONCE):
+            counts = [Counter(words_of(t)) if t else Counter() for t in texts[i : i + self.TEXTS_AT_ONCE]]
             words = set().union(*counts)
             if len(self.known) > self.WORDS_KEPT:
                 self._forget()
-            self._learn([w for w in words if w not in self.known])
+            new = [w for w in words if w not in self.known]
+            for first in range(0, len(new), 10_000):
+                self._learn(new[first : first + 10_000])
             out += [self._best(c) for c in counts]
         return out
 
@@ -279,9 +283,16 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     the posterior. Repeated texts get equal answers.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_in_worker(model).predict_all(texts.tolist()), columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        own = _in_worker(model)
+        found = []
+        for part in parts(texts, own.TEXTS_AT_ONCE):
+            found += own.predict_all(part)
+        names, scores = zip(*found) if found else ((), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+        )
 
     # A filter on the answer must not be pushed below it: it would ask the model again.
     return docs.withColumn("language", predict.asNondeterministic()(F.col("text").cast("string")))

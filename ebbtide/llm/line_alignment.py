@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.text import order_id, row_hash
+from ebbtide.llm.text import held, order_id, row_hash
 from ebbtide.session import materialized
 
 #: A line leads to another document only if it has this many characters; shorter ones meet by chance.
@@ -144,15 +144,15 @@ def _first_holder():
     return F.struct(F.col("first").alias("id"), F.lit(FIRST_TURN).alias("turn"))
 
 
-def overlapping(held: DataFrame, rare=RARE_DOCUMENTS) -> DataFrame:
+def overlapping(shared: DataFrame, rare=RARE_DOCUMENTS) -> DataFrame:
     """``id, h, earlier``: documents and the earlier ones they are aligned with first.
 
     A rare shared line leads to all earlier holders, fewer than ``rare`` of them. A line that more documents share
     leads each to the first holder's id (of documents that share it, to the one that stands for it): one row for each
     line and document, however common the line is.
     """
-    to_first = held.where(_first_holder() < _document()).select("id", "h", _first_holder().alias("earlier"))
-    few = held.where(F.col("n") <= rare)
+    to_first = shared.where(_first_holder() < _document()).select("id", "h", _first_holder().alias("earlier"))
+    few = shared.where(F.col("n") <= rare)
     to_all = few.select("id", "h", "turn", "line").join(few.select("line", _document().alias("earlier")), "line")
     to_all = to_all.where(F.col("earlier") < _document()).select("id", "h", "earlier")
     return to_first.union(to_all).distinct()
@@ -179,11 +179,12 @@ def deleted_lines(
     where it is rare) and to no round: a heading that all documents have twice makes one pair a document, not all pairs.
     """
     lined = with_turns(materialized(with_lines(docs), "lines"))
-    held = line_holders(lined, seed_chars)
+    shared = line_holders(lined, seed_chars)
     earlier = lined.select(_document().alias("earlier"), F.col("lines").alias("earlier_lines"))
 
     @F.pandas_udf("array<int>")
     def gone(before: pd.Series, after: pd.Series, sizes: pd.Series) -> pd.Series:
+        held("lines", dict)  # what an earlier stage kept in this worker goes
         return pd.Series(
             [
                 repeated_places(b.tolist(), a.tolist(), s.tolist(), block_chars)
@@ -205,11 +206,11 @@ def deleted_lines(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("gone")
         )
 
-    found = materialized(places(overlapping(held, rare)), "line-places")
+    found = materialized(places(overlapping(shared, rare)), "line-places")
     # About 2 ** level of a line's holders have that level.
     draw = F.pmod(F.xxhash64("line", "id", "turn"), F.lit(2**30)) / F.lit(2.0**30)
     level = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") * draw))).cast("int")
-    common = held.where(F.col("once") & (F.col("n") > rare)).withColumn("level", level)
+    common = shared.where(F.col("once") & (F.col("n") > rare)).withColumn("level", level)
     others = materialized(common.select("line", "level", _document().alias("earlier")), "line-levels")
     last = others.agg(F.max("level")).head()[0]
     open_lines = common.where(_first_holder() < _document()).select("id", "h", "turn", "line")

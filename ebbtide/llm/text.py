@@ -168,6 +168,13 @@ def held(key, build):
     return _HELD[key]
 
 
+def parts(texts: pa.Array, size=400):
+    """Lists of so many values each: a batch is never there as Python strings as a whole."""
+    for first in range(0, len(texts), size):
+        yield texts.slice(first, size).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def word_encoder(path) -> WordEncoder:
     """One encoder for each worker process, until another stage takes its place."""
     import os
