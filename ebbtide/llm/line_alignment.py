@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.tables import discard
 from ebbtide.llm.text import held, order_id, row_hash
 from ebbtide.session import materialized
 
@@ -132,7 +133,9 @@ def line_holders(lined: DataFrame, seed_chars=SEED_CHARS) -> DataFrame:
     holders = seeds.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a very common line can be split.
     holders = materialized(holders, "line-counts")
-    return materialized(seeds.join(holders, "line"), "line-holders")
+    held_lines = materialized(seeds.join(holders, "line"), "line-holders")
+    discard(lined.sparkSession, holders)
+    return held_lines
 
 
 def _document():
@@ -178,7 +181,8 @@ def deleted_lines(
     or all were tried. A line found twice on a side cannot anchor an alignment, so it leads to its first holder (to all
     where it is rare) and to no round: a heading that all documents have twice makes one pair a document, not all pairs.
     """
-    lined = with_turns(materialized(with_lines(docs), "lines"))
+    written = [materialized(with_lines(docs), "lines")]
+    lined = with_turns(written[0])
     shared = line_holders(lined, seed_chars)
     earlier = lined.select(_document().alias("earlier"), F.col("lines").alias("earlier_lines"))
 
@@ -212,16 +216,22 @@ def deleted_lines(
     level = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") * draw))).cast("int")
     common = shared.where(F.col("once") & (F.col("n") > rare)).withColumn("level", level)
     others = materialized(common.select("line", "level", _document().alias("earlier")), "line-levels")
+    written += [shared, others]
     last = others.agg(F.max("level")).head()[0]
     open_lines = common.where(_first_holder() < _document()).select("id", "h", "turn", "line")
     for step in range(0 if last is None else last + 1):
         open_lines = materialized(_still_there(open_lines, lined, merged(found)), "line-open")
+        written.append(open_lines)
         if open_lines.isEmpty():
             break
         next_ones = others.where(F.col("level") == step).select("line", "earlier")
         pairs = open_lines.join(next_ones, "line").where(F.col("earlier") < _document())
         pairs = pairs.select("id", "h", "earlier").distinct()
-        found = found.union(materialized(places(materialized(pairs, "line-pairs")), "line-places"))
+        pairs = materialized(pairs, "line-pairs")
+        found = found.union(materialized(places(pairs), "line-places"))
+        written.append(pairs)
+    for table in written:  # what is returned reads the places only
+        discard(docs.sparkSession, table)
     return merged(found)
 
 

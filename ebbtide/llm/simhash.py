@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import shingle_sets
 from ebbtide.llm.components import connected_components
+from ebbtide.llm.tables import discard
 from ebbtide.llm.text import text_bytes
 from ebbtide.session import materialized
 
@@ -223,6 +224,7 @@ def near_duplicate_sets(docs: DataFrame) -> DataFrame:
     """
     sets = materialized(shingle_sets.shingle_sets(docs), "shingle-sets")
     components = materialized(shingle_sets.linked_sets(sets), "shingle-merged")
+    discard(docs.sparkSession, sets)
     rows = docs.select(
         F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(text_bytes()).alias("node")
     )
