@@ -111,3 +111,42 @@ def test_one_row_is_held_whatever_the_batches():
         assert (state.value, state.until) == ((70,), 1090)
     state.hasTimedOut = True
     assert list(I._first_of_id(1000)(("k",), iter([]), state)) == [] and not state.exists
+
+
+def test_the_state_has_parts_of_ids_and_not_a_key_for_each(population, tmp_path, spark, monkeypatch):
+    monkeypatch.setattr(I, "PARTS", 8)
+    twice = population.filter(F.col(S.ID).isNotNull())
+    for n in (1, 2):
+        twice.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        checked = I.unique_stream(spark.readStream.schema(twice.schema).parquet(str(tmp_path / "in")))
+        query = I.write_available(checked, tmp_path / "out", tmp_path / "progress")
+        query.awaitTermination()
+        assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 8
+    out = spark.read.schema(checked.schema).parquet(str(tmp_path / "out")).collect()
+    valid = {r[S.ID] for r in I.checked_stream(twice).filter(F.size("violations") == 0).collect()}
+    assert len(valid) > 8 and passed(out) == Counter(valid)
+    assert Counter(r[S.ID] for r in out if I.REPEATED in r["violations"]) == Counter(valid)
+
+
+def test_ids_of_one_part_are_forgotten_one_by_one():
+    import pandas as pd
+
+    class Part(State):
+        @property
+        def get(self):
+            return self.value
+
+    def come(ids, now):
+        rows = pd.DataFrame({"x": ids, "_valid": True, "_order": 0, "_id": ids, "_now": 0, "_now_ms": now})
+        out = pd.concat(I._first_of_ids(100)((0,), iter([rows]), state))
+        return dict(zip(out["x"], out["_repeated"]))
+
+    state = Part()
+    assert come(["a", "b"], 10) == {"a": False, "b": False}
+    assert come(["a", "c"], 60) == {"a": True, "c": False}
+    assert (dict(zip(*state.value)), state.until) == ({"a": 60, "b": 10, "c": 60}, 110)
+    assert come(["b", "c"], 115) == {"b": False, "c": True}
+    state.watermark, state.hasTimedOut = 165, True
+    assert list(I._first_of_ids(100)((0,), iter([]), state)) == [] and dict(zip(*state.value)) == {"b": 115, "c": 115}
+    state.watermark = 300
+    assert list(I._first_of_ids(100)((0,), iter([]), state)) == [] and not state.exists
