@@ -92,8 +92,10 @@ def _similar(shared, n, other):
     return 9 * shared >= 4 * (n + other)
 
 
-def _confirmed(pairs, sets):
-    """Pairs ``a, b`` whose sets are similar enough. Only sets of texts that are in a pair move."""
+def _confirmed(pairs, sets, likely):
+    """Pairs ``a, b`` whose sets are similar enough. Only sets of texts that are in a likely pair move."""
+    if likely is not None:
+        pairs = materialized(likely(pairs), "shingle-likely")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = sets.join(with_size_checked(nodes, CANDIDATES_BROADCAST), "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
@@ -102,13 +104,14 @@ def _confirmed(pairs, sets):
     return pairs.join(left, "a").join(right, "b").where(_similar(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def linked_sets(sets: DataFrame) -> DataFrame:
+def linked_sets(sets: DataFrame, likely=None) -> DataFrame:
     """``node, component`` of all texts that links reach but the smallest node of each component.
 
     ``sets`` has distinct rows ``node, n, shingles``. A link is a pair with a Jaccard similarity of 0.8 or more of the
     sets; every such pair shares a shingle of both prefixes and meets there, at every size of the table. Dense groups
     of near copies would pair all with all, so links are found in passes: each text is compared with the smallest one
-    of its places, then texts whose components still differ are compared in the places that hold both.
+    of its places, then texts whose components still differ are compared in the places that hold both. ``likely`` may
+    leave pairs out before their sets are compared.
     """
     spark = sets.sparkSession
     common, counts = _common_shingles(sets)
@@ -132,7 +135,7 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     near_size = lambda n, m: 5 * F.least(n, m) >= 4 * F.greatest(n, m)
     to_first = members.where((F.col("node") > F.col("first.node")) & near_size(F.col("n"), F.col("first.n")))
     to_first = materialized(to_first.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct(), "to-first")
-    links = materialized(_confirmed(to_first, sets), "shingle-links")
+    links = materialized(_confirmed(to_first, sets, likely), "shingle-links")
     discard(spark, to_first)
     found = materialized(connected_components(links), "shingle-components")
 
@@ -156,4 +159,4 @@ def linked_sets(sets: DataFrame) -> DataFrame:
         F.first("other_n").alias("m"),
     )
     met = materialized(met.where(_similar(F.col("most"), F.col("n"), F.col("m"))).select("a", "b"), "shingle-met")
-    return connected_components(links.union(_confirmed(met, sets)))
+    return connected_components(links.union(_confirmed(met, sets, likely)))

@@ -154,3 +154,23 @@ def test_pairs_under_the_threshold_all_stay(spark):
     rng = np.random.default_rng(4)
     texts = [t for k in range(60) for t in _edited(rng, k, 0.7, 0.78)]
     assert _kept(spark, texts) == set(range(120))
+
+
+def test_fingerprints_decide_which_sets_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [t for k in range(10) for t in _edited(rng, k, 0.8, 0.85)]
+    monkeypatch.setattr(simhash, "SET_RADIUS", -1)
+    assert _kept(spark, texts) == set(range(20))
+
+
+def test_the_reach_holds_similar_sets_and_leaves_others_out():
+    rng = np.random.default_rng(6)
+    prints = lambda x: simhash._prints(x, simhash.SET_PRINTS)
+    apart = lambda x, y: sum(((a ^ b) % 2**64).bit_count() for a, b in zip(prints(x), prints(y)))
+    for n in (simhash.SHORT_SET, 60, 400):
+        for _ in range(60):
+            every = rng.integers(2**63, size=2 * n + 10, dtype=np.uint64)
+            more = n + n // 4
+            assert apart(every[:n], every[:more]) <= simhash.SET_RADIUS  # 0.8
+            assert apart(every[:n], every[n // 10 : n + n // 10]) <= simhash.SET_RADIUS  # 0.82
+            assert apart(every[:n], every[n : 2 * n]) > simhash.SET_RADIUS
