@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.llm.text import row_hash, vocabulary, whole_text, word_encoder
+from ebbtide.llm.text import held, row_hash, vocabulary, whole_text, word_encoder
 from ebbtide.session import scratch_path
 
 MAGIC = b"TOKENPFR"
@@ -28,6 +28,8 @@ FITTING_SHARE = 0.9
 FILE_IDS = 4_000_000
 END_ID = 1
 _HEAD = 6
+#: Blocks that are packed or unpacked together; the working arrays take about 50 times the bytes of their ids.
+PART_BLOCKS = 2048
 
 
 def _runs(starts, width):
@@ -37,9 +39,17 @@ def _runs(starts, width):
 
 def encode_blocks(ids: np.ndarray, share=FITTING_SHARE):
     """(bytes of all blocks, first byte of each and the end) for unsigned 32-bit ids."""
+    packed, starts, size = [], [np.zeros(1, np.uint64)], 0
+    for i in range(0, len(ids), PART_BLOCKS * BLOCK):
+        data, own = _encode_part(ids[i : i + PART_BLOCKS * BLOCK], share)
+        packed.append(data)
+        starts.append(own[1:] + np.uint64(size))
+        size += len(data)
+    return b"".join(packed), np.concatenate(starts)
+
+
+def _encode_part(ids, share):
     n_blocks = -(-len(ids) // BLOCK)
-    if not n_blocks:
-        return b"", np.zeros(1, np.uint64)
     filled = np.empty(n_blocks * BLOCK, np.int64)
     filled[: len(ids)] = ids
     filled[len(ids) :] = ids[-1]
@@ -79,9 +89,15 @@ def encode_blocks(ids: np.ndarray, share=FITTING_SHARE):
 def decode_blocks(data, starts: np.ndarray, n_ids: int) -> np.ndarray:
     """Ids of the blocks whose first bytes (and the end of the last) are given; any range of blocks can be read."""
     raw = np.frombuffer(data, np.uint8)
+    out = np.empty(n_ids, np.uint32)
+    for i in range(0, len(starts) - 1, PART_BLOCKS):
+        part = out[i * BLOCK : (i + PART_BLOCKS) * BLOCK]
+        part[:] = _decode_part(raw, starts[i : i + PART_BLOCKS + 1])[: len(part)]
+    return out
+
+
+def _decode_part(raw, starts):
     at = starts[:-1].astype(np.int64)
-    if not len(at):
-        return np.empty(0, np.uint32)
     smallest = raw[_runs(at, 4)].copy().view("<u4")[:, 0].astype(np.int64)
     widths, n_exceptions = raw[at + 4].astype(np.int64), raw[at + 5].astype(np.int64)
     rest = np.zeros((len(at), BLOCK), np.int64)
@@ -100,7 +116,8 @@ def decode_blocks(data, starts: np.ndarray, n_ids: int) -> np.ndarray:
     if len(block):
         whole = raw[_runs(first + n_exceptions[block] + 4 * nth, 4)].copy().view("<u4")[:, 0]
         rest[block, raw[first + nth]] = whole
-    return (rest + smallest[:, None]).reshape(-1)[:n_ids].astype(np.uint32)
+    rest += smallest[:, None]
+    return rest.reshape(-1)
 
 
 def file_bytes(doc_ids, ids_of_documents) -> bytes:
@@ -220,13 +237,14 @@ def read_token_files(files: DataFrame, folder) -> DataFrame:
     placed = files.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches):
+        held("token files", dict)  # the encoder that writing kept in this worker goes
         system, path = _filesystem(folder)
         for batch in batches:
             for name, first in zip(batch["name"], batch["first"]):
                 with system.open_input_stream(f"{path}/{name}") as source:
                     doc_ids, lengths, ids = read_file(source.read())
                 ends = np.cumsum(lengths, dtype=np.int64)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 starts = ends - lengths
                 yield pd.DataFrame(
                     {

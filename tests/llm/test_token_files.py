@@ -55,3 +55,18 @@ def test_odd_rows(odd, nothing, tokenizer):
     assert {(d, n, crc) for d, _, n, crc in found} == expected
     assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:]))
     assert K.round_trip(nothing).count() == 0
+
+
+def test_blocks_are_packed_and_unpacked_in_parts_of_bounded_memory():
+    import tracemalloc
+
+    ids = np.random.default_rng(1).integers(49_000, size=3_000_000).astype(np.uint32)
+    tracemalloc.start()
+    data, starts = K.encode_blocks(ids)
+    packed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    back = K.decode_blocks(data, starts, len(ids))
+    unpacked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(back, ids) and len(starts) == -(-len(ids) // 128) + 1
+    assert max(packed, unpacked) < 6 * ids.nbytes
