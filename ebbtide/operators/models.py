@@ -134,18 +134,24 @@ class PreparedSplit:
     hold_negative: int
 
 
-def prepare_splits(base: DataFrame, splits: list[Split], settings: TrainingSettings) -> dict[str, PreparedSplit]:
+def learned_folds(base: DataFrame, splits: list[Split], numeric, categorical) -> FoldStatistics:
+    """Summaries of the splits' fold schemes, for any of the columns."""
+    schemes = {s.scheme: Scheme(s.scheme, s.fold) for s in splits}
+    return FoldStatistics(base, list(schemes.values()), numeric, categorical)
+
+
+def prepare_splits(base: DataFrame, splits: list[Split], settings: TrainingSettings, learned=None) -> dict[str, PreparedSplit]:
     """Preparation statistics and sizes of all splits, learned together.
 
-    Rows are summed up once for each fold scheme; a split is its scheme's sums without those of one fold.
+    Rows are summed up once for each fold scheme; a split is its scheme's sums without those of one fold. ``learned``
+    may hold the summaries of these splits, for more columns than the settings name.
     """
-    schemes = list({s.scheme: Scheme(s.scheme, s.fold) for s in splits}.values())
-    place = {scheme.key: i for i, scheme in enumerate(schemes)}
-    learned = FoldStatistics(base, schemes, settings.numeric, settings.categorical)
+    learned = learned or learned_folds(base, splits, settings.numeric, settings.categorical)
+    place = {scheme.key: i for i, scheme in enumerate(learned.schemes)}
     prepared = {}
     for s in splits:
         at = place[s.scheme]
-        statistics = learned.statistics(at, s.left_out).to_json()
+        statistics = learned.statistics(at, s.left_out).only(settings.numeric, settings.categorical).to_json()
         held = (0, 0) if s.left_out is None else learned.fold_labels(at, s.left_out)
         prepared[s.key] = PreparedSplit(s, FeaturePrepModel(statistics=statistics), learned.sizes(at, s.left_out), *held)
     return prepared

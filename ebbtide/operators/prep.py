@@ -69,6 +69,11 @@ class PrepStatistics:
         raw = json.loads(text)
         return cls([NumberStat(**n) for n in raw["numbers"]], [LevelStat(**v) for v in raw["levels"]])
 
+    def only(self, numeric, categorical):
+        """The statistics of the named columns, in that order."""
+        numbers, levels = ({s.name: s for s in stats} for stats in (self.numbers, self.levels))
+        return PrepStatistics([numbers[c] for c in numeric], [levels[c] for c in categorical])
+
     @property
     def usable_numbers(self):
         """Columns with at least one value; a column that is empty in training carries no feature."""

@@ -260,3 +260,19 @@ def test_rows_without_an_id_are_numbered_from_zero(spark, population):
     assert sorted(first) == list(range(240))
     assert {r[S.ID]: tuple(r) for r in numbered.collect()} == first  # a second reading agrees
     assert with_identifier(bare.limit(0)).count() == 0
+
+
+def test_ablation_sums_the_columns_up_once(population, monkeypatch):
+    settings = models.TrainingSettings(models=("logistic_regression",), folds=2, repeats=1)
+    train, _ = training.split_base(population, settings)
+    subsets = {"a": (("monthly_spend",), ()), "b": (("monthly_spend", "days_since_last_login"), ("region",))}
+    alone = {}
+    for name, (numeric, categorical) in subsets.items():
+        chosen = replace(settings, numeric=numeric, categorical=categorical)
+        alone[name] = training.fold_summary(training.bakeoff(train, chosen)).first()["cv_auc_mean"]
+    made = []
+    first = models.FoldStatistics
+    monkeypatch.setattr(models, "FoldStatistics", lambda *a, **k: made.append(1) or first(*a, **k))
+    rows = training.ablation(train, settings, subsets).collect()
+    assert len(made) == 1
+    assert {r["subset"]: r["cv_auc_mean"] for r in rows} == alone
