@@ -276,3 +276,47 @@ def test_ablation_sums_the_columns_up_once(population, monkeypatch):
     rows = training.ablation(train, settings, subsets).collect()
     assert len(made) == 1
     assert {r["subset"]: r["cv_auc_mean"] for r in rows} == alone
+
+
+def test_linear_fits_of_all_splits_share_their_passes(population, monkeypatch):
+    """Optima equal those of single fits; the number of passes does not grow with the number of splits."""
+    from ebbtide.operators import linear
+
+    settings = replace(SMALL, models=("logistic_regression",), folds=3)
+    train, _ = training.split_base(population, settings)
+    prepared = training.prepare_everything(train, settings)
+    plan = [prepared[s.key] for group in training.out_of_fold_splits(settings).values() for s in group]
+    passes = []
+    monkeypatch.setattr(models.linear, "_summed", lambda *a, first=linear._summed: passes.append(1) or first(*a))
+    members = models.fit_members(train, plan, "logistic_regression", settings)
+    assert len(members) == 9 and len(passes) < 25
+    for p, ((prep, model, sigmoid), *_) in zip(plan, members):
+        rows = prep.transform(train.filter(p.split.fit)).select(vector_to_array(prep.getOutputCol()).alias("x"), S.LABEL).collect()
+        x, y = np.array([r["x"] for r in rows]), np.array([r[S.LABEL] for r in rows], dtype=float)
+        w, b = model.coefficients.toArray(), model.intercept
+        score = 1 / (1 + np.exp(-(x @ w + b)))
+        assert len(rows) == p.rows and np.abs(x.T @ (score - y) + w).max() < 1e-6 and abs((score - y).sum()) < 1e-6
+        held = model.transform(prep.transform(train.filter(p.split.hold)))
+        value = F.element_at(vector_to_array(F.col(sigmoid.getOrDefault("inputCol"))), 2)
+        slope, intercept = models.fit_sigmoid(held, value, p.hold_positive, p.hold_negative)
+        assert (sigmoid.getOrDefault("slope"), sigmoid.getOrDefault("intercept")) == pytest.approx((slope, intercept), abs=1e-3)
+
+
+def test_linear_fit_of_one_class_and_of_equal_margins(population):
+    settings = replace(SMALL, models=("logistic_regression",))
+    train, _ = training.split_base(population.withColumn(S.LABEL, F.lit(1)), settings)
+    whole = models.prepare_splits(train, [training.whole_split()], settings)["all"]
+    model = models.fit_on_splits(train, [("logistic_regression", whole)], settings)[0]
+    assert {r[SCORE] for r in models.positive_probability(model, train).collect()} == {1.0}
+    # margins without any spread: the sigmoid has no slope and the share of positives as its level
+    constant = population.withColumns({c: F.lit(None).cast(dict(population.dtypes)[c]) for c in S.NUMERIC}).withColumns(
+        {c: F.lit("one") for c in S.CATEGORICAL}
+    )
+    train, _ = training.split_base(constant, settings)
+    plan = training.calibration_splits(settings)
+    prepared = models.prepare_splits(train, plan, settings)
+    for p, (stages, *_) in zip(plan, models.fit_members(train, [prepared[p.key] for p in plan], "logistic_regression", settings)):
+        pos, neg = prepared[p.key].hold_positive, prepared[p.key].hold_negative
+        level = (pos * (pos + 1) / (pos + 2) + neg / (neg + 2)) / (pos + neg)
+        assert stages[2].getOrDefault("slope") == 0.0
+        assert stages[2].getOrDefault("intercept") == pytest.approx(np.log(level / (1 - level)), abs=1e-6)
