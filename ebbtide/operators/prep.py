@@ -7,6 +7,7 @@ in the same few jobs. ``QuantileClip`` is the clipping step alone.
 """
 
 import json
+import math
 from collections import defaultdict
 from dataclasses import asdict, dataclass, field
 
@@ -227,33 +228,56 @@ def _learn_levels(df, categorical, by, key):
     return out
 
 
-def prepared_expressions(stats: PrepStatistics) -> dict:
-    """Name to expression for every prepared feature, in vector order.
+def _double(value):
+    """A double as SQL text; ``repr`` reads back to the same bits."""
+    value = float(value)
+    return f"({value!r}D)" if math.isfinite(value) else f"CAST('{value!r}' AS DOUBLE)"
+
+
+def _text(value):
+    """A string as SQL text, whatever quotes it holds."""
+    return f"CAST(X'{value.encode().hex()}' AS STRING)"
+
+
+def _name(column):
+    return "`" + column.replace("`", "``") + "`"
+
+
+def prepared_texts(stats: PrepStatistics) -> dict[str, str]:
+    """Name to SQL text for every prepared feature, in vector order.
 
     Each feature is one branch between a constant and one arithmetic step. Several prepared vectors share a
-    generated method when members of an ensemble score a row, so their code must stay small.
+    generated method when members of an ensemble score a row, so their code must stay small. Text is parsed in one call;
+    column objects take hundreds of calls a vector, and a training run makes about a hundred vectors.
     """
     out = {}
     for n in stats.usable_numbers:
-        value = X.number_or_null(n.name)
-        kept = value if n.low is None else F.least(F.greatest(value, F.lit(n.low)), F.lit(n.high))
-        scaled = (kept - F.lit(n.mean)) * F.lit(1.0 / n.scale)
-        out[n.name] = F.when(value.isNotNull(), scaled).otherwise(F.lit((n.median - n.mean) / n.scale))
+        value = f"nanvl(try_cast({_name(n.name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+        kept = value if n.low is None else f"least(greatest({value}, {_double(n.low)}), {_double(n.high)})"
+        scaled = f"({kept} - {_double(n.mean)}) * {_double(1.0 / n.scale)}"
+        filled = _double((n.median - n.mean) / n.scale)
+        out[n.name] = f"CASE WHEN {value} IS NOT NULL THEN {scaled} ELSE {filled} END"
     for n in stats.numbers:
         if n.had_missing:
-            present = F.lit((0.0 - n.missing_mean) / n.missing_scale)
-            missing = F.lit((1.0 - n.missing_mean) / n.missing_scale)
-            out[INDICATOR + n.name] = F.when(X.number_or_null(n.name).isNull(), missing).otherwise(present)
+            value = f"nanvl(try_cast({_name(n.name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+            present = _double((0.0 - n.missing_mean) / n.missing_scale)
+            missing = _double((1.0 - n.missing_mean) / n.missing_scale)
+            out[INDICATOR + n.name] = f"CASE WHEN {value} IS NULL THEN {missing} ELSE {present} END"
     for c in stats.levels:
-        value = F.col(c.name).cast("string")
+        value = f"CAST({_name(c.name)} AS STRING)"
         for level in c.levels:
-            hit = value == level
+            hit = f"{value} = {_text(level)}"
             if level == c.fill:
-                hit = value.isNull() | hit
-            out[f"{c.name}_{level}"] = F.when(hit, 1.0).otherwise(0.0)
+                hit = f"{value} IS NULL OR {hit}"
+            out[f"{c.name}_{level}"] = f"CASE WHEN {hit} THEN 1.0D ELSE 0.0D END"
     return out
 
 
+def prepared_expressions(stats: PrepStatistics) -> dict:
+    """Name to expression for every prepared feature, in vector order."""
+    return {name: F.expr(text) for name, text in prepared_texts(stats).items()}
+
+
 class _OutputCol(Params):
     outputCol = Param(Params._dummy(), "outputCol", "output column", TypeConverters.toString)
 
@@ -376,5 +400,5 @@ class FeaturePrepModel(Model, _OutputCol, DefaultParamsReadable, DefaultParamsWr
         return self.learned.feature_names()
 
     def _transform(self, dataset):
-        features = list(prepared_expressions(self.learned).values())
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(F.array(*features)))
+        features = F.expr(f"array({', '.join(prepared_texts(self.learned).values())})")
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(features))

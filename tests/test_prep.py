@@ -104,3 +104,23 @@ def test_stage_survives_saving(spark, population, tmp_path):
     first = model.transform(rows).select(S.ID, vector_to_array("features").alias("f"))
     second = again.transform(rows).select(S.ID, vector_to_array("features").alias("f"))
     assert first.exceptAll(second).count() == 0
+
+
+def test_prepared_features_of_odd_names_levels_and_values(spark):
+    """SQL text keeps the bits of numbers and takes any level and column name; a vector is one parsed expression."""
+    from ebbtide.operators import prep
+
+    levels = ["it's", 'a "b"', "c\\d", "ünï", ""]
+    rows = [(v, x) for v, x in zip([*levels, None], [1e-300, -3.3, 1e17 / 3, float("nan"), None, 0.1])]
+    df = spark.createDataFrame(rows, "`a b` string, `x-y` double")
+    stats = prep.PrepStatistics(
+        [prep.NumberStat("x-y", -2.7, 1e16 / 7, 0.3, True, -1e-17, 1 / 3, 2 / 6, 0.7)], [prep.LevelStat("a b", "it's", sorted(levels))]
+    )
+    found = prep.FeaturePrepModel(statistics=stats.to_json()).transform(df).collect()
+    for (level, x), row in zip(rows, found):
+        missing = x is None or x != x
+        number = (0.3 + 1e-17) / (1 / 3) if missing else (min(max(x, -2.7), 1e16 / 7) + 1e-17) * (1.0 / (1 / 3))
+        mark = ((1.0 if missing else 0.0) - 2 / 6) / 0.7
+        hot = [1.0 if v == ("it's" if level is None else level) else 0.0 for v in sorted(levels)]
+        assert row["features"].toArray().tolist() == [number, mark, *hot]
+    assert set(prep.prepared_texts(stats)) == set(stats.feature_names())
