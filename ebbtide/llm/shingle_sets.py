@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.components import connected_components
 from ebbtide.llm.tables import discard, with_size_checked
-from ebbtide.llm.text import held, parts, text_bytes
+from ebbtide.llm.text import held, text_bytes
 from ebbtide.session import materialized
 
 SEED = 42
@@ -18,6 +18,8 @@ ORDER_TEXTS = 20_000
 ORDER_LEAST = 16
 #: Texts with a candidate are picked out by a broadcast of their numbers up to so many (8 bytes each), else by a join.
 CANDIDATES_BROADCAST = 500_000
+#: Texts whose sets a worker hands on together.
+BATCH_TEXTS = 400
 
 
 def _mixed(x):
@@ -48,17 +50,36 @@ def _lists(arrays) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``node, n, shingles`` of every distinct text; node is the text's hash. A null text is an empty one."""
+def _sliced(batches):
+    """Record batches of at most ``BATCH_TEXTS`` rows: of a large one only a slice is there as Python values at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_TEXTS):
+            yield batch.slice(first, BATCH_TEXTS)
+        pa.default_memory_pool().release_unused()
 
-    @F.arrow_udf("array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        held("shingles", dict)  # what an earlier stage kept in this worker goes
-        return _lists([shingles_of(t) for part in parts(texts) for t in part])
 
+def _set_batches(batches, prints_of, n_prints):
+    """``node, n, shingles, f0 ...`` in small batches, from batches of ``node, bytes``."""
+    held("shingles", dict)  # what an earlier stage kept in this worker goes
+    names = ["node", "n", "shingles", *[f"f{i}" for i in range(n_prints)]]
+    for part in _sliced(batches):
+        sets = [shingles_of(t) for t in part.column("bytes").to_pylist()]
+        prints = np.array([prints_of(s.view(np.uint64)) for s in sets], np.int64).reshape(len(sets), n_prints)
+        columns = [part.column("node"), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)]
+        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, prints.T.copy())], names)
+
+
+def shingle_sets(docs: DataFrame, prints_of, n_prints) -> DataFrame:
+    """``node, n, shingles, f0 ...`` of every distinct text; node is the text's hash. A null text is an empty one.
+
+    ``prints_of`` gives the ``n_prints`` fingerprints of a set. Sets leave the worker in small batches.
+    """
     texts = docs.select(text_bytes().alias("bytes")).withColumn("node", F.xxhash64("bytes"))
     once = texts.groupBy("node").agg(F.first("bytes").alias("bytes"))
-    return once.select("node", of("bytes").alias("shingles")).select("node", F.size("shingles").alias("n"), "shingles")
+    prints = "".join(f", f{i} long" for i in range(n_prints))
+    return once.mapInArrow(
+        lambda batches: _set_batches(batches, prints_of, n_prints), f"node long, n int, shingles array<long>{prints}"
+    )
 
 
 def _common_shingles(sets):
@@ -87,6 +108,19 @@ def prefix_of(shingles, common, counts):
     return shingles[np.argsort(order, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
 
 
+def _place_batches(batches, common, counts):
+    """A row ``node, n, at, place`` for each place of a set's prefix, from batches of ``node, n, shingles``."""
+    held("shingles", dict)
+    for part in _sliced(batches):
+        lists = part.column("shingles")
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        found = [prefix_of(s, common, counts) for s in np.split(lists.flatten().to_numpy(), ends[:-1])]
+        sizes = [len(f) for f in found]
+        columns = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "n")]
+        columns += [np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]), np.concatenate(found)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "at", "place"])
+
+
 def _similar(shared, n, other):
     """shared / (n + other - shared) >= 0.8 in whole numbers; two empty sets are equal."""
     return 9 * shared >= 4 * (n + other)
@@ -116,14 +150,10 @@ def linked_sets(sets: DataFrame, likely=None) -> DataFrame:
     spark = sets.sparkSession
     common, counts = _common_shingles(sets)
 
-    @F.arrow_udf("array<long>")
-    def prefix(shingles: pa.Array) -> pa.Array:
-        held("shingles", dict)
-        flat = shingles.flatten().to_numpy()
-        ends = np.cumsum(shingles.value_lengths().to_numpy())
-        return _lists([prefix_of(s, common, counts) for s in np.split(flat, ends[:-1])] if len(ends) else [])
-
-    places = sets.select("node", "n", F.posexplode(prefix("shingles")).alias("at", "place"))
+    # Rows leave the worker one for each place: whole prefixes and sets are never held beside them.
+    places = sets.select("node", "n", "shingles").mapInArrow(
+        lambda batches: _place_batches(batches, common, counts), "node long, n int, at int, place long"
+    )
     places = materialized(places, "shingle-prefixes")
     shared = places.groupBy("place").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("held"))
     # Written before they are joined, so that a place that very many texts share can be split.

@@ -4,7 +4,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,16 +225,9 @@ def near_duplicates(docs: DataFrame, words=WORDS, radius=RADIUS) -> DataFrame:
     )
 
 
-def with_set_fingerprints(sets: DataFrame) -> DataFrame:
-    """Adds the SimHashes ``f0`` ... of ``shingles``, each distinct shingle once."""
-
-    @F.arrow_udf("array<long>")
-    def of(shingles: pa.Array) -> pa.Array:
-        found = [_prints(s.values.to_numpy().view(np.uint64), SET_PRINTS) for s in shingles]
-        return pa.array(found, pa.list_(pa.int64()))
-
-    marked = sets.withColumn("prints", of("shingles"))
-    return marked.select("*", *[F.col("prints")[i].alias(f"f{i}") for i in range(SET_PRINTS)]).drop("prints")
+def _set_prints(hashes):
+    """SimHashes of a set of shingles, each distinct shingle once."""
+    return _prints(hashes, SET_PRINTS)
 
 
 def _in_reach(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -259,7 +251,7 @@ def near_duplicate_sets(docs: DataFrame) -> DataFrame:
     meet under rare shingles (``shingle_sets``); whole sets move only for pairs that the fingerprints leave.
     """
     spark = docs.sparkSession
-    sets = materialized(with_set_fingerprints(shingle_sets.shingle_sets(docs)), "shingle-sets")
+    sets = materialized(shingle_sets.shingle_sets(docs, _set_prints, SET_PRINTS), "shingle-sets")
     own = [f"f{i}" for i in range(SET_PRINTS)]
     table = materialized(with_pivots(sets.select("node", "n", *own), own, "p"), "shingle-prints")
     found = shingle_sets.linked_sets(sets.select("node", "n", "shingles"), lambda pairs: _in_reach(pairs, table))

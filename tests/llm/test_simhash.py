@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from ebbtide.llm import simhash
+from ebbtide.llm import shingle_sets, simhash
 from ebbtide.llm.components import connected_components
 
 from .conftest import ODD, words
@@ -174,3 +175,26 @@ def test_the_reach_holds_similar_sets_and_leaves_others_out():
             assert apart(every[:n], every[:more]) <= simhash.SET_RADIUS  # 0.8
             assert apart(every[:n], every[n // 10 : n + n // 10]) <= simhash.SET_RADIUS  # 0.82
             assert apart(every[:n], every[n : 2 * n]) > simhash.SET_RADIUS
+
+
+def test_sets_and_places_leave_a_worker_in_small_batches():
+    texts = [b"", *[b" ".join(b"%d" % (i * k % 97) for i in range(1 + k % 60)) for k in range(1, 2 * shingle_sets.BATCH_TEXTS)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "bytes"])
+    sets = list(shingle_sets._set_batches([batch.slice(0, 0), batch], simhash._set_prints, simhash.SET_PRINTS))
+    assert max(b.num_rows for b in sets) <= shingle_sets.BATCH_TEXTS
+    whole = pa.Table.from_batches(sets)
+    assert whole["node"].to_pylist() == list(range(len(texts)))
+    expected = [shingle_sets.shingles_of(t) for t in texts]
+    assert whole["shingles"].to_pylist() == [s.tolist() for s in expected]
+    assert whole["n"].to_pylist() == [len(s) for s in expected]
+    prints = [whole[f"f{i}"].to_pylist() for i in range(simhash.SET_PRINTS)]
+    assert [list(p) for p in zip(*prints)] == [simhash._set_prints(s.view(np.uint64)) for s in expected]
+
+    common, counts = np.unique(np.concatenate(expected), return_counts=True)
+    batch = whole.select(["node", "n", "shingles"]).combine_chunks().to_batches()[0]
+    places = list(shingle_sets._place_batches([batch], common, counts))
+    assert len(places) == len(sets)
+    found = [(r["node"], r["n"], r["at"], r["place"]) for b in places for r in b.to_pylist()]
+    assert found == [
+        (k, len(s), at, int(p)) for k, s in enumerate(expected) for at, p in enumerate(shingle_sets.prefix_of(s, common, counts))
+    ]
