@@ -320,3 +320,27 @@ def test_linear_fit_of_one_class_and_of_equal_margins(population):
         level = (pos * (pos + 1) / (pos + 2) + neg / (neg + 2)) / (pos + neg)
         assert stages[2].getOrDefault("slope") == 0.0
         assert stages[2].getOrDefault("intercept") == pytest.approx(np.log(level / (1 - level)), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["random_forest", "hist_gradient_boosting"])
+def test_sigmoids_of_trees_share_their_passes(population, monkeypatch, name):
+    """Sigmoids are the soft-target optima of the held-out margins, found by a few passes for all members together."""
+    from ebbtide.operators import linear
+
+    settings = replace(SMALL, models=(name,), folds=2)
+    train, _ = training.split_base(population, settings)
+    prepared = training.prepare_everything(train, settings)
+    plan = [prepared[s.key] for group in training.out_of_fold_splits(settings).values() for s in group]
+    passes = []
+    monkeypatch.setattr(linear, "_summed", lambda *a, first=linear._summed: passes.append(1) or first(*a))
+    members = models.fit_members(train, plan, name, settings)
+    assert len(members) == 4 and 0 < len(passes) < 20
+    for p, ((prep, model, sigmoid), *_) in zip(plan, members):
+        value = F.element_at(vector_to_array(F.col(sigmoid.getOrDefault("inputCol"))), 2)
+        rows = model.transform(prep.transform(train.filter(p.split.hold))).select(value.alias("x"), S.LABEL).collect()
+        x, y = np.array([r["x"] for r in rows]), np.array([r[S.LABEL] for r in rows])
+        assert (y.sum(), (1 - y).sum()) == (p.hold_positive, p.hold_negative)
+        target = np.where(y == 1, (p.hold_positive + 1) / (p.hold_positive + 2), 1 / (p.hold_negative + 2))
+        slope, intercept = sigmoid.getOrDefault("slope"), sigmoid.getOrDefault("intercept")
+        score = 1 / (1 + np.exp(-(slope * x + intercept)))
+        assert abs(((score - target) * x).sum()) < 1e-3 and abs((score - target).sum()) < 1e-3
