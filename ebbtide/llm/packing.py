@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.text import vocabulary, whole_text, word_encoder
-from ebbtide.session import materialized
+from ebbtide.session import FEW_ROWS, materialized
 
 SEQUENCE = 4096
 END_ID = 1
@@ -260,7 +260,7 @@ def packed(docs: DataFrame, path=None, end_id=END_ID, capacity=SEQUENCE, rounds=
     may be null. Texts longer than a sequence are cut into full pieces and a rest; a null or empty text is its end id.
     Pieces lie in their sequences without gaps. An empty table gives no rows.
     """
-    cut = materialized(pieces(docs, path, end_id, capacity, with_ids), "pieces")
+    cut = materialized(pieces(docs, path, end_id, capacity, with_ids), "pieces", FEW_ROWS)
     # At most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table, _ = places_by_rank(pack_histogram(histogram, capacity, rounds))

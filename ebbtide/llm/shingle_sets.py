@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.components import connected_components
 from ebbtide.llm.tables import discard, with_size_checked
 from ebbtide.llm.text import held, text_bytes
-from ebbtide.session import materialized
+from ebbtide.session import FEW_ROWS, materialized
 
 SEED = 42
 WORDS = 5
@@ -154,7 +154,7 @@ def linked_sets(sets: DataFrame, likely=None) -> DataFrame:
     places = sets.select("node", "n", "shingles").mapInArrow(
         lambda batches: _place_batches(batches, common, counts), "node long, n int, at int, place long"
     )
-    places = materialized(places, "shingle-prefixes")
+    places = materialized(places, "shingle-prefixes", FEW_ROWS)
     shared = places.groupBy("place").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("held"))
     # Written before they are joined, so that a place that very many texts share can be split.
     shared = materialized(shared.where("held > 1").select("place", "first"), "shingle-shared")

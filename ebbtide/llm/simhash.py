@@ -11,7 +11,7 @@ from ebbtide.llm import shingle_sets
 from ebbtide.llm.components import connected_components
 from ebbtide.llm.tables import discard
 from ebbtide.llm.text import text_bytes
-from ebbtide.session import materialized
+from ebbtide.session import FEW_ROWS, materialized
 
 SEED = 42
 WORDS = 4
@@ -251,7 +251,7 @@ def near_duplicate_sets(docs: DataFrame) -> DataFrame:
     meet under rare shingles (``shingle_sets``); whole sets move only for pairs that the fingerprints leave.
     """
     spark = docs.sparkSession
-    sets = materialized(shingle_sets.shingle_sets(docs, _set_prints, SET_PRINTS), "shingle-sets")
+    sets = materialized(shingle_sets.shingle_sets(docs, _set_prints, SET_PRINTS), "shingle-sets", FEW_ROWS)
     own = [f"f{i}" for i in range(SET_PRINTS)]
     table = materialized(with_pivots(sets.select("node", "n", *own), own, "p"), "shingle-prints")
     found = shingle_sets.linked_sets(sets.select("node", "n", "shingles"), lambda pairs: _in_reach(pairs, table))

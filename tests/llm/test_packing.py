@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ebbtide import session
 from ebbtide.llm import packing
 
 from .conftest import ODD
@@ -150,3 +152,25 @@ def test_odd_rows(odd, nothing, tokenizer):
     assert sorted((tuple(r)[:5] for r in found), key=key) == sorted(_pieces([r[:2] for r in ODD], tokenizer, 4096), key=key)
     _gapless(found, 4096)
     assert packing.packed(nothing).count() == 0
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    """Tables whose rows are long are written with small batches, and the session's own size is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = spark.range(0, 3 * session.FEW_ROWS + 7, 1, 1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long"
+    )
+    rows = [r["n"] for r in session.materialized(sizes, "sizes", session.FEW_ROWS).collect()]
+    assert sum(rows) == 3 * session.FEW_ROWS + 7 and max(rows) <= session.FEW_ROWS
+    assert spark.conf.get(name) == before
+
+    seen = {}
+
+    def noted(df, label, *rows):
+        seen[label] = rows
+        return session.materialized(df, label, *rows)
+
+    monkeypatch.setattr(packing, "materialized", noted)
+    packing.packed(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert seen["pieces"] == (session.FEW_ROWS,)
