@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.tables import discard
 from ebbtide.llm.text import held, order_id, row_hash
-from ebbtide.session import materialized
+from ebbtide.session import materialized, scratch_path
 
 #: A line leads to another document only if it has this many characters; shorter ones meet by chance.
 SEED_CHARS = 24
@@ -113,23 +113,26 @@ def with_turns(lined: DataFrame) -> DataFrame:
 
 
 def line_holders(lined: DataFrame, seed_chars=SEED_CHARS) -> DataFrame:
-    """``id, h, turn, line, once, first, n``: seed lines that several documents hold, and who holds them.
+    """``id, h, turn, line, place, once, first, n``: seed lines that several documents hold, and who holds them.
 
-    ``once`` says that the document has the line at one place only, ``first`` is the smallest id that holds it.
+    ``once`` says that the document has the line at one place only, ``place`` is its first place there, ``first`` is
+    the smallest id that holds it.
     """
-    long_ones = F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= seed_chars)
-    ordered = lined.select("id", "h", "turn", F.array_sort(F.transform(long_ones, lambda x: x["lines"])).alias("ordered"))
+    placed = F.transform("lines", lambda line, i: F.struct(line.alias("line"), i.alias("place")))
+    long_ones = F.filter(placed, lambda x: F.get("sizes", x["place"]) >= seed_chars)
+    ordered = lined.select("id", "h", "turn", F.array_sort(long_ones).alias("ordered"))
     marked = F.transform(
         "ordered",
-        lambda line, i: F.struct(
-            line.alias("line"),
-            (~line.eqNullSafe(F.get("ordered", i + 1))).alias("once"),
-            (~line.eqNullSafe(F.get("ordered", i - 1))).alias("new"),
+        lambda x, i: F.struct(
+            x["line"].alias("line"),
+            x["place"].alias("place"),
+            (~x["line"].eqNullSafe(F.get("ordered", i + 1)["line"])).alias("once"),
+            (~x["line"].eqNullSafe(F.get("ordered", i - 1)["line"])).alias("new"),
         ),
     )
     # The first of equal lines stands for all; it is the only one if it is not followed by another.
     seeds = ordered.select("id", "h", "turn", F.explode(F.filter(marked, lambda x: x["new"])).alias("seed"))
-    seeds = seeds.select("id", "h", "turn", "seed.line", "seed.once")
+    seeds = seeds.select("id", "h", "turn", "seed.line", "seed.place", "seed.once")
     holders = seeds.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Written first, so that both sides of the join are plain exchanges and a very common line can be split.
     holders = materialized(holders, "line-counts")
@@ -161,13 +164,13 @@ def overlapping(shared: DataFrame, rare=RARE_DOCUMENTS) -> DataFrame:
     return to_first.union(to_all).distinct()
 
 
-def _still_there(common, lined, gone):
-    """Rows of ``common`` whose line the document keeps at some place."""
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
-    lines = lined.join(gone, ["id", "h"], "left").select(
-        "id", "h", F.explode(F.array_distinct(F.transform(kept, lambda i: F.col("lines")[i]))).alias("line")
+def _still_there(open_lines, gone):
+    """Rows of ``open_lines`` whose place is not among those that their document loses by ``gone``."""
+    return (
+        open_lines.join(gone, ["id", "h"], "left")
+        .where(~F.coalesce(F.array_contains("gone", F.col("place")), F.lit(False)))
+        .drop("gone")
     )
-    return common.join(lines, ["id", "h", "line"], "left_semi")
 
 
 def deleted_lines(
@@ -181,8 +184,10 @@ def deleted_lines(
     or all were tried. A line found twice on a side cannot anchor an alignment, so it leads to its first holder (to all
     where it is rare) and to no round: a heading that all documents have twice makes one pair a document, not all pairs.
     """
-    written = [materialized(with_lines(docs), "lines")]
-    lined = with_turns(written[0])
+    spark = docs.sparkSession
+    alone = materialized(with_lines(docs), "lines")
+    lined = materialized(with_turns(alone), "lines")
+    discard(spark, alone)
     shared = line_holders(lined, seed_chars)
     earlier = lined.select(_document().alias("earlier"), F.col("lines").alias("earlier_lines"))
 
@@ -210,29 +215,38 @@ def deleted_lines(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("gone")
         )
 
-    found = materialized(places(overlapping(shared, rare)), "line-places")
+    # A folder for each round below one: all rounds are read by one scan, so no plan grows with their number.
+    folder, rounds = scratch_path(spark, "line-places"), []
+
+    def aligned(pairs):
+        found = places(pairs)
+        rounds.append(f"{folder}/{len(rounds)}")
+        found.write.parquet(rounds[-1])
+        return spark.read.schema(found.schema).parquet(rounds[-1])
+
+    found = aligned(overlapping(shared, rare))
     # About 2 ** level of a line's holders have that level.
     draw = F.pmod(F.xxhash64("line", "id", "turn"), F.lit(2**30)) / F.lit(2.0**30)
     level = F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") * draw))).cast("int")
     common = shared.where(F.col("once") & (F.col("n") > rare)).withColumn("level", level)
     others = materialized(common.select("line", "level", _document().alias("earlier")), "line-levels")
-    written += [shared, others]
+    written = [lined, shared, others]
     last = others.agg(F.max("level")).head()[0]
-    open_lines = common.where(_first_holder() < _document()).select("id", "h", "turn", "line")
+    open_lines = common.where(_first_holder() < _document()).select("id", "h", "turn", "line", "place")
     for step in range(0 if last is None else last + 1):
-        open_lines = materialized(_still_there(open_lines, lined, merged(found)), "line-open")
+        # A line that is open has one place in its document, which earlier rounds left: only the last can have taken it.
+        open_lines = materialized(_still_there(open_lines, merged(found)), "line-open")
         written.append(open_lines)
         if open_lines.isEmpty():
             break
         next_ones = others.where(F.col("level") == step).select("line", "earlier")
         pairs = open_lines.join(next_ones, "line").where(F.col("earlier") < _document())
-        pairs = pairs.select("id", "h", "earlier").distinct()
-        pairs = materialized(pairs, "line-pairs")
-        found = found.union(materialized(places(pairs), "line-places"))
+        pairs = materialized(pairs.select("id", "h", "earlier").distinct(), "line-pairs")
         written.append(pairs)
+        found = aligned(pairs)
     for table in written:  # what is returned reads the places only
-        discard(docs.sparkSession, table)
-    return merged(found)
+        discard(spark, table)
+    return merged(spark.read.schema(found.schema).parquet(*rounds))
 
 
 def without_repeated_lines(docs: DataFrame, seed_chars=SEED_CHARS, rare=RARE_DOCUMENTS, block_chars=BLOCK_CHARS):

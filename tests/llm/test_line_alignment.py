@@ -150,3 +150,13 @@ def test_registered_query_tries_every_holder(spark, rows):
 def test_texts_are_cut_once(documents):
     cleaned = L.with_lines_deduplicated(documents)
     assert cleaned._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_no_plan_grows_with_the_rounds(spark, odd):
+    texts = ["\n".join([LONG[1], LONG[0], LONG[2]])]
+    texts += ["\n".join([f"document {i} starts with a line of its own", LONG[0], f"end {i}", LONG[1]]) for i in range(40)]
+    frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], odd.schema)
+    found = L.deleted_lines(frame)
+    # What the rounds found is read by one scan, and rounds there were.
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert len({file.rsplit("/", 2)[1] for file in found.inputFiles()}) > 2
