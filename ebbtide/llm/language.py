@@ -44,13 +44,13 @@ def pieces_of(path):
 
 
 @functools.lru_cache(maxsize=2)
-def longest_piece(path):
-    return max(map(len, pieces_of(path)))
+def beginnings_of(path):
+    return beginnings(pieces_of(path))
 
 
 @functools.lru_cache(maxsize=2)
-def beginnings_of(path):
-    return beginnings(pieces_of(path))
+def steps_of(path):
+    return Steps(pieces_of(path))
 
 
 def beginnings(numbers):
@@ -59,72 +59,107 @@ def beginnings(numbers):
     return found | numbers
 
 
+class Steps:
+    """The beginnings of pieces as arrays, through which many words go at once, a character at a time.
+
+    State 0 is the empty beginning, -1 is none; ``piece`` has the number of each state's piece, or -1.
+    """
+
+    def __init__(self, numbers):
+        known = beginnings(numbers)
+        state = {beginning: i for i, beginning in enumerate(known, 1)} | {"": 0}
+        chars = {c: i for i, c in enumerate(sorted(set("".join(numbers))), 1)}
+        self.kind = np.zeros(0x110000, np.int32)  # characters that no piece has are of kind 0
+        self.kind[[ord(c) for c in chars]] = list(chars.values())
+        self.kinds = len(chars) + 1
+        found = sorted((state[b[:-1]] * self.kinds + chars[b[-1]], i) for b, i in state.items() if b)
+        self.keys, self.states = np.array(found, np.int64).reshape(-1, 2).T.copy()
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+        self.states = np.append(self.states, -1)
+        self.piece = np.array([-1, *known.values()], np.int64)
+
+    def next(self, states, kinds):
+        keys = states * self.kinds + kinds
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.states[at], -1)
+
+
 _RUN = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text):
-    """Lower-case runs of letters, each behind the mark of a word's start; long runs come in parts."""
-    words = []
-    for run in _RUN.findall(text.lower()):
-        if not run.isalpha():
-            run = "".join(c for c in run if c.isalpha())
-        if len(run) <= LONGEST_WORD:
-            words.append(BOUNDARY + run)
-        else:
-            words += [BOUNDARY + run[i : i + LONGEST_WORD] for i in range(0, len(run), LONGEST_WORD)]
-    return [w for w in words if w != BOUNDARY]
+def letters_of(run):
+    """A run may have number signs, which are no letters."""
+    return run if run.isalpha() else "".join(c for c in run if c.isalpha())
 
 
-def forward(words, numbers, probability, known=None):
+def runs_of(text):
+    """Lower-case runs that the pattern finds, to how often each is there; long runs come in parts of their letters."""
+    counts = Counter(_RUN.findall(text.lower()))
+    if max(map(len, counts), default=0) > LONGEST_WORD:
+        for run in [r for r in counts if len(r) > LONGEST_WORD]:
+            n, letters = counts.pop(run), letters_of(run)
+            for i in range(0, len(letters), LONGEST_WORD):
+                counts[letters[i : i + LONGEST_WORD]] += n
+    return counts
+
+
+def words_of(runs):
+    """The runs that have a letter, each as its letters behind the mark of a word's start."""
+    return [BOUNDARY + letters for letters in map(letters_of, runs) if letters]
+
+
+def forward(words, numbers, probability, steps=None):
     """Probability of each word under each language: a row for each word.
 
-    ``probability`` has a row for each piece, then one for an unknown character and one of zeros; ``known``:
-    ``beginnings(numbers)``. A place of a word is followed only as far as some piece goes on. Words of one length go
-    through the pass together, each span for the words that have a piece there.
+    ``probability`` has a row for each piece, then one for an unknown character and one of zeros; ``steps``:
+    ``Steps(numbers)``. All words go through the pass together, the longest first: from each place on they are followed
+    as far as some piece goes on.
     """
     unknown = len(probability) - 2
-    known = beginnings(numbers) if known is None else known
+    steps = Steps(numbers) if steps is None else steps
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    words = [words[i] for i in order]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    kinds = steps.kind[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    first = np.cumsum(sizes) - sizes  # of a word's characters; its places are one more than these
+    place = first + np.arange(len(words))
+    reached = np.zeros((len(kinds) + len(words), probability.shape[1]))
+    reached[place] = 1.0
+    for start in range(sizes[0] if len(words) else 0):
+        rows = np.arange(np.searchsorted(-sizes, -start))  # words that are longer than this
+        states = np.zeros(len(rows), np.int64)
+        end = start
+        while len(rows):
+            states = steps.next(states, kinds[first[rows] + end])
+            end += 1
+            pieces = np.where(states < 0, -1, steps.piece[states])
+            if end == start + 1:
+                pieces = np.where(pieces < 0, unknown, pieces)
+            used = pieces >= 0
+            here = place[rows[used]]
+            reached[here + end] += reached[here + start] * probability[pieces[used]]
+            on = (states >= 0) & (sizes[rows] > end)
+            rows, states = rows[on], states[on]
     result = np.empty((len(words), probability.shape[1]))
-    by_length = defaultdict(list)
-    for i, word in enumerate(words):
-        by_length[len(word)].append(i)
-    for n, members in by_length.items():
-        spans = defaultdict(lambda: ([], []))
-        for row, i in enumerate(members):
-            word = words[i]
-            for start in range(n):
-                end = start + 1
-                k = known.get(word[start:end])
-                if k is None or k < 0:
-                    rows, pieces = spans[end, start]
-                    rows.append(row)
-                    pieces.append(unknown)
-                while k is not None:
-                    if k >= 0:
-                        rows, pieces = spans[end, start]
-                        rows.append(row)
-                        pieces.append(k)
-                    end += 1
-                    k = known.get(word[start:end]) if end <= n else None
-        reached = np.zeros((n + 1, len(members), probability.shape[1]))
-        reached[0] = 1.0
-        for (end, start), (rows, pieces) in sorted(spans.items()):
-            reached[end, rows] += reached[start, rows] * probability[pieces]
-        result[members] = reached[n]
+    result[order] = reached[place + sizes]
     return result
 
 
-def expected_pieces(word, numbers, probability, unknown=UNKNOWN, longest=LONGEST_WORD):
+def expected_pieces(word, numbers, probability, unknown=UNKNOWN, known=None):
     """Expected number of times each piece is used over all segmentations of a word, under one language."""
+    known = beginnings(numbers) if known is None else known
     n = len(word)
     edges = []
-    for end in range(1, n + 1):
-        for start in range(max(0, end - longest), end):
-            k = numbers.get(word[start:end], -1)
+    for start in range(n):
+        end = start + 1
+        k = known.get(word[start:end])
+        if k is None or k < 0:
+            edges.append((start, end, -1, unknown))
+        while k is not None:
             if k >= 0:
                 edges.append((start, end, k, probability[k]))
-            elif end - start == 1:
-                edges.append((start, end, -1, unknown))
+            end += 1
+            k = known.get(word[start:end]) if end <= n else None
     ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
     for start, end, _, p in edges:
         ahead[end] += ahead[start] * p
@@ -154,41 +189,45 @@ class LanguageModel:
         self._forget()
 
     def _forget(self):
-        """No word is known: ``known`` has the row of each known word in ``scores``."""
+        """No run is known: ``known`` has the row of each known run in ``scores``, or -1 if it has no letter."""
         self.known, self.scores = {}, np.empty((0, len(self.log_priors)))
+        self.n_rows = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "scores": self.scores[:0]}
+        return self.__dict__ | {"known": {}, "scores": self.scores[:0], "n_rows": 0}
 
     def _learn(self, new):
-        found = forward(new, pieces_of(self.path), self.probability, beginnings_of(self.path))
-        n = len(self.known)
-        if n + len(new) > len(self.scores):
-            grown = np.empty((2 * (n + len(new)), self.scores.shape[1]))
+        some = np.fromiter((bool(letters_of(run)) for run in new), bool, len(new))
+        found = forward(words_of(new), None, self.probability, steps_of(self.path))
+        n, size = self.n_rows, len(found)
+        if n + size > len(self.scores):
+            grown = np.empty((2 * (n + size), self.scores.shape[1]))
             grown[:n] = self.scores[:n]
             self.scores = grown
-        self.scores[n : n + len(new)] = np.log(np.maximum(found, 1e-300))
-        self.known.update(zip(new, range(n, n + len(new))))
+        self.scores[n : n + size] = np.log(np.maximum(found, 1e-300))
+        self.n_rows = n + size
+        self.known.update(zip(new, np.where(some, n + np.cumsum(some) - 1, -1).tolist()))
 
     def predict_all(self, texts):
         """(language, share of the posterior) of each whole text; (und, 0) for null or a text without letters."""
         out = []
         for i in range(0, len(texts), self.TEXTS_AT_ONCE):
-            counts = [Counter(words_of(t)) if t else Counter() for t in texts[i : i + self.TEXTS_AT_ONCE]]
-            words = set().union(*counts)
+            counts = [runs_of(t) if t else Counter() for t in texts[i : i + self.TEXTS_AT_ONCE]]
             if len(self.known) > self.WORDS_KEPT:
                 self._forget()
-            new = [w for w in words if w not in self.known]
+            new = list(set().union(*counts).difference(self.known))
             for first in range(0, len(new), 10_000):
                 self._learn(new[first : first + 10_000])
             out += [self._best(c) for c in counts]
         return out
 
     def _best(self, counts):
-        if not counts or not self.languages:
-            return UNDETERMINED, 0.0
         n = np.fromiter(counts.values(), float, len(counts))
         rows = np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts))
+        if rows.min(initial=0) < 0:
+            n, rows = n[rows >= 0], rows[rows >= 0]
+        if not len(rows) or not self.languages:
+            return UNDETERMINED, 0.0
         total = self.log_priors + n @ self.scores[rows]
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
@@ -215,8 +254,9 @@ def _word_counts(labelled):
             for lang, texts in batch.groupby("lang")["text"]:
                 words = Counter()
                 for text in texts:
-                    words.update(words_of(text))
-                yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
+                    words.update(runs_of(text))
+                words = {run: n for run, n in words.items() if letters_of(run)}
+                yield pd.DataFrame({"lang": lang, "word": words_of(words), "n": list(words.values())})
 
     counted = labelled.mapInPandas(count, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -227,13 +267,13 @@ def _expected(word_counts, languages, probability, path):
     place = {lang: i for i, lang in enumerate(languages)}
 
     def expect(batches):
-        numbers, longest = pieces_of(path), longest_piece(path)
+        numbers, known = pieces_of(path), beginnings_of(path)
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 of_language = probability[:, place[lang]].tolist()
                 total = defaultdict(float)
                 for word, n in zip(rows["word"], rows["n"]):
-                    for k, c in expected_pieces(word, numbers, of_language, longest=longest).items():
+                    for k, c in expected_pieces(word, numbers, of_language, known=known).items():
                         total[k] += n * c
                 yield pd.DataFrame({"lang": lang, "piece": list(total), "n": list(total.values())})
 

@@ -73,3 +73,32 @@ def test_odd_rows(odd, nothing):
 def test_texts_are_told_once_where_answers_are_filtered(documents):
     plan = language.with_known_language(documents)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_all_words_are_followed_together(monkeypatch):
+    numbers = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a", "aba"])}
+    rng = np.random.default_rng(1)
+    probability = np.vstack([rng.random((7, 2)), np.full((1, 2), language.UNKNOWN), np.zeros((1, 2))])
+    words = ["▁" + "".join(rng.choice(list("abx\U0001f600"), rng.integers(1, 9))) for _ in range(3_000)]
+    calls, follow = [], language.Steps.next
+    monkeypatch.setattr(language.Steps, "next", lambda self, *a: calls.append(1) or follow(self, *a))
+    found = language.forward(words, numbers, probability)
+    assert len(calls) <= 9 * (3 + 1)  # places of the longest word, times characters of the longest piece and one
+    for i in range(0, 3_000, 100):
+        alone = sum(np.prod([probability[numbers.get(x, 7)] for x in p], axis=0) for p in _segmentations(words[i], numbers))
+        assert np.allclose(found[i], alone)
+
+
+def test_runs_are_words_of_letters(monkeypatch):
+    long_run = "ab²" * 50  # 100 letters
+    text = f"One one x²y ½ ² 12 a_b {long_run}"
+    assert language.runs_of(text) == {"one": 2, "x²y": 1, "½": 1, "²": 1, "a": 1, "b": 1, "ab" * 20: 2, "ab" * 10: 1}
+    assert language.words_of(["one", "½", "x²y"]) == ["▁one", "▁xy"]
+    numbers = {p: i for i, p in enumerate(["▁", "o", "n", "e", "x", "y", "xy"])}
+    probability = np.vstack([np.full((7, 2), [0.1, 0.05]), np.full((1, 2), language.UNKNOWN), np.zeros((1, 2))])
+    steps = language.Steps(numbers)
+    monkeypatch.setattr(language, "steps_of", lambda path: steps)
+    model = language.LanguageModel(["p", "q"], [1, 1], probability, "none")
+    found = model.predict_all(["½ ²", None, "one", "½ one", "x²y", "xy", "½"])
+    assert [f[0] for f in found] == ["und", "und", "p", "p", "p", "p", "und"]
+    assert found[2] == found[3] and found[4] == found[5] and found[0][1] == 0.0
