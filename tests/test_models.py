@@ -1,3 +1,5 @@
+import gc
+import weakref
 from dataclasses import replace
 
 import numpy as np
@@ -7,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ebbtide import settings as S
+from ebbtide.catalog import learning
 from ebbtide.operators import explain, models
 from ebbtide.operators.models import SCORE, TrainingSettings
 from ebbtide.operators.scoring import score_frame, scored_records
@@ -344,3 +347,86 @@ def test_sigmoids_of_trees_share_their_passes(population, monkeypatch, name):
         slope, intercept = sigmoid.getOrDefault("slope"), sigmoid.getOrDefault("intercept")
         score = 1 / (1 + np.exp(-(slope * x + intercept)))
         assert abs(((score - target) * x).sum()) < 1e-3 and abs((score - target).sum()) < 1e-3
+
+
+def test_saved_run_query_fits_with_the_whole_budget(spark, population, monkeypatch):
+    asked = []
+
+    def job(df, settings, folder, first=training.train_and_evaluate):
+        asked.append(settings)
+        return first(df, replace(SMALL, models=("logistic_regression",)), folder)
+
+    monkeypatch.setattr(learning, "_customers", lambda *a: population)
+    monkeypatch.setattr(training, "train_and_evaluate", job)
+    assert learning.m11_s3_s4_s6_saved_run(spark, "nowhere").count() > 50
+    (s,) = asked
+    assert s == TrainingSettings() and s.models == tuple(S.MODEL_PREFERENCE)
+    assert (s.folds, s.repeats, s.bootstrap_rounds) == (5, 3, 1000)
+    assert (s.trees, s.forest_depth, s.boosting_rounds, s.boosting_depth) == (300, 15, 100, 5)
+    forest, boosting = (models.classifier(n, 100, s) for n in ("random_forest", "hist_gradient_boosting"))
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 15)
+    assert (boosting.getMaxIter(), boosting.getMaxDepth()) == (100, 5)
+
+
+@pytest.fixture(scope="module")
+def forest_folds(population):
+    settings = replace(SMALL, models=("random_forest",), repeats=2, parallel_fits=1)
+    train, _ = training.split_base(population, settings)
+    return settings, train, training.prepare_everything(train, settings)
+
+
+def test_forests_are_dropped_once_their_folds_are_scored(forest_folds, monkeypatch):
+    settings, train, prepared = forest_folds
+    made, alive = weakref.WeakSet(), []
+
+    def fit(*a, first=models.fit_on_split):
+        gc.collect()
+        alive.append(len(made))
+        made.add(model := first(*a))
+        return model
+
+    monkeypatch.setattr(models, "fit_on_split", fit)
+    scores = training.fold_scores(train, settings, prepared)
+    monkeypatch.undo()
+    assert len(alive) == 4 and max(alive) <= 1
+    for r in range(2):
+        for f in range(2):
+            model = models.fit_on_split(train, prepared[f"cv_{r}_{f}"], "random_forest", settings)
+            held = models.positive_probability(model, train.filter(F.col(f"fold_{r}") == f)).select(S.ID, SCORE)
+            own = scores.filter((F.col("repeat") == r) & (F.col("fold") == f)).select(S.ID, SCORE)
+            assert sorted(map(tuple, own.collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_members_of_an_outer_fold_are_dropped_once_it_is_scored(forest_folds, monkeypatch):
+    settings, train, _ = forest_folds
+    made, alive = weakref.WeakSet(), []
+
+    def fit(*a, first=models._fit_member):
+        gc.collect()
+        alive.append(len(made))
+        fitted = first(*a)
+        made.add(fitted[1])
+        return fitted
+
+    settings = replace(settings, folds=4)
+    train, _ = training.split_base(train.select(S.ID, S.LABEL, *S.RAW_FEATURES), settings)
+    prepared = training.prepare_everything(train, settings)
+    monkeypatch.setattr(models, "_fit_member", fit)
+    got = {r[S.ID]: r[SCORE] for r in training.out_of_fold_scores(train, "random_forest", settings, prepared).collect()}
+    assert len(alive) == 16 and max(alive) < 9 and len(got) == train.count()
+    group = [prepared[s.key] for s in training.out_of_fold_splits(settings)[2]]
+    alone = models.average_of(models.fit_members(train, group, "random_forest", settings))
+    want = {r[S.ID]: r[SCORE] for r in models.positive_probability(alone, train.filter("oof_fold = 2")).collect()}
+    assert want and {i: got[i] for i in want} == want
+
+
+def test_results_come_in_the_order_of_the_tasks_and_errors_are_raised(spark):
+    import time
+
+    def late(i):
+        time.sleep(0.02 * (5 - i))
+        return i
+
+    assert list(models.in_turn(spark, [lambda i=i: late(i) for i in range(5)], 3)) == [0, 1, 2, 3, 4]
+    with pytest.raises(ZeroDivisionError):
+        list(models.in_turn(spark, [lambda: 1, lambda: 1 // 0, lambda: 2], 2))
